@@ -1,6 +1,7 @@
 """Record cleaning as Column expressions: missing codes, domains, ranges, derived columns.
 
-Every rule yields a value and an error kind. Errors name the field and the kind of fault, never the value.
+A value is NULL when it is missing or faulty; faults are kept apart, and reports name the field and the kind of
+fault, never the value.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from quotalens.functions.fields import (
 
 # Characters stripped from both ends of a raw value.
 _BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_RARE_BLANKS = _BLANKS.replace(" ", "").replace("\n", "")
 
 
 def normalized(raw: Column) -> Column:
@@ -36,36 +38,39 @@ def is_missing(field: Field, text: Column) -> Column:
     return text.isin("", *field.missing)
 
 
-def _fault(field: Field, text: Column) -> Column:
-    """Error kind of a non-missing value, NULL when it is fine."""
-    if field.kind == "boolean":
-        return F.when(~text.isin("Y", "N", "0", "1"), "invalid boolean code")
-    if field.kind == "category":
-        return F.when(~text.isin(*field.allowed), "invalid category code")
-    value = number(text)
-    if field.kind == "int":
-        odd = F.when(value.isNull() | (value != F.floor(value)), "not an integer")
-    else:
-        odd = F.when(value.isNull(), "not a float").when(F.abs(value) == F.lit(float("inf")), "non-finite float")
-    return odd.when(value < field.low, "below minimum").when(value > field.high, "above maximum")
+def clean(field: Field, text: Column, value: Column | None = None) -> Column:
+    """Cleaned value of a normalized text, NULL when it is missing or breaks the field's domain.
 
-
-def _value(field: Field, text: Column) -> Column:
+    ``value``: the text as a number, for number fields whose cast was already done.
+    """
     if field.kind == "boolean":
         return F.when(text.isin("Y", "1"), 1).when(text.isin("N", "0"), 0).cast("int")
     if field.kind == "category":
-        return text
+        return F.when(text.isin(*field.allowed) & ~text.isin(*field.missing), text) if field.missing else F.when(
+            text.isin(*field.allowed), text)
+    v = number(text) if value is None else value
+    inside = v.between(field.low, field.high)
+    if field.missing:
+        inside = inside & ~text.isin(*field.missing)
     if field.kind == "int":
-        return number(text).cast("int")
-    return F.bround(number(text), field.decimals)
+        return F.when(inside & (v == F.floor(v)), v.cast("int"))
+    return F.when(inside, F.bround(v, field.decimals))
 
 
-def clean(field: Field, raw: Column) -> Column:
-    """``struct(value, error)``; both NULL for a missing value."""
-    text = normalized(raw)
-    fault = F.when(~is_missing(field, text), _fault(field, text))
-    value = F.when(~is_missing(field, text) & fault.isNull(), _value(field, text))
-    return F.struct(value.alias("value"), fault.alias("error"))
+def fault_kind(name: Column, text: Column) -> Column:
+    """What is wrong with a faulty text of the named field."""
+    def of(*kinds: str) -> Column:
+        return name.isin(*[f.name for f in FIELDS if f.kind in kinds])
+
+    lows = F.create_map(*[F.lit(x) for f in FIELDS if f.low is not None for x in (f.name, f.low)])
+    v = number(text)
+    odd = F.when(v.isNull(), "not a number").when(F.abs(v) == F.lit(float("inf")), "non-finite number")
+    return (
+        F.when(of("boolean"), "invalid boolean code")
+        .when(of("category"), "invalid category code")
+        .otherwise(
+            odd.when(of("int") & (v != F.floor(v)), "not an integer").when(v < lows[name], "below minimum").otherwise("above maximum"))
+    )
 
 
 def render(field: Field, value: Column) -> Column:
@@ -106,72 +111,102 @@ def source_names(year: int) -> dict[str, str]:
     return {name: SOURCE_ALIASES[year].get(name, name) for name in FIELD}
 
 
-def slice_record(line: str = "value", fields: Sequence[Field] = FIELDS, lenient: bool = False) -> dict[str, Column]:
-    """Raw field texts cut from a fixed-width line; leniently, a line too short for a field gives an empty text."""
-    payload = F.rtrim(F.col(line), F.lit("\r\n"))
-    cut = {}
+def _rare_blanks(line: Column) -> Column:
+    """Whether whitespace other than spaces is left in the line."""
+    found = F.lit(False)
+    for blank in _RARE_BLANKS:
+        found = found | F.contains(line, F.lit(blank))
+    return found
+
+
+def _payload(line: Column) -> Column:
+    """The line without its line end, rare whitespace turned into spaces."""
+    one = F.endswith(line, F.lit("\r")) & ~F.endswith(line, F.lit("\r\r"))
+    text = F.when(one, F.substring(line, 1, F.length(line) - 1)).when(
+        F.endswith(line, F.lit("\r")) | F.endswith(line, F.lit("\n")), F.rtrim(line, F.lit("\r\n"))).otherwise(line)
+    return text
+
+
+def cut_lines(
+    lines: DataFrame, keep: Sequence[str], fields: Sequence[Field] = FIELDS, line: str = "value", lenient: bool = False
+) -> DataFrame:
+    """Raw field texts of every line, with ``_length`` and ``_ascii`` of the line itself.
+
+    A line is cut as bytes, at the offset of a field instead of walking the characters before it. That is right for
+    ASCII lines; the strict layout refuses others, and the lenient one cuts them by characters. Leniently, a line too
+    short for a field gives an empty text.
+    """
+    ready = lines.select(*keep, _payload(F.col(line)).alias("_text"))
+    spaces = F.translate("_text", _RARE_BLANKS, " " * len(_RARE_BLANKS))
+    ready = ready.withColumn("_line", F.when(_rare_blanks(F.col("_text")), spaces).otherwise(F.col("_text")))
+    ready = ready.select(
+        *keep, "_line", F.col("_line").cast("binary").alias("_bytes"), F.length("_line").alias("_length"),
+        (F.octet_length("_line") == F.length("_line")).alias("_ascii"),
+    )
+    cut = []
     for f in fields:
-        piece = F.btrim(F.substring(payload, f.start, f.width), F.lit(_BLANKS))
-        cut[f.name] = F.when(F.length(payload) >= f.end, piece).otherwise("") if lenient else piece
-    return cut
+        piece = F.substring(F.col("_bytes"), f.start, f.width).cast("string")
+        if lenient:
+            piece = F.when(F.col("_ascii"), piece).otherwise(F.substring(F.col("_line"), f.start, f.width))
+            piece = F.when(F.col("_length") >= f.end, piece).otherwise("")
+        cut.append(F.trim(piece).alias(f.name))
+    return ready.select(*keep, "_length", "_ascii", *cut)
 
 
-def record_fault(line: str, year: int) -> Column:
+def record_fault(year: int) -> Column:
     """Error kind of a whole line under the strict layout, NULL when it is fine."""
-    payload = F.rtrim(F.col(line), F.lit("\r\n"))
-    stated = F.btrim(F.substring(payload, FIELD["birth_year"].start, FIELD["birth_year"].width), F.lit(_BLANKS))
     return (
-        F.when(F.length(payload) != RECORD_LENGTH, "record length")
-        .when(F.octet_length(payload) != F.length(payload), "not ASCII")
-        .when(stated != str(year), "record year")
+        F.when(F.col("_length") != RECORD_LENGTH, "record length")
+        .when(~F.col("_ascii"), "not ASCII")
+        .when(F.col("birth_year") != str(year), "record year")
     )
 
 
 def harmonize(raw: DataFrame, keep: Sequence[str] = (), record_error: Column | None = None) -> DataFrame:
-    """Clean all fields of raw text columns and add derived columns and ``errors``.
+    """Clean all fields of raw text columns, add derived columns and ``faults``.
 
-    ``errors`` lists ``struct(field, error)``; an empty list means the record is accepted. One projection, no shuffle.
+    ``faults`` lists ``struct(field, text)`` of values that are neither missing nor valid; an empty list means the
+    record is accepted. Texts, numbers and values are computed in turn, each once. The task number among the texts
+    keeps the optimizer from pushing a filter on ``faults`` below them, where it would repeat all the cleaning.
     """
-    whole = F.when(record_error.isNotNull(), F.struct(F.lit("record").alias("field"), record_error.alias("error"))) \
-        if record_error is not None else None
-    cleaned = raw.select(
-        *keep, *([whole.alias("_record")] if whole is not None else []),
-        *[clean(f, F.col(f.name)).alias(f"_{f.name}") for f in FIELDS],
-    )
-    faults = [
-        F.when(F.col(f"_{f.name}.error").isNotNull(), F.struct(F.lit(f.name).alias("field"), F.col(f"_{f.name}.error").alias("error")))
+    whole = F.lit(None).cast("string") if record_error is None else record_error
+    numbers = [f for f in FIELDS if f.kind in ("int", "float")]
+    texts = raw.select(*keep, whole.alias("_record"), *[F.col(f.name).alias(f"t_{f.name}") for f in FIELDS])
+    cast = texts.withColumns({f"v_{f.name}": number(F.col(f"t_{f.name}")) for f in numbers})
+    cast = cast.withColumn("_task", F.spark_partition_id())
+    values = cast.withColumns({
+        f.name: clean(f, F.col(f"t_{f.name}"), F.col(f"v_{f.name}") if f in numbers else None) for f in FIELDS
+    })
+    faults = F.array_compact(F.array(*[
+        F.when(F.col(f.name).isNull() & ~is_missing(f, F.col(f"t_{f.name}")),
+               F.struct(F.lit(f.name).alias("field"), F.col(f"t_{f.name}").alias("text")))
         for f in FIELDS
-    ]
-    found = F.array_compact(F.array(*faults))
-    if whole is not None:
-        found = F.when(F.col("_record").isNotNull(), F.array("_record")).otherwise(found)
-    return cleaned.select(
-        *keep, *[F.col(f"_{f.name}.value").alias(f.name) for f in FIELDS], found.alias("errors")
-    ).withColumns(derived_columns()).select(*keep, *FIELD, *DERIVED, "errors")
+    ]))
+    whole_record = F.array(F.struct(F.lit("record").alias("field"), F.col("_record").alias("text")))
+    found = F.when(F.col("_record").isNotNull(), whole_record).when(F.col("_task") >= 0, faults)
+    return values.select(*keep, *FIELD, *[c.alias(n) for n, c in derived_columns().items()], found.alias("faults"))
 
 
 def parse_strict(lines: DataFrame, year: int, keep: Sequence[str] = ("pos",), line: str = "value") -> DataFrame:
-    """Fixed-width lines to the harmonized table plus ``errors``; a line with a whole-record fault is not judged by field."""
+    """Fixed-width lines to the harmonized table plus ``faults``; a line with a whole-record fault is not judged by field."""
     source_names(year)
-    raw = lines.select(*keep, line, *[c.alias(n) for n, c in slice_record(line).items()])
-    return harmonize(raw, keep, record_fault(line, year))
+    return harmonize(cut_lines(lines, keep, line=line), keep, record_fault(year))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.size("errors") == 0).drop("errors")
+    return parsed.where(F.size("faults") == 0).drop("faults")
 
 
 def rejects(parsed: DataFrame, keep: Sequence[str] = ("pos",)) -> DataFrame:
-    """One row per fault."""
-    return parsed.where(F.size("errors") > 0).select(*keep, F.inline("errors"))
+    """One row per fault: where and what kind, never the value."""
+    kind = F.when(F.col("field") == "record", F.col("text")).otherwise(fault_kind(F.col("field"), F.col("text")))
+    return parsed.where(F.size("faults") > 0).select(*keep, F.inline("faults")).select(*keep, "field", kind.alias("error"))
 
 
 def parse_lenient(lines: DataFrame, keep: Sequence[str] = ("pos",), line: str = "value") -> DataFrame:
     """The 15-column evaluation table: blank lines skipped, short lines padded with missing, no range checks."""
     wanted = [FIELD[c] for c in EVALUATION_COLUMNS if c in FIELD] + [FIELD["residence_status"], FIELD["plurality"]]
-    raw = lines.where(F.length(F.rtrim(F.col(line), F.lit("\r\n"))) > 0).select(
-        *keep, *[c.alias(n) for n, c in slice_record(line, wanted, lenient=True).items()]
-    )
+    raw = cut_lines(lines, keep, wanted, line, lenient=True).where("_length > 0")
 
     def mapped(name: str) -> Column:
         text = F.col(name)

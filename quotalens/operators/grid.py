@@ -79,6 +79,20 @@ def grid_cells(work: Worklist, sets: Mapping[str, Availability], fractions: Sequ
     return materialize(top_b(work, requests, allow_zero=True).drop("last_score", "last_pos"), "cells")
 
 
+def grid_thresholds(
+    calibration: DataFrame, by: Sequence[str], fractions: Sequence[float], rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Cutoff per group and share on an independent sample: plus infinity for no selection, minus infinity for all."""
+    work = worklist(calibration, {POPULATION: F.lit(True)}, by, rows_per_task=rows_per_task)
+    requests = work.totals.select(*by, F.lit(POPULATION).alias("scenario"), "full_n", F.inline(F.array(*[
+        F.struct(F.lit(float(q)).alias("nominal_fraction"), clamped_budget(q, F.col("full_n")).alias("budget_n")) for q in fractions
+    ])))
+    infinite = F.lit(float("inf"))
+    cut = F.when(F.col("budget_n") <= 0, infinite).when(F.col("budget_n") >= F.col("full_n"), -infinite).otherwise(F.col("last_score"))
+    return top_b(work, requests, allow_zero=True).select(
+        *by, "nominal_fraction", cut.alias("threshold"), F.col("budget_n").alias("calibration_target_selected_n"))
+
+
 def grid_protocols(
     work: Worklist, sets: Mapping[str, Availability], cells: DataFrame, thresholds: DataFrame, fractions: Sequence[float]
 ) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotalens.functions.fields import FIELDS, RECORD_LENGTH, Field
+from quotalens.functions.numeric import uniform
 from quotalens.operators.cohorts import by_target
+from quotalens.operators.features import FeatureParameters
+from quotalens.operators.grid import Availability
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +50,7 @@ def events_population(spark: SparkSession, folder: str, calibration: bool | None
         F.when(part < 11, part).cast("int").alias("entry"),
         (F.col("event_type") == "purchase").cast("int").alias("y"),
         early.alias("calibration"),
+        (F.col("user_id") % 5).alias("replicate"),
     )
 
 
@@ -63,12 +68,117 @@ def documents_population(spark: SparkSession, folder: str) -> DataFrame:
     return by_target(records, ["quality", "toxic"], ["pos", "score", "entry"])
 
 
-def literal_rows(spark: SparkSession, target: str, values: dict[float, float]) -> DataFrame:
-    """A thresholds table from a small dictionary."""
-    return spark.createDataFrame(
-        [(target, float(q), float(t)) for q, t in values.items()], "target string, nominal_fraction double, threshold double"
+# Fixed-width lines made from orders. Field number i of order k is good, missing or faulty by rule, so that the
+# expected table can be computed from k without parsing anything.
+
+FAULTY_EVERY, MISSING_EVERY = 211, 13
+CUT_EVERY, ODD_EVERY = 101, 103
+
+
+def field_code(i: int) -> str:
+    """SQL for the pseudo-random number behind field ``i`` of order ``k``; the same text works in any engine."""
+    return f"(k * {2 * i + 7} + {3 * i * i})"
+
+
+def field_text(i: int, f: Field) -> tuple[str, str, str]:
+    """SQL for the good text, and the missing and faulty texts of field ``i``."""
+    code = field_code(i)
+    missing = f.missing[0] if f.missing else ""
+    if f.name == "birth_year":
+        return "'2022'", "2022", "2021"
+    if f.kind == "boolean":
+        return f"CASE WHEN {code} % 2 = 0 THEN 'Y' ELSE 'N' END", missing, "X"
+    if f.kind == "category":
+        cases = " ".join(f"WHEN {j} THEN '{a}'" for j, a in enumerate(f.allowed))
+        return f"CASE {code} % {len(f.allowed)} {cases} END", missing, "32" if f.name == "mother_race" else "Z"
+    if f.kind == "float":
+        tenths = f"({round(f.low * 10)} + {code} % {round((f.high - f.low) * 10) + 1})"
+        whole = f"cast(({tenths} - {tenths} % 10) / 10 AS bigint)"
+        return f"concat(cast({whole} AS varchar(9)), '.', cast({tenths} % 10 AS varchar(9)))", missing, "70.0"
+    above = str(int(f.high) + 1)
+    faulty = "x" if above in f.missing or len(above) > f.width else above
+    number = f"cast({int(f.low)} + {code} % {int(f.high - f.low) + 1} AS varchar(9))"
+    return f"lpad({number}, {f.width}, '0')", missing, faulty
+
+
+def field_sql(i: int, f: Field) -> str:
+    """SQL for the raw text of field ``i``."""
+    good, missing, faulty = field_text(i, f)
+    return (
+        f"CASE WHEN k % {FAULTY_EVERY} = {i} THEN '{faulty}' "
+        f"WHEN k % {MISSING_EVERY} = {i % MISSING_EVERY} THEN '{missing}' ELSE {good} END"
     )
 
 
-def year_of(column: str) -> Column:
-    return F.year(column)
+def rendered_lines(spark: SparkSession, folder: str, lenient: bool = False) -> DataFrame:
+    """One fixed-width line per order, some of them cut short, not ASCII or (leniently) blank."""
+    raw = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k")).select(
+        F.col("k").alias("pos"), *[F.expr(field_sql(i, f)).alias(f.name) for i, f in enumerate(FIELDS)]
+    )
+    pieces, at = [], 1
+    for f in sorted(FIELDS, key=lambda f: f.start):
+        if f.start > at:
+            pieces.append(F.lit(" " * (f.start - at)))
+        pieces.append(F.rpad(F.col(f.name), f.width, " "))
+        at = f.end + 1
+    pieces.append(F.lit(" " * (RECORD_LENGTH + 1 - at)))
+    line = F.concat(*pieces)
+    cut, odd = F.col("pos") % CUT_EVERY == 0, F.col("pos") % ODD_EVERY == 0
+    if lenient:
+        value = F.when(odd, "").when(cut, F.substring(line, 1, 300)).otherwise(line)
+    else:
+        value = F.when(cut, F.substring(line, 1, RECORD_LENGTH - 1)).when(
+            odd, F.concat(F.lit("é"), F.substring(line, 2, RECORD_LENGTH))).otherwise(line)
+    return raw.select("pos", F.concat(value, F.lit("\r")).alias("value"))
+
+
+def feature_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with customer features, some of them unknown, a numeric category and a label."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
+    month = F.month("o_orderdate")
+    return table(spark, folder, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.lit("is_f").alias("target"), F.col("o_orderkey").alias("pos"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("acctbal"),
+        F.floor(F.col("o_totalprice") / 1000).cast("double").alias("price"),
+        F.when(month < 12, month).cast("double").alias("month"),
+        F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_nationkey")).cast("double").alias("nation"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("y"),
+        F.when(month == 11, 0).when(month == 12, None).otherwise(month).cast("int").alias("entry"),
+    )
+
+
+#: Fixed parameters for the frozen transform of the feature records.
+FROZEN = FeatureParameters(
+    numeric=("acctbal", "price", "month"), medians=(4500.0, 250.0, 6.0), means=(4400.0, 251.5, 6.25), scales=(2750.0, 143.5, 3.125),
+    category="nation", mode=7.0, categories=tuple(float(v) for v in range(20)),
+)
+
+
+def grid_population(spark: SparkSession, folder: str, calibration: bool) -> DataFrame:
+    """Events by replicate (user group) and score quality, with a uniform that drives availability."""
+    return events_population(spark, folder, calibration).select(
+        "replicate", "pos", "y", uniform("grid", F.col("pos")).alias("u"),
+        F.inline(F.array(
+            F.struct(F.lit("good").alias("model_quality"), F.col("score").alias("score")),
+            F.struct(F.lit("weak").alias("model_quality"), F.floor(F.col("score") / 40).cast("double").alias("score")),
+        )),
+    )
+
+
+GRID_BY = ("replicate", "model_quality")
+GRID_LABELS = ("availability_target_fraction", "availability_relation")
+GRID_FRACTIONS = (0.05, 0.1, 0.2)
+#: Relation -> shift of the availability share for events and for the others.
+GRID_RELATIONS = {
+    "higher_risk_less_available": (-0.2, 0.05), "risk_independent": (0.0, 0.0), "higher_risk_more_available": (0.2, -0.05),
+}
+GRID_SHARES = (0.5, 0.7)
+
+
+def grid_sets() -> dict[str, Availability]:
+    sets = {}
+    for share in GRID_SHARES:
+        for relation, (event, other) in GRID_RELATIONS.items():
+            limit = F.when(F.col("y") == 1, F.lit(round(share + event, 2))).otherwise(F.lit(round(share + other, 2)))
+            sets[f"{share}|{relation}"] = Availability(dict(zip(GRID_LABELS, (share, relation))), F.col("u") < limit)
+    return sets

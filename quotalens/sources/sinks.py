@@ -100,8 +100,12 @@ def write_run_record(spark: SparkSession, folder: str, **facts: object) -> None:
 
 
 def field_profile(parsed: DataFrame) -> DataFrame:
-    """The layout table with what the data shows per field: known, missing and rejected values, in one pass."""
-    bad = {f.name: F.array_contains(F.col("errors.field"), f.name) for f in FIELDS}
+    """What the data shows per field of the layout: known, missing and rejected values, in one pass.
+
+    Records with a whole-record fault are left out; their fields were not judged.
+    """
+    parsed = parsed.where(~F.array_contains(F.col("faults.field"), "record"))
+    bad = {f.name: F.array_contains(F.col("faults.field"), f.name) for f in FIELDS}
     counts = []
     for f in FIELDS:
         counts += [F.count(f.name).alias(f"known_{f.name}"), F.count_if(bad[f.name]).alias(f"bad_{f.name}")]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotalens.functions.cleaning import parse_strict
+from quotalens.functions.cleaning import accepted as accepted_rows
+from quotalens.functions.cleaning import parse_strict, rejects
 from quotalens.operators.selection import threshold_select
 
 
@@ -15,7 +16,7 @@ def line_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
 
 
 def harmonized_stream(lines: DataFrame, year: int) -> DataFrame:
-    """The harmonized table plus ``errors`` for a stream of lines."""
+    """The harmonized table plus ``faults`` for a stream of lines."""
     return parse_strict(lines, year, keep=())
 
 
@@ -25,9 +26,12 @@ def selected_stream(scored: DataFrame, threshold: float, eligible: Column | None
 
 
 def write_split(parsed: DataFrame, accepted: str, rejected: str, checkpoint: str):
-    """Append accepted records and rejects of each batch to their tables; returns the started query."""
-    def store(batch: DataFrame, _: int) -> None:
-        batch.where(F.size("errors") == 0).drop("errors").write.mode("append").parquet(accepted)
-        batch.where(F.size("errors") > 0).select(F.inline("errors")).write.mode("append").parquet(rejected)
+    """Store accepted records and rejects of each batch; returns the started query.
+
+    A batch owns the directory ``batch=<id>``, so one that is run again after a failure replaces itself.
+    """
+    def store(batch: DataFrame, number: int) -> None:
+        accepted_rows(batch).write.mode("overwrite").parquet(f"{accepted}/batch={number}")
+        rejects(batch, ()).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
 
     return parsed.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
