@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from quotalens.functions.numeric import uniform
 from quotalens.operators.cohorts import by_target
 from quotalens.operators.features import FeatureParameters
 from quotalens.operators.grid import Availability
+from quotalens.session import shared_folder
+from quotalens.sources.fixed_width import read_lines
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -110,26 +114,36 @@ def field_sql(i: int, f: Field) -> str:
     )
 
 
+#: Columns that no field uses; the order key stands there so that a line can be traced.
+KEY_START, KEY_WIDTH = 15, 12
+
+
 def rendered_lines(spark: SparkSession, folder: str, lenient: bool = False) -> DataFrame:
-    """One fixed-width line per order, some of them cut short, not ASCII or (leniently) blank."""
+    """One fixed-width line per order, written as text files with carriage returns and read back: ``pos``, ``value``.
+
+    Some lines are cut short, not ASCII or (leniently) blank.
+    """
     raw = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k")).select(
-        F.col("k").alias("pos"), *[F.expr(field_sql(i, f)).alias(f.name) for i, f in enumerate(FIELDS)]
+        "k", *[F.rpad(F.expr(field_sql(i, f)), f.width, " ").alias(f.name) for i, f in enumerate(FIELDS)]
     )
+    places = sorted([(f.start, f.width, F.col(f.name)) for f in FIELDS] + [(KEY_START, KEY_WIDTH, F.lpad(F.col("k").cast("string"), KEY_WIDTH, "0"))],
+                    key=lambda place: place[0])
     pieces, at = [], 1
-    for f in sorted(FIELDS, key=lambda f: f.start):
-        if f.start > at:
-            pieces.append(F.lit(" " * (f.start - at)))
-        pieces.append(F.rpad(F.col(f.name), f.width, " "))
-        at = f.end + 1
-    pieces.append(F.lit(" " * (RECORD_LENGTH + 1 - at)))
-    line = F.concat(*pieces)
-    cut, odd = F.col("pos") % CUT_EVERY == 0, F.col("pos") % ODD_EVERY == 0
+    for start, width, text in places:
+        pieces += [F.lit(" " * (start - at)), text]
+        at = start + width
+    line = F.concat(*pieces, F.lit(" " * (RECORD_LENGTH + 1 - at)))
+    cut, odd = F.col("k") % CUT_EVERY == 0, F.col("k") % ODD_EVERY == 0
     if lenient:
-        value = F.when(odd, "").when(cut, F.substring(line, 1, 300)).otherwise(line)
+        rest = F.when(odd, 0).when(cut, 300).otherwise(RECORD_LENGTH)
+        value = F.substring(line, F.lit(1), rest)
     else:
-        value = F.when(cut, F.substring(line, 1, RECORD_LENGTH - 1)).when(
-            odd, F.concat(F.lit("é"), F.substring(line, 2, RECORD_LENGTH))).otherwise(line)
-    return raw.select("pos", F.concat(value, F.lit("\r")).alias("value"))
+        value = F.overlay(F.substring(line, F.lit(1), F.when(cut, RECORD_LENGTH - 1).otherwise(RECORD_LENGTH)),
+                          F.when(odd & ~cut, "é").otherwise(" "), 1)
+    path = f"{shared_folder(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    raw.select(F.concat(value, F.lit("\r")).alias("value")).write.text(path)
+    key = F.substring("value", KEY_START, KEY_WIDTH).try_cast("bigint")
+    return read_lines(spark, path).select(key.alias("pos"), "value")
 
 
 def feature_records(spark: SparkSession, folder: str) -> DataFrame:
