@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quotalens.functions.numeric import budget, ratio
 from quotalens.names import ALL, EARLY, FIXED_THRESHOLD, FRACTIONS, TOP_FRACTION
-from quotalens.operators.ranking import Worklist, at_most, top_b
+from quotalens.operators.ranking import Worklist, at_most, each_fraction, top_b
 
 #: Cell -> (candidate set is the wide one, budget comes from the wide one).
 CELLS = {"C00": (False, False), "C10": (True, False), "C01": (False, True), "C11": (True, True)}
@@ -52,19 +52,25 @@ def cell_requests(work: Worklist, fractions: Sequence[float] = FRACTIONS, narrow
     usable = F.when((work.n(narrow) > 0) & (F.col("full_e") > 0), F.lit(True)).otherwise(
         F.raise_error(F.lit("four cells need a non-empty narrow set and at least one event")).cast("boolean")
     )
-    asked = []
-    for q in fractions:
-        sizes = {False: budget(q, work.n(narrow)), True: at_most(budget(q, work.n(wide)), work.n(narrow), f"{narrow}/{q}")}
-        for cell, (from_wide, by_wide) in CELLS.items():
-            name = wide if from_wide else narrow
-            asked.append(F.struct(
-                F.lit(float(q)).alias("nominal_fraction"), F.lit(cell).alias("cell"), F.lit(name).alias("scenario"),
-                F.lit("all" if by_wide else "early").alias("budget_source"),
-                work.n(name).alias("candidate_n"), work.e(name).alias("candidate_event_n"),
-                F.col("full_n").alias("full_population_n"), F.col("full_e").alias("full_population_event_n"),
-                sizes[by_wide].alias("budget_n"),
-            ))
-    return work.totals.where(usable).select(*work.by, F.inline(F.array(*asked)))
+    sized = work.totals.where(usable).select(
+        *work.by, F.col("full_n").alias("full_population_n"), F.col("full_e").alias("full_population_event_n"),
+        *[c.alias(f"{m}_{side}") for side, name in (("narrow", narrow), ("wide", wide)) for m, c in (("n", work.n(name)), ("e", work.e(name)))],
+        each_fraction(fractions),
+    )
+    budgets = sized.withColumns({
+        "b_narrow": budget(F.col("nominal_fraction"), F.col("n_narrow")),
+        "b_wide": at_most(budget(F.col("nominal_fraction"), F.col("n_wide")), F.col("n_narrow"), f"{narrow}: budget"),
+    })
+    rows = []
+    for cell, (from_wide, by_wide) in CELLS.items():
+        side = "wide" if from_wide else "narrow"
+        rows.append(F.struct(
+            F.lit(cell).alias("cell"), F.lit(wide if from_wide else narrow).alias("scenario"),
+            F.lit("all" if by_wide else "early").alias("budget_source"), F.col(f"n_{side}").alias("candidate_n"),
+            F.col(f"e_{side}").alias("candidate_event_n"), F.col("b_wide" if by_wide else "b_narrow").alias("budget_n"),
+        ))
+    return budgets.select(
+        *work.by, "nominal_fraction", "full_population_n", "full_population_event_n", F.inline(F.array(*rows)))
 
 
 def four_cells(work: Worklist, fractions: Sequence[float] = FRACTIONS, narrow: str = EARLY, wide: str = ALL) -> DataFrame:

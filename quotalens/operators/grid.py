@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quotalens.functions.numeric import clamped_budget, ratio
 from quotalens.names import AVAILABLE, FIXED_BUDGET, FIXED_THRESHOLD, POPULATION, TOP_FRACTION
 from quotalens.operators.decompose import CELLS
-from quotalens.operators.ranking import Worklist, at_most, top_b, worklist
+from quotalens.operators.ranking import Worklist, at_most, each_fraction, top_b, worklist
 from quotalens.operators.selection import threshold_counts
 from quotalens.session import ROWS_PER_TASK, materialize
 
@@ -64,18 +64,19 @@ def grid_cells(work: Worklist, sets: Mapping[str, Availability], fractions: Sequ
     Written down, because protocols and effects both read it and it is small next to the population.
     """
     usable = F.when(F.col("full_e") > 0, F.lit(True)).otherwise(F.raise_error(F.lit("a group has no events")).cast("boolean"))
-    asked = []
-    for name, s in sets.items():
-        for q in fractions:
-            own = clamped_budget(q, work.n(name))
-            whole = at_most(clamped_budget(q, F.col("full_n")), work.n(name), f"{name}/{q}")
-            for cell, (from_wide, by_wide) in CELLS.items():
-                asked.append(F.struct(
-                    *_labels(s), F.lit(float(q)).alias("nominal_fraction"), F.lit(cell).alias("cell"),
-                    F.lit(POPULATION if from_wide else name).alias("scenario"), *_sizes(work, name),
-                    (whole if by_wide else own).alias("budget_n"),
-                ))
-    requests = work.totals.where(usable).select(*work.by, F.inline(F.array(*asked)))
+    rows = F.array(*[F.struct(*_labels(s), F.lit(name).alias("_set"), *_sizes(work, name)) for name, s in sets.items()])
+    sized = work.totals.where(usable).select(*work.by, F.inline(rows)).select("*", each_fraction(fractions))
+    q, own = F.col("nominal_fraction"), F.col("available_n")
+    budgets = sized.withColumns({
+        "_own": clamped_budget(q, own), "_whole": at_most(clamped_budget(q, F.col("full_population_n")), own, "common budget")
+    })
+    cells = F.array(*[
+        F.struct(
+            F.lit(cell).alias("cell"), (F.lit(POPULATION) if from_wide else F.col("_set")).alias("scenario"),
+            F.col("_whole" if by_wide else "_own").alias("budget_n"))
+        for cell, (from_wide, by_wide) in CELLS.items()
+    ])
+    requests = budgets.select("*", F.inline(cells)).drop("_set", "_own", "_whole")
     return materialize(top_b(work, requests, allow_zero=True).drop("last_score", "last_pos"), "cells")
 
 
@@ -84,9 +85,8 @@ def grid_thresholds(
 ) -> DataFrame:
     """Cutoff per group and share on an independent sample: plus infinity for no selection, minus infinity for all."""
     work = worklist(calibration, {POPULATION: F.lit(True)}, by, rows_per_task=rows_per_task)
-    requests = work.totals.select(*by, F.lit(POPULATION).alias("scenario"), "full_n", F.inline(F.array(*[
-        F.struct(F.lit(float(q)).alias("nominal_fraction"), clamped_budget(q, F.col("full_n")).alias("budget_n")) for q in fractions
-    ])))
+    requests = work.totals.select(*by, F.lit(POPULATION).alias("scenario"), "full_n", each_fraction(fractions)).withColumn(
+        "budget_n", clamped_budget(F.col("nominal_fraction"), F.col("full_n")))
     infinite = F.lit(float("inf"))
     cut = F.when(F.col("budget_n") <= 0, infinite).when(F.col("budget_n") >= F.col("full_n"), -infinite).otherwise(F.col("last_score"))
     return top_b(work, requests, allow_zero=True).select(

@@ -224,8 +224,8 @@ def top_b(work: Worklist, requests: DataFrame, allow_zero: bool = False) -> Data
     ])
     steps = scanned.select(
         *by, "_bucket", F.col("score").alias("last_score"), F.col("pos").alias("last_pos"), "w", "y",
-        F.inline(F.array_compact(steps)),
-    ).where(F.col("w") > 0)
+        F.inline(steps),
+    ).where(F.col("scenario").isNotNull() & (F.col("w") > 0))
     found = located.join(steps, [*by, "_bucket", "scenario"]).where(
         (F.col("_need") > F.col("_upto") - F.col("w")) & (F.col("_need") <= F.col("_upto"))
     )
@@ -238,6 +238,11 @@ def top_b(work: Worklist, requests: DataFrame, allow_zero: bool = False) -> Data
     )
 
 
+def each_fraction(fractions: Sequence[float]) -> Column:
+    """One row per share, as ``nominal_fraction``."""
+    return F.explode(F.array(*[F.lit(float(q)) for q in fractions])).alias("nominal_fraction")
+
+
 def at_most(budget: Column, available: Column, label: str) -> Column:
     """The budget, or a failed query where it exceeds what is available."""
     message = F.concat(F.lit(f"{label}: budget "), budget.cast("string"), F.lit(" exceeds "), available.cast("string"))
@@ -253,12 +258,8 @@ def kth_score(
     """Cutoff per group and share: the k-th largest score, k = round(share * n) kept within 1..n."""
     work = worklist(population, {"everybody": F.lit(True)}, by, rows_per_task=rows_per_task)
     requests = work.totals.select(
-        *by, F.col("full_n").alias("calibration_n"), F.lit("everybody").alias("scenario"),
-        F.inline(F.array(*[
-            F.struct(F.lit(float(q)).alias("nominal_fraction"), F.least(budget(q, F.col("full_n")), F.col("full_n")).alias("budget_n"))
-            for q in fractions
-        ])),
-    )
+        *by, F.col("full_n").alias("calibration_n"), F.lit("everybody").alias("scenario"), each_fraction(fractions)
+    ).withColumn("budget_n", F.least(budget(F.col("nominal_fraction"), F.col("calibration_n")), F.col("calibration_n")))
     return top_b(work, requests).select(
         *by, "nominal_fraction", "calibration_n", F.col("budget_n").alias("nominal_selected_n"),
         F.col("last_score").alias("threshold"),

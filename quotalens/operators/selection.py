@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quotalens.functions.numeric import budget, ratio
 from quotalens.names import ALL, FIXED_BUDGET, FIXED_THRESHOLD, FRACTIONS, PAIRS, TOP_FRACTION
-from quotalens.operators.ranking import Worklist, at_most, rank_order, running_totals, top_b
+from quotalens.operators.ranking import Worklist, at_most, each_fraction, rank_order, running_totals, top_b
 from quotalens.session import materialize
 
 #: Access metrics in report order.
@@ -41,17 +41,14 @@ def _sizes(work: Worklist, name: str) -> list[Column]:
 
 def budget_requests(work: Worklist, fractions: Sequence[float] = FRACTIONS) -> DataFrame:
     """Top-fraction and fixed-budget requests for every scenario; too large a fixed budget fails the query."""
-    asked = []
-    for q in fractions:
-        for name in work.names:
-            own = budget(q, work.n(name))
-            common = at_most(budget(q, F.col("full_n")), work.n(name), f"{name}/{q}")
-            for protocol, size in ((TOP_FRACTION, at_most(own, work.n(name), f"{name}/{q}")), (FIXED_BUDGET, common)):
-                asked.append(F.struct(
-                    *_sizes(work, name), F.lit(protocol).alias("protocol"),
-                    F.lit(float(q)).alias("nominal_fraction"), size.alias("budget_n"),
-                ))
-    return work.totals.select(*work.by, F.inline(F.array(*asked)))
+    sizes = F.array(*[F.struct(*_sizes(work, name)) for name in work.names])
+    per_share = work.totals.select(*work.by, F.inline(sizes)).select("*", each_fraction(fractions))
+    q, own, label = F.col("nominal_fraction"), F.col("eligible_n"), "fixed budget"
+    rows = F.array(
+        F.struct(F.lit(TOP_FRACTION).alias("protocol"), at_most(budget(q, own), own, "top fraction").alias("budget_n")),
+        F.struct(F.lit(FIXED_BUDGET).alias("protocol"), at_most(budget(q, F.col("full_population_n")), own, label).alias("budget_n")),
+    )
+    return per_share.select("*", F.inline(rows))
 
 
 def threshold_counts(work: Worklist, thresholds: DataFrame, fractions: Sequence[float] = FRACTIONS) -> DataFrame:
