@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ from quotalens.operators.cohorts import scenarios
 from quotalens.operators.decompose import CELLS, add_effects
 from quotalens.operators.ranking import Worklist, at_most, ranked, top_b, worklist
 from quotalens.operators.selection import budget_requests, threshold_counts
-from quotalens.session import ROWS_PER_TASK, materialize
+from quotalens.session import ROWS_PER_TASK, materialize, shuffle_width
 
 #: Effects that get a percentile interval.
 INTERVAL_EFFECTS = (
@@ -43,12 +45,14 @@ def resample(
     """The population once per replicate with integer ``w`` >= 1, records not drawn left out.
 
     Record number i of a group makes draw i of every replicate: it hits the record whose 0-based rank is
-    floor(u * n). The table is written down because both passes of a selection read it.
+    floor(u * n). The table is written down because both passes of a selection read it. The few partitions of a
+    ranking are spread out before each record is multiplied by the replicates.
     """
     by = list(by)
     order = materialize(ranked(population, by, rows_per_task=rows_per_task).drop("cum_event_n"), "ranked")
     sizes = order.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    draws = order.select(*by, "rank", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).join(sizes, by)
+    spread = order.select(*by, "rank").repartition(shuffle_width(order), *by, "rank").join(sizes, by)
+    draws = spread.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     hit = F.floor(uniform(F.lit(seed), *[F.col(c) for c in by], F.col("replicate"), F.col("rank") - 1) * F.col("_n")) + 1
     counts = draws.select(*by, "replicate", hit.cast("bigint").alias("rank")).groupBy(*by, "replicate", "rank").agg(
         F.count(F.lit(1)).alias("w"))
@@ -185,11 +189,15 @@ def replicate_check(rows: DataFrame, keys: Sequence[str], replicates: int) -> Da
     ).where((F.col("rows") != replicates) | (F.col("distinct_replicates") != replicates))
 
 
+# Task bodies below travel by value, so executors need numpy and pandas but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 # --- Block bootstrap -------------------------------------------------------------------------------------------
 
 #: Stretches one stretch is divided into per level, and replicates one task handles.
 FAN_OUT = 2000
-REPLICATES_PER_TASK = 25
+REPLICATES_PER_TASK = 250
 
 
 def _generator(seed: int, *parts: object) -> np.random.Generator:
@@ -292,10 +300,16 @@ def _descend(keys: Sequence[str], seed: int, level: int):
 
 
 def stretch_sizes(largest: int, fan_out: int = FAN_OUT) -> list[int]:
-    """Stretch lengths per level, down to single records: no stretch has more than ``fan_out`` children."""
+    """Stretch lengths per level, down to single records.
+
+    The fewest levels for which no stretch has more than ``fan_out`` children, with children spread evenly over the
+    levels: long last stretches keep the budgets of many replicates in the same few stretches.
+    """
+    levels = max(1, math.ceil(math.log(max(2, largest)) / math.log(fan_out) - 1e-9))
+    ratio = max(2, math.ceil(largest ** (1.0 / levels)))
     sizes, length = [], largest
     while length > 1:
-        length = math.ceil(length / fan_out)
+        length = math.ceil(length / ratio)
         sizes.append(length)
     return sizes or [1]
 

@@ -12,7 +12,7 @@ from quotalens.functions.numeric import uniform
 from quotalens.operators.cohorts import by_target
 from quotalens.operators.features import FeatureParameters
 from quotalens.operators.grid import Availability
-from quotalens.session import shared_folder
+from quotalens.session import shared_folder, shuffle_width
 from quotalens.sources.fixed_width import read_lines
 
 
@@ -123,7 +123,8 @@ def rendered_lines(spark: SparkSession, folder: str, lenient: bool = False) -> D
 
     Some lines are cut short, not ASCII or (leniently) blank.
     """
-    raw = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k")).select(
+    keys = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"))
+    raw = keys.repartition(shuffle_width(keys), "k").select(
         "k", *[F.rpad(F.expr(field_sql(i, f)), f.width, " ").alias(f.name) for i, f in enumerate(FIELDS)]
     )
     places = sorted([(f.start, f.width, F.col(f.name)) for f in FIELDS] + [(KEY_START, KEY_WIDTH, F.lpad(F.col("k").cast("string"), KEY_WIDTH, "0"))],

@@ -20,6 +20,7 @@ def local_session(app: str = "quotalens", cores: int | str = 8, **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
+        "spark.sql.files.maxPartitionBytes": "16m",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update(conf)
@@ -46,6 +47,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def shuffle_width(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, for a spread that must not be coalesced."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
