@@ -50,7 +50,7 @@ def resample(
     """
     by = list(by)
     order = materialize(ranked(population, by, rows_per_task=rows_per_task).drop("cum_event_n"), "ranked")
-    sizes = order.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = materialize(order.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "sizes")
     spread = order.select(*by, "rank").repartition(shuffle_width(order), *by, "rank").join(sizes, by)
     draws = spread.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     hit = F.floor(uniform(F.lit(seed), *[F.col(c) for c in by], F.col("replicate"), F.col("rank") - 1) * F.col("_n")) + 1
@@ -336,7 +336,9 @@ def block_bootstrap(
     ``constants``: one row per group with budget and cutoff columns; ``cuts`` names the cutoff columns.
     """
     by = list(by)
-    rows = population if constants is None else population.join(constants.select(*by, *cuts), by)
+    if constants is not None:
+        constants = materialize(constants, "constants")
+    rows = population.join(constants.select(*by, *cuts), by) if cuts else population
     bits = [*members.values(), *[F.col("score") >= F.col(c) for c in cuts]]
     code = F.col("y").cast("int")
     for i, flag in enumerate(bits, start=1):

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotalens.functions.numeric import ratio
-from quotalens.operators.ranking import add_bucket, running_totals, score_cuts, worklist
+from quotalens.operators.ranking import running_totals, worklist
 from quotalens.operators.selection import threshold_counts
-from quotalens.session import ROWS_PER_TASK, materialize
+from quotalens.session import ROWS_PER_TASK
 
 
 def model_diagnostics(
@@ -18,9 +18,9 @@ def model_diagnostics(
 ) -> DataFrame:
     """n, events, prevalence, average precision, ROC AUC and Brier score per group, exact under ties.
 
-    Rows collapse to distinct scores first (map-side), so ties cost nothing and share one step of the curve. The
-    running sums over distinct scores are then local to a score bucket with per-bucket offsets, so no task holds a
-    whole group however many distinct scores there are.
+    Rows collapse to distinct scores first (map-side), so ties cost nothing and share one step of the curve. In a large
+    population the distinct scores are cut into range slices with offsets, so no task holds a whole group however many
+    there are.
     """
     by = list(by)
     scored = population.select(*by, (F.col("score").cast("double") + F.lit(0.0)).alias("score"), F.col("y").cast("int").alias("y"))
@@ -28,23 +28,8 @@ def model_diagnostics(
     steps = scored.groupBy(*by, "score").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("e"), F.sum(error).alias("sq"),
     )
-    rows = scored.count()
-    if rows <= rows_per_task:
-        curve = running_totals(steps, by, [F.col("score").desc()], {"cum_n": F.col("n"), "cum_e": F.col("e")}, spread=False)
-    else:
-        steps = materialize(add_bucket(steps, score_cuts(scored, rows, rows_per_task)), "steps")
-        before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = materialize(
-            steps.groupBy(*by, "_bucket").agg(F.sum("n").alias("bn"), F.sum("e").alias("be")).select(
-                *by, "_bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"off_{c}") for c in ("bn", "be")]
-            ),
-            "offsets",
-        )
-        curve = running_totals(
-            steps, [*by, "_bucket"], [F.col("score").desc()], {"cum_n": F.col("n"), "cum_e": F.col("e")}, spread=False
-        ).join(offsets, [*by, "_bucket"]).withColumns({
-            "cum_n": F.col("cum_n") + F.col("off_bn"), "cum_e": F.col("cum_e") + F.col("off_be")
-        })
+    curve = running_totals(
+        steps, by, [F.col("score").desc()], {"cum_n": F.col("n"), "cum_e": F.col("e")}, spread=scored.count() > rows_per_task)
     negatives = F.col("n") - F.col("e")
     sums = curve.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum("e").alias("event_n"), F.sum("sq").alias("sq"),

@@ -127,6 +127,8 @@ def select_top(df: DataFrame, work: Worklist, requests: DataFrame) -> DataFrame:
     :func:`top_b` turns the selection into a filter.
     """
     edge = top_b(work, requests).select(*work.by, "scenario", "last_score", "last_pos")
+    if work.hist is not None:
+        edge = materialize(edge, "edge")
     member = F.lit(False)
     for i, name in enumerate(work.names):
         member = member | ((F.col("scenario") == F.lit(name)) & F.col(f"in{i}"))

@@ -266,7 +266,7 @@ def model_diagnostics(spark, folder):
 
 @query
 def model_diagnostics_bucketed(spark, folder):
-    """Same formulas on heavily tied order scores through score buckets."""
+    """Same formulas on heavily tied order scores through range slices."""
     return _rounded(diagnostics.model_diagnostics(b.orders_population(spark, folder), rows_per_task=1_000))
 
 
