@@ -212,18 +212,32 @@ SENSITIVITY = {
 
 
 def sensitivity(
-    base: DataFrame, other: DataFrame, base_name: str, other_name: str, by: Sequence[str] = ("target",)
+    base: DataFrame, other: DataFrame, base_name: str, other_name: str, by: Sequence[str] = ("target",),
+    contrasts: tuple[DataFrame, DataFrame] | None = None, narrow: str = EARLY, wide: str = ALL,
 ) -> DataFrame:
-    """Two decompositions of the same population under different scores, side by side with differences and ratios."""
+    """Two decompositions of the same population under different scores, side by side with differences and ratios.
+
+    ``contrasts``: the comparison tables of both scores, for the contrast at a fixed threshold.
+    """
+    measures = list(SENSITIVITY)
+    if contrasts is not None:
+        at_cut = (F.col("protocol") == FIXED_THRESHOLD) & (F.col("from_scenario") == narrow) & (F.col("to_scenario") == wide)
+        base, other = (
+            df.join(c.where(at_cut).select(*by, "nominal_fraction", "delta_population_event_capture"), [*by, "nominal_fraction"])
+            for df, c in zip((base, other), contrasts)
+        )
+        measures.append("threshold_early_all")
+
     def side(df: DataFrame, name: str) -> DataFrame:
+        cut = [] if contrasts is None else [(100 * F.col("delta_population_event_capture")).alias(f"{name}_threshold_early_all_pp")]
         return df.select(
-            *by, "nominal_fraction", *[F.expr(e).alias(f"{name}_{m}_pp") for m, e in SENSITIVITY.items()],
+            *by, "nominal_fraction", *[F.expr(e).alias(f"{name}_{m}_pp") for m, e in SENSITIVITY.items()], *cut,
             ratio(F.col("shapley_capacity"), F.col("total_topq_contrast")).alias(f"{name}_capacity_share"),
         )
 
     both = side(base, base_name).join(side(other, other_name), [*by, "nominal_fraction"])
     deltas = {
-        f"delta_{m}_pp": F.col(f"{other_name}_{m}_pp") - F.col(f"{base_name}_{m}_pp") for m in SENSITIVITY
+        f"delta_{m}_pp": F.col(f"{other_name}_{m}_pp") - F.col(f"{base_name}_{m}_pp") for m in measures
     }
     ratios = {
         f"{m}_ratio": ratio(F.col(f"{other_name}_{m}_pp"), F.col(f"{base_name}_{m}_pp"))

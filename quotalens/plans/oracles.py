@@ -143,20 +143,6 @@ ORACLES["identity_check"] = ALL_CELLS + "".join(
 )
 
 
-def _side(name: str, score: str) -> str:
-    return f"""SELECT target, nominal_fraction, 100 * total_topq_contrast AS {name}_topq_total_pp,
-  100 * ordered_availability_at_all_budget AS {name}_fixed_budget_early_all_pp, 100 * shapley_availability AS {name}_shapley_availability_pp,
-  100 * shapley_capacity AS {name}_shapley_capacity_pp, 100 * interaction AS {name}_interaction_pp,
-  {_ratio('shapley_capacity', 'total_topq_contrast')} AS {name}_capacity_share
-  FROM ({_pop(score)} {RANKED} {CELLS} {DECOMP} SELECT * FROM decomposition)"""
-
-
-ORACLES["sensitivity"] = f"""SELECT *,
-  {', '.join(f'fine_{m}_pp - coarse_{m}_pp AS delta_{m}_pp' for m in ('topq_total', 'fixed_budget_early_all', 'shapley_availability', 'shapley_capacity', 'interaction'))},
-  {_ratio('fine_topq_total_pp', 'coarse_topq_total_pp')} AS topq_total_ratio,
-  {_ratio('fine_shapley_availability_pp', 'coarse_shapley_availability_pp')} AS shapley_availability_ratio
-FROM ({_side('coarse', 'score')}) JOIN ({_side('fine', 'fine_score')}) USING (target, nominal_fraction)"""
-
 # --- Cohorts ----------------------------------------------------------------------------------------------------
 
 FLOW_GROUPS = {
@@ -229,6 +215,23 @@ comparisons AS (
   FROM {PAIRS} JOIN protocols a ON a.availability_scenario = from_scenario
   JOIN protocols b ON b.availability_scenario = to_scenario AND b.target = a.target AND b.protocol = a.protocol AND b.nominal_fraction = a.nominal_fraction)"""
 ORACLES["comparisons"] = ALL_PROTOCOLS + COMPARISONS + " SELECT * FROM comparisons"
+def _side(name: str, score: str) -> str:
+    return f"""SELECT target, nominal_fraction, 100 * total_topq_contrast AS {name}_topq_total_pp,
+  100 * ordered_availability_at_all_budget AS {name}_fixed_budget_early_all_pp, 100 * shapley_availability AS {name}_shapley_availability_pp,
+  100 * shapley_capacity AS {name}_shapley_capacity_pp, 100 * interaction AS {name}_interaction_pp,
+  100 * delta_population_event_capture AS {name}_threshold_early_all_pp,
+  {_ratio('shapley_capacity', 'total_topq_contrast')} AS {name}_capacity_share
+  FROM ({_pop(score)} {RANKED} {CELLS} {DECOMP} {PROTOCOLS} {COMPARISONS}
+    SELECT * FROM decomposition JOIN comparisons USING (target, nominal_fraction) WHERE protocol = 'fixed_calibration_threshold'
+      AND from_scenario = 'early_entry' AND to_scenario = 'all_record_upper_bound')"""
+
+
+ORACLES["sensitivity"] = f"""SELECT *,
+  {', '.join(f'fine_{m}_pp - coarse_{m}_pp AS delta_{m}_pp' for m in ('topq_total', 'fixed_budget_early_all', 'shapley_availability', 'shapley_capacity', 'interaction', 'threshold_early_all'))},
+  {_ratio('fine_topq_total_pp', 'coarse_topq_total_pp')} AS topq_total_ratio,
+  {_ratio('fine_shapley_availability_pp', 'coarse_shapley_availability_pp')} AS shapley_availability_ratio
+FROM ({_side('coarse', 'score')}) JOIN ({_side('fine', 'fine_score')}) USING (target, nominal_fraction)"""
+
 ORACLES["marginal_yield"] = ALL_PROTOCOLS + f""" SELECT a.target, a.nominal_fraction, b.selected_n - a.selected_n AS added_selected_n,
   b.true_positive_n - a.true_positive_n AS added_event_n,
   {_ratio('100 * (b.true_positive_n - a.true_positive_n)', 'b.selected_n - a.selected_n')} AS events_per_100_added,
