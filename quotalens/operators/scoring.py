@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quotalens.names import FRACTIONS
 from quotalens.operators.features import FeatureParameters, check_features, fit_features, transform_features
 from quotalens.operators.ranking import kth_score, ranked
-from quotalens.session import ROWS_PER_TASK
+from quotalens.session import ROWS_PER_TASK, shuffle_width
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,8 @@ def fit_score(
     params = fit_features(train, numeric, category)
     matrix = transform_features(train, params).select(
         array_to_vector("features").alias("features"), F.col(label).cast("double").alias("label"))
+    # Every boosting round passes over the same rows, so an even spread pays for its one shuffle.
+    matrix = matrix.repartition(shuffle_width(matrix))
     model = GBTClassifier(
         maxIter=trees, maxDepth=depth, stepSize=step, minInstancesPerNode=min_rows, seed=seed, cacheNodeIds=False,
     ).fit(matrix)
