@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotalens.llm import bpe, licenses, secrets
-from quotalens.llm.common import table
+from quotalens.llm import bpe, decontaminate, language, licenses, neardup, pages, quality, secrets, topk
+from quotalens.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,68 @@ def op2_secret_scan(spark, folder):
     )
 
 
+@query
+def op3_quality(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    net = quality.fit_quality(docs, table(spark, folder, "labels").select("doc_id", "quality"))
+    return quality.score_quality(docs, net, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_topk(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op4_topk"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op6_main_text(spark, folder):
+    return pages.extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op7_decontamination(spark, folder):
+    return decontaminate.contamination(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text"))
+
+
+ORACLES["op7_decontamination"] = r"""
+WITH d AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), i AS (
+  SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+), ds AS (
+  SELECT doc_id, w, list_transform(range(len(w) - 4), lambda k: array_to_string(w[k + 1:k + 5], ' ')) AS s FROM d WHERE len(w) >= 5
+), iss AS (
+  SELECT item_id, w, list_transform(range(len(w) - 4), lambda k: array_to_string(w[k + 1:k + 5], ' ')) AS s FROM i WHERE len(w) >= 5
+), dx AS (SELECT doc_id, w, s, unnest(s) AS h, unnest(range(len(s))) AS at FROM ds
+), ix AS (SELECT DISTINCT item_id, w, s, unnest(s) AS h FROM iss
+), win AS (
+  SELECT doc_id, item_id, dx.w AS dw, ix.w AS iw, at, dx.s[at + 1:at + len(ix.s)] AS a, ix.s AS b FROM dx JOIN ix USING (h)
+), tag AS (
+  SELECT doc_id, item_id, dw, iw, at,
+    list_transform(a, lambda x, k: x || ':' || len(list_filter(a[1:k], lambda y: y = x))) AS a,
+    list_transform(b, lambda x, k: x || ':' || len(list_filter(b[1:k], lambda y: y = x))) AS b FROM win
+), sim AS (
+  SELECT doc_id, item_id, at, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE AS similarity FROM tag
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, at) AS r FROM sim WHERE similarity >= 0.8
+)
+SELECT doc_id, item_id, at::BIGINT AS start_word, similarity FROM best WHERE r = 1
+"""
+
+
 @query
 def op8_bpe(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -49,3 +111,16 @@ def op8_bpe(spark, folder):
         "doc_id", F.col("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_near_duplicates(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_language(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.fit_languages(docs)
+    found = language.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
