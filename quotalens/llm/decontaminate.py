@@ -36,11 +36,15 @@ def words(text: Column) -> Column:
 
 
 def shingles(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep``, ``size`` (words) and ``s``, the shingles' hashes in order; rows without a shingle are left out."""
-    hashed = df.select(*keep, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("w")).filter(F.size("w") >= SHINGLE)
+    """``keep``, ``size`` (words) and ``s``, the shingles' hashes in order, null where a text has too few words.
+
+    Don't filter on ``s`` before it is written or exploded: a filter would be pushed below the words and cut the text
+    again for every shingle. For the same reason callers explode with an outer generator.
+    """
+    hashed = df.select(*keep, F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
     each = F.transform(
         F.sequence(F.lit(0), F.size("w") - SHINGLE), lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(SHINGLE)]))
-    return hashed.select(*keep, F.size("w").alias("size"), each.alias("s"))
+    return hashed.select(*keep, F.size("w").alias("size"), F.when(F.size("w") >= SHINGLE, each).alias("s"))
 
 
 def fingerprint(s: Column) -> Column:
@@ -81,17 +85,17 @@ def contamination(
 ) -> DataFrame:
     """(doc_id, item_id, start_word, similarity): the best window of every document for every item that it holds."""
     named = benchmark.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).distinct()
-    items = materialize(shingles(named, ["item_id"]), "items")
+    items = materialize(shingles(named, ["item_id"]), "items").filter(F.col("s").isNotNull())
     wanted = items.select(F.explode("s").alias("h"), "size").distinct().groupBy("h").agg(F.collect_set("size").alias("sizes"))
     if items.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0] <= MOST_SENT:
         wanted = F.broadcast(wanted)
     docs = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
-    places = shingles(docs, ["doc_id"]).select("doc_id", F.posexplode("s").alias("at", "h")).join(wanted, "h").select(
+    places = shingles(docs, ["doc_id"]).select("doc_id", F.posexplode_outer("s").alias("at", "h")).join(wanted, "h").select(
         "doc_id", F.explode("sizes").alias("size"), "at")
     places = places.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("places"))  # at most words x sizes
     places = materialize(places, "places")
-    held = shingles(docs.join(places, "doc_id"), ["doc_id", "places"]).select("doc_id", "s", F.explode("places").alias("p"))
+    held = shingles(docs.join(places, "doc_id"), ["doc_id", "places"]).select("doc_id", "s", F.explode_outer("places").alias("p"))
     held = held.filter(F.col("p.at") < F.size("s")).select(
         "doc_id", F.col("p.at").alias("at"), F.col("p.size").alias("size"), F.slice("s", F.col("p.at") + 1, F.col("p.size") - SHINGLE + 1).alias("s"))
     windows = materialize(held.withColumns({"a": F.xxhash64("s"), "b": F.xxhash64(F.lit(1), "s")}), "windows")

@@ -1,8 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Every byte has a learned vector. Learned filters of eight bytes slide over the whole document four bytes at a time; over
-each chunk of 128 bytes (chunks overlap by half) the strongest response of each filter is kept. The mean and the maximum
-of the chunks' responses are combined into one probability. Documents of any length are read whole, block by block, with
+each chunk of 128 bytes (chunks overlap by half) the strongest response of each filter is kept. The mean, the
+maximum and the minimum of the chunks' responses are combined into one probability. Documents of any length are read whole, block by block, with
 bounded memory.
 
 Trained by back-propagation with Adam on a bounded sample of labelled rows (``SAMPLE`` a class, ``SNIPPET`` characters of
@@ -24,7 +24,7 @@ by_value(__name__)
 #: Rows a class and characters a row used for training at most.
 SAMPLE, SNIPPET = 1000, 2500
 
-VECTOR, STRIDE, FILTERS, HALF, EPOCHS, BATCH, RATE = 6, 4, 24, 64, 4, 16, 0.005
+VECTOR, STRIDE, FILTERS, HALF, EPOCHS, BATCH, RATE = 6, 4, 24, 64, 10, 16, 0.006
 _BLOCK = 1 << 17
 
 
@@ -36,7 +36,7 @@ class Network:
         make = lambda *shape: rng.normal(0, 0.2, shape).astype(np.float32)
         self.w = {
             "vectors": make(256, VECTOR), "first": make(STRIDE * VECTOR, FILTERS), "second": make(STRIDE * VECTOR, FILTERS),
-            "shift": np.zeros(FILTERS, np.float32), "out": make(2 * FILTERS), "bias": np.zeros(1, np.float32),
+            "shift": np.zeros(FILTERS, np.float32), "out": make(3 * FILTERS), "bias": np.zeros(1, np.float32),
         }
         self.constant = constant
 
@@ -67,7 +67,7 @@ class Network:
             return self.constant
         half = self.halves(data)
         chunks = np.maximum(half[:-1], half[1:]) if len(half) > 1 else half
-        z = np.concatenate([chunks.mean(0), chunks.max(0)]) @ self.w["out"] + self.w["bias"][0]
+        z = np.concatenate([chunks.mean(0), chunks.max(0), chunks.min(0)]) @ self.w["out"] + self.w["bias"][0]
         return float(1 / (1 + np.exp(-np.float64(z))))
 
     def gradient(self, data: bytes, label: int) -> dict[str, np.ndarray]:
@@ -84,13 +84,14 @@ class Network:
             chunks, place = np.where(left, top[:-1], top[1:]), np.where(left, best[:-1], best[1:])
         else:
             chunks, place = top, best
-        pooled = np.concatenate([chunks.mean(0), chunks.max(0)])
+        pooled = np.concatenate([chunks.mean(0), chunks.max(0), chunks.min(0)])
         z = pooled @ self.w["out"] + self.w["bias"][0]
         error = np.float32(1 / (1 + np.exp(-np.float64(z))) - label)
         back = error * self.w["out"]
         grad = np.tile(back[:FILTERS] / len(chunks), (len(chunks), 1))
         every = np.arange(FILTERS)
-        grad[chunks.argmax(0), every] += back[FILTERS:]
+        grad[chunks.argmax(0), every] += back[FILTERS:2 * FILTERS]
+        grad[chunks.argmin(0), every] += back[2 * FILTERS:]
         dy = np.zeros_like(y)
         np.add.at(dy, (place, np.broadcast_to(every, place.shape)), grad)
         dy *= y > 0
@@ -123,7 +124,7 @@ def train(texts: list[str], labels: list[int]) -> Network:
                 g = sum(x[k] for x in grads) / len(rows)
                 mean[k] = 0.9 * mean[k] + 0.1 * g
                 square[k] = 0.99 * square[k] + 0.01 * g * g
-                w -= RATE * (0.5 ** epoch) * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-6)
+                w -= RATE * (0.8 ** epoch) * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-6)
     return net
 
 

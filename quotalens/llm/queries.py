@@ -86,20 +86,20 @@ WITH d AS (
   SELECT doc_id, w, list_transform(range(len(w) - 4), lambda k: array_to_string(w[k + 1:k + 5], ' ')) AS s FROM d WHERE len(w) >= 5
 ), iss AS (
   SELECT item_id, w, list_transform(range(len(w) - 4), lambda k: array_to_string(w[k + 1:k + 5], ' ')) AS s FROM i WHERE len(w) >= 5
-), dx AS (SELECT doc_id, w, s, unnest(s) AS h, unnest(range(len(s))) AS at FROM ds
+), dx AS (SELECT doc_id, w, s, unnest(s) AS h, unnest(range(len(s))) AS pos FROM ds
 ), ix AS (SELECT DISTINCT item_id, w, s, unnest(s) AS h FROM iss
 ), win AS (
-  SELECT doc_id, item_id, dx.w AS dw, ix.w AS iw, at, dx.s[at + 1:at + len(ix.s)] AS a, ix.s AS b FROM dx JOIN ix USING (h)
+  SELECT doc_id, item_id, dx.w AS dw, ix.w AS iw, pos, dx.s[pos + 1:pos + len(ix.s)] AS a, ix.s AS b FROM dx JOIN ix USING (h)
 ), tag AS (
-  SELECT doc_id, item_id, dw, iw, at,
+  SELECT doc_id, item_id, dw, iw, pos,
     list_transform(a, lambda x, k: x || ':' || len(list_filter(a[1:k], lambda y: y = x))) AS a,
     list_transform(b, lambda x, k: x || ':' || len(list_filter(b[1:k], lambda y: y = x))) AS b FROM win
 ), sim AS (
-  SELECT doc_id, item_id, at, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE AS similarity FROM tag
+  SELECT doc_id, item_id, pos, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE AS similarity FROM tag
 ), best AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, at) AS r FROM sim WHERE similarity >= 0.8
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, pos) AS r FROM sim WHERE similarity >= 0.8
 )
-SELECT doc_id, item_id, at::BIGINT AS start_word, similarity FROM best WHERE r = 1
+SELECT doc_id, item_id, pos::BIGINT AS start_word, similarity FROM best WHERE r = 1
 """
 
 
