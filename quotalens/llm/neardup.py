@@ -32,8 +32,8 @@ by_value(__name__)
 
 SHINGLE, SIMILARITY = 5, 0.8
 
-#: At similarity 0.8 all of 20 bands of 5 samples differ with a probability of 0.0004.
-BANDS, ROWS = 20, 5
+#: At similarity 0.8 all of 14 bands of 4 samples differ with a probability of 0.0006.
+BANDS, ROWS = 14, 4
 
 #: Counters of the word frequencies and entries of the table of random variables, as powers of two.
 COUNTERS, VARIABLES = 16, 16
@@ -41,7 +41,7 @@ COUNTERS, VARIABLES = 16, 16
 ROUNDS, LARGE = 2, 500
 
 #: Share of equal samples below which similarity 0.8 is out of reach (five standard deviations).
-ESTIMATE = 0.6
+ESTIMATE = 0.53
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -120,29 +120,32 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / (a[1].sum() + b[1].sum() - common))
 
 
-def variables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The random variables of the sampling: r, ln c, beta, drawn once."""
+def variables() -> tuple[np.ndarray, ...]:
+    """The random variables of the sampling, drawn once: r, 1 / r, beta, and ln c + r beta - r, all of one table entry."""
     rng = np.random.default_rng(2010)
     size = 1 << VARIABLES
-    return tuple(x.astype(np.float32) for x in (rng.gamma(2, 1, size), np.log(rng.gamma(2, 1, size)), rng.random(size)))
+    r, ln_c, beta = rng.gamma(2, 1, size) + 1e-4, np.log(rng.gamma(2, 1, size)), rng.random(size)
+    return tuple(x.astype(np.float32) for x in (r, 1 / r, beta, ln_c + r * beta - r))
 
 
-def samples(s: np.ndarray, w: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """One 32-bit sample for each place of each band."""
-    out = np.zeros(BANDS * ROWS, np.uint32)
-    if not len(s):
-        return out
-    r, ln_c, beta = table
+def samples(s: np.ndarray, w: np.ndarray, starts: np.ndarray, table: tuple[np.ndarray, ...]) -> np.ndarray:
+    """One 32-bit sample for each place of each band and each document; ``starts`` are the documents' first shingles.
+
+    A sample is the shingle with the smallest a = c exp(-r t) and its t = floor(ln w / r + beta). Order and identity share
+    one 64-bit number: the upper half orders by ln a, the lower half tells shingle and t and breaks ties.
+    """
+    r, inverse, beta, rest = table
     ln_w = np.log(w).astype(np.float32)
+    low, high = s.astype(np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(starts), BANDS * ROWS), np.uint32)
     for k in range(BANDS * ROWS):
-        h = mix(s * _STEP[k] + np.uint64(k))
-        at = (h >> np.uint64(64 - VARIABLES)).astype(np.int64)
-        rate, b = r[at], beta[at]
-        t = np.floor(ln_w / rate + b)
-        ln_a = ln_c[at] - rate * (t - b) - rate
-        best = np.flatnonzero(ln_a == ln_a.min())
-        ids = mix(h[best] + t[best].astype(np.int64).astype(np.uint64) * _M2) >> np.uint64(32)
-        out[k] = ids.min()
+        at = (low * np.uint32(_STEP[k] >> np.uint64(32) | np.uint64(1)) + np.uint32(_STEP[k] & np.uint64(0xFFFFFFFF))) >> np.uint32(32 - VARIABLES)
+        t = np.floor(ln_w * inverse[at] + beta[at])
+        ln_a = rest[at] - r[at] * t
+        ln_a += np.float32(256)  # above zero, floats order as their bits do
+        name = (high + t.astype(np.int32).view(np.uint32) * np.uint32(2654435761)) * np.uint32(2246822519)
+        key = (ln_a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | name
+        out[:, k] = np.minimum.reduceat(key, starts).astype(np.uint32)
     return out
 
 
@@ -172,16 +175,6 @@ def word_frequencies(df: DataFrame, text: str) -> np.ndarray:
     return np.log((n[-1] + 1) / (n[:-1] + 1)) + 0.05
 
 
-def with_node(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df`` with ``node``, which is equal for texts of the same words."""
-
-    def start():
-        powers = _Powers()
-        return lambda texts: [[node_of(word_hashes(t, powers)) for t in texts]]
-
-    return append_columns(df, text, [field("node", "string")], start, keep)
-
-
 def _connected(edges: DataFrame, name: str) -> DataFrame:
     """(node, class) of the nodes on edges (a, b): smallest node of the component, by repeated joins."""
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
@@ -243,40 +236,60 @@ def _agreement(one: Column, two: Column) -> Column:
     return F.aggregate(F.zip_with(one, two, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / (BANDS * ROWS)
 
 
-def node_classes(df: DataFrame, text: str = "text") -> DataFrame:
-    """(node, class) of all nodes: the near-duplicate class of every distinct word sequence."""
-    idf = word_frequencies(df, text)
+#: Shingles that are sampled in one go.
+_TOGETHER = 1 << 16
+
+
+def signatures(df: DataFrame, idf: np.ndarray, text: str, keep: list[str]) -> DataFrame:
+    """``keep``, node, band keys and samples of every row. Rows of one node in one slice of a batch are sampled once."""
     shared = df.sparkSession.sparkContext.broadcast(idf)
 
     def start():
         powers, table = _Powers(), variables()
 
         def work(texts):
-            nodes, keys, chosen = [], [], []
+            nodes, done, waiting = [], {"0" * 32: np.zeros(BANDS * ROWS, np.uint32)}, {}
+
+            def flush():
+                if waiting:
+                    held = list(waiting.values())
+                    starts = np.cumsum([0] + [len(x[0]) for x in held[:-1]])
+                    found = samples(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), starts, table)
+                    done.update(zip(waiting, found))
+                    waiting.clear()
+
+            size = 0
             for t in texts:
                 words = word_hashes(t, powers)
-                nodes.append(node_of(words))
-                x = samples(*weighted_shingles(words, shared.value), table)
-                keys.append(band_keys(x).tolist())
-                chosen.append(x.astype(np.int32).tolist())
-            return [nodes, keys, chosen]
+                nodes.append(node := node_of(words))
+                if node not in done and node not in waiting:
+                    waiting[node] = weighted_shingles(words, shared.value)
+                    size += len(waiting[node][0])
+                    if size >= _TOGETHER:
+                        flush()
+                        size = 0
+            flush()
+            chosen = [done[n] for n in nodes]
+            return [nodes, [band_keys(x) for x in chosen], [x.view(np.int32) for x in chosen]]
 
         return work
 
-    signed = append_columns(df, text, [field("node", "string"), field("keys", "array<long>"), field("samples", "array<int>")], start, [])
-    nodes = materialize(signed.groupBy("node").agg(F.first("keys").alias("keys"), F.first("samples").alias("samples")), "nodes")
+    fields = [field("node", "string"), field("keys", "array<long>"), field("samples", "array<int>")]
+    return append_columns(df, text, fields, start, keep)
+
+
+def node_classes(rows: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(node, class) of all nodes. ``rows``: node, keys, samples, mark; ``docs``: mark, text, where mark tells texts apart."""
+    nodes = materialize(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("keys", "samples", "mark")]), "nodes")
 
     # Buckets of two nodes or more: (key, node), and the samples of the nodes in them.
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     members = materialize(keyed.join(crowded, "key"), "members")
-    active = members.select("node").distinct()
-
-    def start_pack():
-        return lambda values: [[pack(t) for t in values]]
-
-    packed = append_columns(with_node(df.select(text), text), text, [field("packed", "binary")], start_pack, ["node"])
-    texts = materialize(packed.join(active, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed")), "texts")
+    active = members.select("node").distinct().join(nodes.select("node", "mark"), "node")
+    packed = append_columns(docs, "text", [field("packed", "binary")], lambda: lambda texts: [[pack(t) for t in texts]], ["mark"])
+    texts = packed.join(active, "mark").groupBy("node").agg(F.first("packed").alias("packed"))
+    texts = materialize(texts, "texts")
     verifier = _Verifier(texts, idf)
     sketch = nodes.select("node", "samples")
 
@@ -309,25 +322,33 @@ def node_classes(df: DataFrame, text: str = "text") -> DataFrame:
     return materialize(nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("class", "node").alias("class")), "all-classes")
 
 
+def _marked(df: DataFrame, text: str) -> DataFrame:
+    body = F.coalesce(F.col(text), F.lit(""))
+    return df.withColumn("__mark", F.struct(F.xxhash64(body).alias("hash"), F.length(body).alias("size"))).withColumn("__text", body)
+
+
+def _classified(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of every row, and (node, class) of every node."""
+    docs = _marked(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select(
+        "doc_id", F.col("__mark").alias("mark"), F.col("__text").alias("text"))
+    idf = word_frequencies(docs, "text")
+    rows = materialize(signatures(docs, idf, "text", ["doc_id", "mark"]), "signatures")
+    return rows.select("doc_id", "mark", "node"), node_classes(rows, docs.select("mark", "text"), idf)
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, n_rows): the class of every row, named by its smallest id, and the rows of that class."""
-    rows = with_node(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"])
-    rows = materialize(rows.join(node_classes(df, text), "node").select("doc_id", "class"), "rows")
-    names = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"))
-    return rows.join(names, "class").select("doc_id", "class_id", "n_rows")
+    rows, classes = _classified(df, doc_id, text)
+    placed = rows.select("doc_id", "node").join(classes, "node")
+    names = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"))
+    return placed.join(names, "class").select("doc_id", "class_id", "n_rows")
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each class: the one with the smallest id (a row without id only if the class has none)."""
     order = df.columns
-    nodes = with_node(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"])
-    nodes = nodes.groupBy("node").agg(F.min("doc_id").alias("id"))
-    least = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "node")).alias("kept")
-    kept = node_classes(df, text).join(nodes, "node").groupBy("class").agg(least).select("kept.node", F.col("kept.id").alias("__id"))
-    held = append_columns(df.withColumn("__text", F.col(text)), "__text", [field("node", "string")], _node_start, order)
-    return held.join(kept, "node").filter(F.col(doc_id).eqNullSafe(F.col("__id"))).dropDuplicates(["node"]).select(*order)
-
-
-def _node_start():
-    powers = _Powers()
-    return lambda texts: [[node_of(word_hashes(t, powers)) for t in texts]]
+    rows, classes = _classified(df, doc_id, text)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "mark")).alias("kept")
+    kept = rows.join(classes, "node").groupBy("class").agg(least).select(F.col("kept.doc_id").alias("__id"), F.col("kept.mark").alias("__mark"))
+    held = _marked(df, text).join(kept, "__mark").filter(F.col(doc_id).eqNullSafe(F.col("__id")))
+    return held.dropDuplicates(["__mark"]).select(*order)

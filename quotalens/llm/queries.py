@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotalens.llm import bpe, decontaminate, language, licenses, neardup, pages, quality, secrets, topk
+from quotalens.llm import bpe, decontaminate, language, licenses, neardup, pages, quality, secrets, substrings, topk
 from quotalens.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,40 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+@query
+def op5_substring_dedup(spark, folder):
+    out = substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    kept = F.octet_length("kept").cast("long")
+    return out.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), F.floor(F.size("spans") / 2).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op5_substring_dedup"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), p AS (
+  SELECT r, doc_id, unnest(range(strlen(x) // 2 - 49)) AS p, x FROM d WHERE doc_id IS NOT NULL AND strlen(x) >= 100
+), s AS (SELECT r, doc_id, p, substr(x, 2 * p + 1, 100) AS w FROM p
+), m AS (SELECT w, min(doc_id) AS least FROM s GROUP BY w
+), g AS (
+  SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM s JOIN m USING (w) WHERE least < doc_id
+), f AS (
+  SELECT r, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS span FROM g
+), runs AS (SELECT r, span, min(p) AS a, max(p) + 50 AS b FROM f GROUP BY r, span
+), gaps AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS start, lead(a) OVER (PARTITION BY r ORDER BY a) AS next FROM runs
+), cut AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(x, 2 * start + 1, 2 * (a - start)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+  FROM gaps JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, (strlen(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
+
 @query
 def op6_main_text(spark, folder):
     return pages.extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
