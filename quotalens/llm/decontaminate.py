@@ -95,7 +95,8 @@ def contamination(
         "doc_id", F.explode("sizes").alias("size"), "at")
     places = places.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("places"))  # at most words x sizes
     places = materialize(places, "places")
-    held = shingles(docs.join(places, "doc_id"), ["doc_id", "places"]).select("doc_id", "s", F.explode_outer("places").alias("p"))
+    # The same plan at every size: few places would be broadcast, many not.
+    held = shingles(docs.join(places.hint("merge"), "doc_id"), ["doc_id", "places"]).select("doc_id", "s", F.explode_outer("places").alias("p"))
     held = held.filter(F.col("p.at") < F.size("s")).select(
         "doc_id", F.col("p.at").alias("at"), F.col("p.size").alias("size"), F.slice("s", F.col("p.at") + 1, F.col("p.size") - SHINGLE + 1).alias("s"))
     windows = materialize(held.withColumns({"a": F.xxhash64("s"), "b": F.xxhash64(F.lit(1), "s")}), "windows")
