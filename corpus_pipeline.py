@@ -11,16 +11,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotalens.llm import bpe, secrets
+from quotalens.llm import bpe, decontaminate, language, neardup, secrets
 from quotalens.llm.common import materialize, table
 from quotalens.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents whose language is told with confidence; texts without a letter go."""
+    model = language.fit_languages(docs)
+    return language.identify(docs.select(*COLUMNS), model).filter(~F.col("rejected")).select(*COLUMNS)
+
+
+def first_of_class(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each near-duplicate class: the one with the smallest id."""
+    return neardup.keep_first(docs.select(*COLUMNS))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, folder, "benchmark"))
+
+
 def hide_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Every document stays; the values of secrets in its text are replaced and the length follows."""
-    clean = secrets.redact(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    clean = secrets.redact(docs.select(*COLUMNS), vocabulary("byte_bpe_50k.tiktoken"))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -32,7 +48,10 @@ def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("secret_scan", hide_secrets),
+    ("language", known_language),
+    ("near_duplicates", first_of_class),
+    ("decontamination", without_benchmark),
+    ("secrets", hide_secrets),
     ("bpe", tokenize),
 ]
 

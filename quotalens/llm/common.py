@@ -42,9 +42,12 @@ def append_columns(
     ``start`` runs once per task and returns the function from a list of values to one list per field. Columns of
     ``df`` that bear the name of a new field are replaced. ``keep`` names the columns that stay (default: all).
     """
-    new = {f.name for f in fields}
-    kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    source = df.select(*[F.col(c) for c in kept], F.col(column).alias("__value"))
+    new = {f.name.lower() for f in fields}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
+    free = "value"
+    while free in {c.lower() for c in kept}:
+        free += "_"
+    source = df.select(*[F.col(c) for c in kept], F.col(column).alias(free))
     out = T.StructType([source.schema[c] for c in kept] + list(fields))
     types = [_arrow(f.dataType) for f in fields]
     names = [*kept, *(f.name for f in fields)]

@@ -130,7 +130,7 @@ def train(texts: list[str], labels: list[int]) -> Network:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Network:
     """Train on labelled rows whose fold is not 1. At most ``SAMPLE`` rows a class reach the driver."""
-    known = labels.filter((fold("doc_id") != 1) & F.col(label).isin(0, 1)).groupBy("doc_id").agg(
+    known = labels.filter(F.col("doc_id").isNotNull() & (fold("doc_id") != 1) & F.col(label).isin(0, 1)).groupBy("doc_id").agg(
         F.min(label).alias("least"), F.max(label).alias("label")).filter(F.col("least") == F.col("label")).select("doc_id", "label")
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if not counts:
