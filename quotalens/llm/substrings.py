@@ -38,7 +38,7 @@ LENGTH, GRAM = 50, 18
 SPAN = LENGTH - GRAM + 1
 
 #: Bytes of text whose anchors go to one bucket on average.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -125,7 +125,7 @@ def _deal_grams(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         smallest: dict[bytes, int] = {}
         for batch in batches:
-            for piece in slices(batch, 8 << 20):
+            for piece in slices(batch, 4 << 20):
                 ids, keys, grams, places, owners = [], [], [], [], []
                 for doc, key, text in zip(*(c.to_pylist() for c in piece.columns)):
                     data = text.encode()
@@ -186,7 +186,7 @@ def _deal_surroundings(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         smallest: dict[bytes, int] = {}
         for batch in batches:
-            for piece in slices(batch, 4 << 20):
+            for piece in slices(batch, 2 << 20):
                 ids, keys, held, settled = [], [], [], []
                 for doc, key, packed, places in zip(*(c.to_pylist() for c in piece.columns)):
                     data = np.frombuffer(unzip(packed), np.uint8)
@@ -201,7 +201,7 @@ def _deal_surroundings(buckets: int):
                         if known is not None and known < doc:
                             done += [a, b]
                             continue
-                        if len(smallest) >= 2_000_000:
+                        if len(smallest) >= 300_000:  # more would only settle more copies here
                             smallest.clear()
                         smallest[name] = doc
                         held.append((gram[k], len(ids), a, at[k] - a, len(around), around))
