@@ -182,11 +182,16 @@ def protocol_summary(
     }).drop("_c", "_t")
 
 
-def replicate_check(rows: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
-    """Groups that do not hold exactly one row per replicate."""
+def replicate_counts(rows: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
+    """Rows and distinct replicates per group, and whether it holds exactly one row per replicate."""
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("replicate").alias("distinct_replicates")
-    ).where((F.col("rows") != replicates) | (F.col("distinct_replicates") != replicates))
+    ).withColumn("holds", (F.col("rows") == replicates) & (F.col("distinct_replicates") == replicates))
+
+
+def replicate_check(rows: DataFrame, keys: Sequence[str], replicates: int) -> DataFrame:
+    """Groups that do not hold exactly one row per replicate."""
+    return replicate_counts(rows, keys, replicates).where("NOT holds").drop("holds")
 
 
 # Task bodies below travel by value, so executors need numpy and pandas but not this package.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotalens.functions.numeric import ratio
-from quotalens.operators.ranking import running_totals, worklist
+from quotalens.operators.ranking import finite_score, running_totals, slices_for, worklist
 from quotalens.operators.selection import threshold_counts
 from quotalens.session import ROWS_PER_TASK
 
@@ -23,13 +23,13 @@ def model_diagnostics(
     there are.
     """
     by = list(by)
-    scored = population.select(*by, (F.col("score").cast("double") + F.lit(0.0)).alias("score"), F.col("y").cast("int").alias("y"))
+    scored = population.select(*by, finite_score().alias("score"), F.col("y").cast("int").alias("y"))
     error = (F.col("score") - F.col("y")) * (F.col("score") - F.col("y"))
     steps = scored.groupBy(*by, "score").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("e"), F.sum(error).alias("sq"),
     )
     curve = running_totals(
-        steps, by, [F.col("score").desc()], {"cum_n": F.col("n"), "cum_e": F.col("e")}, spread=scored.count() > rows_per_task)
+        steps, by, [F.col("score").desc()], {"cum_n": F.col("n"), "cum_e": F.col("e")}, slices_for(scored.count(), rows_per_task))
     negatives = F.col("n") - F.col("e")
     sums = curve.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum("e").alias("event_n"), F.sum("sq").alias("sq"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotalens.functions.fields import FEATURE_SETS, forbidden_features
-from quotalens.operators.ranking import running_totals
+from quotalens.operators.ranking import running_totals, slices_for
 from quotalens.session import ROWS_PER_TASK, materialize
 
 #: Most categories a one-hot block may have.
@@ -84,8 +84,8 @@ def exact_quantile(df: DataFrame, columns: Sequence[str], p: float = 0.5, rows_p
     Works on distinct values with running counts, so no task collects the values of a column.
     """
     counts = materialize(value_counts(df, columns), "values")
-    spread = counts.count() > rows_per_task
-    upto = running_totals(counts, ["feature"], [F.col("value").asc()], {"upto": F.col("n")}, spread)
+    slices = slices_for(counts.count(), rows_per_task)
+    upto = running_totals(counts, ["feature"], [F.col("value").asc()], {"upto": F.col("n")}, slices)
     sizes = counts.groupBy("feature").agg(F.sum("n").alias("known_n"))
     place = (F.col("known_n") - 1) * F.lit(float(p))
 

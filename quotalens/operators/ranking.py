@@ -22,33 +22,45 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotalens.functions.numeric import budget
+from quotalens.functions.numeric import budget, is_finite
 from quotalens.session import ROWS_PER_TASK, materialize
 
 #: Most score buckets used for one population; bounds the cut points held on the driver.
 MOST_BUCKETS = 4096
 
 
+def finite_score(score: str = "score") -> Column:
+    """The score as a double, negative zero as zero. A missing, NaN or infinite score fails the query in every plan."""
+    value = F.col(score).cast("double")
+    message = F.concat(F.lit("score is not finite: "), F.coalesce(value.cast("string"), F.lit("NULL")))
+    return F.when(is_finite(value), value + F.lit(0.0)).otherwise(F.raise_error(message).cast("double"))
+
+
+def slices_for(rows: int, rows_per_task: int) -> int:
+    """Slices that hold ``rows_per_task`` rows on average; 0 where one task is enough."""
+    return math.ceil(rows / rows_per_task) if rows > rows_per_task else 0
+
+
 def rank_order() -> list[Column]:
     """Score descending, position ascending."""
     return [F.col("score").desc(), F.col("pos").asc()]
 
 
 def running_totals(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], spread: bool
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], slices: int
 ) -> DataFrame:
     """Add inclusive running sums along ``order`` within each ``by`` group.
 
-    With ``spread`` the rows are range partitioned on (by, order), so a group of any size is cut into slices of
-    similar size; slice totals give the offset of each slice and the sums are local to a slice. The sliced rows
-    are written down first because slice borders come from a sample and must not change between two reads.
+    With ``slices`` the rows are range partitioned on (by, order) into that many parts, so a group of any size is cut
+    into slices of similar size; slice totals give the offset of each slice and the sums are local to a slice. The
+    sliced rows are written down first because slice borders come from a sample and must not change between two reads.
     """
-    if not spread:
+    if not slices:
         local = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({name: F.sum(value).over(local) for name, value in sums.items()})
 
     sliced = materialize(
-        df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_slice", F.spark_partition_id()), "slices"
+        df.repartitionByRange(slices, *[F.col(c) for c in by], *order).withColumn("_slice", F.spark_partition_id()), "slices"
     )
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()])
@@ -73,10 +85,10 @@ def ranked(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Every eligible row with its 1-based ``rank`` and the running ``cum_event_n`` along the ranking."""
-    rows = df if eligible is None else df.where(eligible)
-    spread = rows.count() > rows_per_task
+    rows = (df if eligible is None else df.where(eligible)).withColumn("score", finite_score())
+    slices = slices_for(rows.count(), rows_per_task)
     sums = {"rank": F.lit(1), "cum_event_n": F.col("y")}
-    out = running_totals(rows, by, rank_order(), sums, spread)
+    out = running_totals(rows, by, rank_order(), sums, slices)
     return out.withColumn("rank", F.col("rank").cast("bigint")).withColumn("cum_event_n", F.col("cum_event_n").cast("bigint"))
 
 
@@ -138,15 +150,14 @@ def worklist(
 ) -> Worklist:
     """Prepare a population with columns ``by``, ``pos``, ``score``, ``y`` and an optional integer ``weight``.
 
-    Reads only these columns and those the scenarios use. Adding zero turns a negative zero score into zero, so
-    that buckets and sort order agree on it.
+    Reads only these columns and those the scenarios use. Scores must be finite (:func:`finite_score`).
     """
     by, names = tuple(by), tuple(scenarios)
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     rows = population.select(
         *by,
         "pos",
-        (F.col("score").cast("double") + F.lit(0.0)).alias("score"),
+        finite_score().alias("score"),
         F.col("y").cast("int").alias("y"),
         w.alias("w"),
         *[member.alias(f"in{i}") for i, member in enumerate(scenarios.values())],
@@ -184,6 +195,16 @@ def _bucket_ranges(work: Worklist) -> DataFrame:
     return work.hist.withColumns(base).select(*work.by, "_bucket", F.col("rows").alias("_rows"), F.inline(parts))
 
 
+def _answerable(work: Worklist, requests: DataFrame) -> DataFrame:
+    """The requests; one that names an unknown group or scenario, or more than the scenario holds, fails the query."""
+    held = work.totals.select(*work.by, F.inline(F.array(*[
+        F.struct(F.lit(name).alias("scenario"), F.col(f"n{i}").alias("_held")) for i, name in enumerate(work.names)])))
+    where = F.concat_ws("/", *[F.col(c).cast("string") for c in (*work.by, "scenario")])
+    message = F.concat(F.lit("no boundary for budget "), F.col("budget_n").cast("string"), F.lit(" of "), where)
+    sound = F.when(F.col("budget_n") <= F.col("_held"), F.col("budget_n")).otherwise(F.raise_error(message).cast("bigint"))
+    return requests.join(held, [*work.by, "scenario"], "left").withColumn("budget_n", sound).select(*requests.columns)
+
+
 def top_b(work: Worklist, requests: DataFrame, allow_zero: bool = False) -> DataFrame:
     """Answer selection requests exactly.
 
@@ -194,11 +215,12 @@ def top_b(work: Worklist, requests: DataFrame, allow_zero: bool = False) -> Data
     with ``allow_zero``. Builders of requests check budgets against the scenario's size (:func:`at_most`).
     """
     by = list(work.by)
+    requests = _answerable(work, requests)
     if work.hist is None:
         located = requests.withColumns({
             "_bucket": F.lit(0), "_need": F.col("budget_n"), "_e_before": F.lit(0).cast("bigint")
         })
-        rows, spread = work.rows, False
+        rows, slices = work.rows, 0
     else:
         located = materialize(
             requests.join(_bucket_ranges(work), [*by, "scenario"]).where(
@@ -206,8 +228,8 @@ def top_b(work: Worklist, requests: DataFrame, allow_zero: bool = False) -> Data
             ).withColumn("_need", F.col("budget_n") - F.col("_n_before")).drop("_n", "_n_before"),
             "located",
         )
-        largest = located.agg(F.max("_rows")).first()[0] or 0
-        spread = largest > work.rows_per_task
+        sizes = located.select(*by, "_bucket", "_rows").distinct().agg(F.max("_rows"), F.sum("_rows")).first()
+        slices = slices_for(sizes[1] or 0, work.rows_per_task) if (sizes[0] or 0) > work.rows_per_task else 0
         located = located.drop("_rows")
         rows = work.rows.join(located.select(*by, "_bucket").distinct(), [*by, "_bucket"], "left_semi")
 
@@ -215,7 +237,7 @@ def top_b(work: Worklist, requests: DataFrame, allow_zero: bool = False) -> Data
     for i in range(len(work.names)):
         taken = F.when(F.col(f"in{i}"), F.col("w")).otherwise(F.lit(0))
         sums |= {f"_r{i}": taken, f"_c{i}": taken * F.col("y")}
-    scanned = running_totals(rows, [*by, "_bucket"], rank_order(), sums, spread)
+    scanned = running_totals(rows, [*by, "_bucket"], rank_order(), sums, slices)
     steps = F.array(*[
         F.when(F.col(f"in{i}"), F.struct(
             F.lit(name).alias("scenario"), F.col(f"_r{i}").alias("_upto"), F.col(f"_c{i}").alias("_events")

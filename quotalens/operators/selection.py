@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quotalens.functions.numeric import budget, ratio
 from quotalens.names import ALL, FIXED_BUDGET, FIXED_THRESHOLD, FRACTIONS, PAIRS, TOP_FRACTION
-from quotalens.operators.ranking import Worklist, at_most, each_fraction, rank_order, running_totals, top_b
+from quotalens.operators.ranking import Worklist, at_most, each_fraction, rank_order, running_totals, slices_for, top_b
 from quotalens.session import materialize
 
 #: Access metrics in report order.
@@ -142,7 +142,8 @@ def ranked_scan(work: Worklist, name: str = ALL) -> DataFrame:
     """Running records and events along the ranking of one scenario: the full capture curve."""
     rows = work.rows.where(work.member(name))
     sums = {"cum_n": F.col("w"), "cum_event_n": F.col("w") * F.col("y")}
-    return running_totals(rows, list(work.by), rank_order(), sums, spread=work.hist is not None).select(
+    slices = slices_for(work.hist.agg(F.sum("rows")).first()[0], work.rows_per_task) if work.hist is not None else 0
+    return running_totals(rows, list(work.by), rank_order(), sums, slices).select(
         *work.by, "pos", "score", "y", "cum_n", "cum_event_n"
     )
 

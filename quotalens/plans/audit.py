@@ -18,14 +18,20 @@ from quotalens.sources import fixed_width, sinks, tables
 
 def extract(
     spark: SparkSession, raw_path: str, year: int, destination: str, expected_rows: int,
-    expected_fingerprint: Mapping[str, object] | None = None,
+    expected_fingerprint: Mapping[str, object] | None = None, lock: DataFrame | None = None,
 ) -> dict[str, object]:
-    """Fixed-width text to a published table of 40 columns; any faulty record, count or content stops it."""
+    """Fixed-width text to a published table of 40 columns; any faulty record, count or content stops it.
+
+    ``lock`` holds the frozen fingerprints of the input files (:func:`file_fingerprints`); a changed, missing or
+    additional file stops it before anything is parsed. The text is parsed once, into a staging table.
+    """
     if expected_rows <= 0:
         raise ValueError("expected row count must be positive")
     if sinks.exists(spark, destination):
         raise FileExistsError(destination)
-    parsed = cleaning.parse_strict(fixed_width.read_lines(spark, raw_path), year)
+    if lock is not None:
+        checks.require(tables.manifest_violations(tables.file_fingerprints(spark, raw_path), lock), "input lock")
+    parsed = materialize(cleaning.parse_strict(fixed_width.read_lines(spark, raw_path), year), "parsed")
     checks.require(cleaning.rejects(parsed), "rejected records")
     clean = cleaning.accepted(parsed)
     facts = sinks.publish(

@@ -72,16 +72,20 @@ def documents_population(spark: SparkSession, folder: str) -> DataFrame:
     return by_target(records, ["quality", "toxic"], ["pos", "score", "entry"])
 
 
-# Fixed-width lines made from orders. Field number i of order k is good, missing or faulty by rule, so that the
-# expected table can be computed from k without parsing anything.
+# Fixed-width lines made from orders. Field number i is good, missing or faulty by rule, so that the expected table can
+# be computed from the order's key k, customer c and rounded price p without parsing anything.
 
 FAULTY_EVERY, MISSING_EVERY = 211, 13
 CUT_EVERY, ODD_EVERY = 101, 103
 
 
 def field_code(i: int) -> str:
-    """SQL for the pseudo-random number behind field ``i`` of order ``k``; the same text works in any engine."""
-    return f"(k * {2 * i + 7} + {3 * i * i})"
+    """SQL for the number behind field ``i``, from one of the order's columns; the same text works in any engine."""
+    return f"({'kcp'[i % 3]} * {2 * i + 7} + {3 * i * i})"
+
+
+#: SQL for the columns behind the fields.
+LINE_COLUMNS = "o_orderkey AS k, o_custkey AS c, CAST(floor(o_totalprice) AS BIGINT) AS p"
 
 
 def field_text(i: int, f: Field) -> tuple[str, str, str]:
@@ -123,7 +127,7 @@ def rendered_lines(spark: SparkSession, folder: str, lenient: bool = False) -> D
 
     Some lines are cut short, not ASCII or (leniently) blank.
     """
-    keys = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"))
+    keys = table(spark, folder, "orders").selectExpr(*LINE_COLUMNS.split(", "))
     raw = keys.repartition(shuffle_width(keys), "k").select(
         "k", *[F.rpad(F.expr(field_sql(i, f)), f.width, " ").alias(f.name) for i, f in enumerate(FIELDS)]
     )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from quotalens.operators.cohorts import (
 from quotalens.operators.ranking import Worklist, kth_score, ranked, worklist
 from quotalens.plans import bindings as b
 from quotalens.plans.audit import target_population
-from quotalens.session import ROWS_PER_TASK, materialize
+from quotalens.session import ROWS_PER_TASK, materialize, shared_folder
 from quotalens.sources import sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -362,8 +365,100 @@ def table_fingerprint(spark, folder):
     return tables.fingerprint(rows, ["o_orderkey", "o_custkey", "o_orderstatus", "cents", "o_orderpriority"])
 
 
+# --- Sources and sinks: written, read back, returned ------------------------------------------------------------
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_round_trip(spark, folder):
+    """Orders as CSV, read back by projection with types and a row lock."""
+    path, rows = _new_path(spark, "csv"), b.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    sinks.write_results({"orders": rows}, path, "csv")
+    kinds = {"o_orderkey": "bigint", "o_totalprice": "double"}
+    return tables.read_csv(spark, f"{path}/orders", ["o_totalprice", "o_orderkey", "o_orderpriority"], kinds, rows.count())
+
+
+@query
+def threshold_source(spark, folder):
+    """Cutoffs with provenance through a CSV file, bit for bit."""
+    path = _new_path(spark, "thresholds")
+    cuts = kth_score(b.events_population(spark, folder, True), FRACTIONS).select(
+        "target", "nominal_fraction", "threshold", F.lit(2022).alias("source_year"), F.lit(">=").alias("comparator"))
+    sinks.write_results({"cuts": cuts}, path, "csv")
+    return tables.read_thresholds(spark, f"{path}/cuts")
+
+
+@query
+def published_table(spark, folder):
+    """Customers published under their row count and fingerprint, read from the destination."""
+    rows = b.table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    path, lock = _new_path(spark, "published"), tables.fingerprint(rows, rows.columns).first().asDict()
+    sinks.publish(rows, path, lock["rows"], lock)
+    return spark.read.parquet(path)
+
+
+@query
+def score_export(spark, folder):
+    path = _new_path(spark, "scores")
+    sinks.export_scores(b.orders_population(spark, folder), path)
+    return spark.read.parquet(path).groupBy("target").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("y").alias("event_n"), F.count("entry").alias("known_entry_n"), F.sum("score").alias("score_sum"))
+
+
+@query
+def run_record(spark, folder):
+    """What a publishing run records about itself: rows and fingerprint of the published orders."""
+    rows = b.table(spark, folder, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    path = _new_path(spark, "recorded")
+    facts = sinks.publish(rows, path, columns=["o_orderkey", "o_custkey", "o_orderstatus", "cents", "o_orderpriority"])
+    sinks.write_run_record(spark, f"{path}.record", status="PASS", **facts)
+    record = spark.read.text(f"{path}.record").select(
+        F.from_json("value", "status string, rows bigint, xor_hash bigint, sum_hash string").alias("r"))
+    return record.select("r.*")
+
+
+@query
+def file_lock(spark, folder):
+    """Fingerprints of text files against a lock that matches, differs in a file, names one too many and one too few."""
+    path = _new_path(spark, "locked")
+    orders = b.table(spark, folder, "orders")
+    orders.select("o_orderstatus", F.concat_ws("|", "o_orderkey", "o_orderpriority").alias("value")).write.partitionBy("o_orderstatus").text(path)
+    seen = materialize(tables.file_fingerprints(spark, path), "lock")
+    first = F.col("name") == seen.agg(F.min("name")).first()[0]
+    locks = {
+        "match": seen, "changed": seen.withColumn("rows", F.when(first, F.col("rows") + 1).otherwise(F.col("rows"))),
+        "missing": seen.unionByName(seen.where(first).withColumn("name", F.lit("gone.txt"))), "additional": seen.where(~first),
+    }
+    counts = [
+        tables.manifest_violations(seen, lock).agg(F.count(F.lit(1)).alias("violation_n")).select(F.lit(name).alias("input"), "violation_n")
+        for name, lock in locks.items()]
+    return reduce(DataFrame.unionByName, counts).withColumn("line_n", F.lit(seen.agg(F.sum("rows")).first()[0]).cast("bigint"))
+
+
 # --- Checks -----------------------------------------------------------------------------------------------------
 
+@query
+def score_guard(spark, folder):
+    """Cutoffs from finite, missing, NaN and infinite scores, by the plan for one task and by the plan with buckets."""
+    rows = materialize(b.events_population(spark, folder, True), "scored")
+    every = F.col("pos") % 97 == 0
+    bad = {"finite": None, "missing": F.lit(None).cast("double"), "nan": F.lit(float("nan")), "infinite": F.lit(float("inf"))}
+    out = []
+    for name, value in bad.items():
+        given = rows if value is None else rows.withColumn("score", F.when(every, value).otherwise(F.col("score")))
+        for plan, size in (("one task", ROWS_PER_TASK), ("buckets", 50)):
+            try:
+                cuts = [r.threshold for r in kth_score(given, FRACTIONS, rows_per_task=size).collect()]
+            except PySparkException as e:
+                if "score is not finite" not in str(e):
+                    raise
+                cuts = None
+            out.append((name, plan, cuts is None, None if cuts is None else float(sum(cuts))))
+    return spark.createDataFrame(out, "input string, plan string, refused boolean, threshold_sum double")
+
+
 @query
 def binary_check(spark, folder):
     rows = b.order_records(spark, folder).withColumn("month", F.col("entry"))
@@ -441,8 +536,12 @@ def bootstrap_summary(spark, folder):
 
 @query
 def bootstrap_row_check(spark, folder):
-    """Groups without exactly one row per replicate; none here."""
-    return bootstrap.replicate_check(_cell_replicates(spark, folder), ["target", "nominal_fraction"], REPLICATES)
+    """Rows per group and replicate, for the replicates as they are and for two inputs that must fail."""
+    rows = materialize(_cell_replicates(spark, folder).select("target", "nominal_fraction", "replicate"), "replicates")
+    judged = rows.select(F.lit("whole").alias("input"), "*").unionByName(
+        rows.where("replicate > 0").select(F.lit("without the first").alias("input"), "*")).unionByName(
+        rows.withColumn("replicate", F.greatest("replicate", F.lit(1))).select(F.lit("one twice").alias("input"), "*"))
+    return bootstrap.replicate_counts(judged, ["input", "target", "nominal_fraction"], REPLICATES)
 
 
 @query

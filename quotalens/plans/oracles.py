@@ -370,7 +370,7 @@ def _expected(i: int, name: str) -> str:
     return f"CASE WHEN {BAD}{i} OR {GAP}{i % b.MISSING_EVERY} THEN NULL ELSE {good} END"
 
 
-_K = "keyed AS (SELECT o_orderkey AS k FROM orders)"
+_K = f"keyed AS (SELECT {b.LINE_COLUMNS} FROM orders)"
 CLEAN = f"""WITH {_K}, fields AS (
   SELECT k AS pos, {', '.join(f'{_expected(i, f.name)} AS {f.name}' for i, f in enumerate(FIELDS))} FROM keyed WHERE {NO_FAULT}),
 clean AS (
@@ -407,7 +407,7 @@ ORACLES["rejects"] = f"WITH {_K} " + " UNION ALL ".join([
     f"ELSE 'record year' END AS error FROM keyed WHERE {WHOLE_BAD}",
     *[f"SELECT k, '{f.name}', '{_kind(i, f.name)}' FROM keyed WHERE {BAD}{i} AND NOT {WHOLE_BAD}" for i, f in enumerate(FIELDS) if i],
 ])
-ORACLES["field_profile"] = f"WITH {_K}, judged AS (SELECT k FROM keyed WHERE NOT {WHOLE_BAD}) " + " UNION ALL ".join(
+ORACLES["field_profile"] = f"WITH {_K}, judged AS (SELECT * FROM keyed WHERE NOT {WHOLE_BAD}) " + " UNION ALL ".join(
     f"SELECT {i + 1} AS field_no, '{f.name}' AS field, '{f.kind}' AS kind, '{f.role}' AS role, "
     f"count({_expected(i, f.name)}) AS known_n, count(*) FILTER (WHERE {BAD}{i}) AS rejected_n, "
     f"count(*) - count({_expected(i, f.name)}) - count(*) FILTER (WHERE {BAD}{i}) AS missing_n FROM judged".replace("'float'", "'float'")
@@ -442,7 +442,18 @@ ORACLES["fixed_width_lenient"] = (
 ORACLES["table_fingerprint"] = """SELECT count(*) AS rows, bit_xor(code) AS xor_hash, sum(code)::VARCHAR AS sum_hash FROM (
   SELECT ('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, round(o_totalprice * 100)::BIGINT, o_orderpriority)), 1, 13))::BIGINT AS code FROM orders)"""
 
+ORACLES["csv_round_trip"] = "SELECT o_totalprice, o_orderkey, o_orderpriority FROM orders"
+ORACLES["threshold_source"] = f"""WITH {EVENTS}, {CAL} SELECT target, q AS nominal_fraction, t AS threshold, 2022 AS source_year, '>=' AS comparator FROM cuts"""
+ORACLES["published_table"] = "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer"
+ORACLES["score_export"] = f"{_pop()} SELECT target, count(*) AS rows, sum(y)::BIGINT AS event_n, count(entry) AS known_entry_n, sum(score) AS score_sum FROM pop GROUP BY target"
+ORACLES["run_record"] = ORACLES["table_fingerprint"].replace("SELECT count(*)", "SELECT 'PASS' AS status, count(*)", 1)
+ORACLES["file_lock"] = """SELECT input, violation_n::BIGINT AS violation_n, (SELECT count(*) FROM orders) AS line_n
+FROM (VALUES ('match', 0), ('changed', 1), ('missing', 1), ('additional', 1)) AS cases(input, violation_n)"""
+
 # --- Checks -----------------------------------------------------------------------------------------------------
+ORACLES["score_guard"] = f"""WITH {EVENTS}, {CAL} SELECT input, plan, input <> 'finite' AS refused,
+  CASE WHEN input = 'finite' THEN (SELECT sum(t) FROM cuts) END AS threshold_sum
+FROM (VALUES ('finite'), ('missing'), ('nan'), ('infinite')) AS i(input) CROSS JOIN (VALUES ('one task'), ('buckets')) AS p(plan)"""
 
 ORACLES["binary_check"] = f"WITH {REC}, r2 AS (SELECT *, entry AS month FROM rec) " + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS missing_n, count(*) FILTER (WHERE coalesce({c} NOT IN (0, 1), false)) AS nonbinary_n, "
@@ -488,8 +499,12 @@ ALL_BOOT = ALL_CELLS + DRAWS + BOOT_CELLS
 ORACLES["bootstrap_counts"] = f"""{_pop()} {DRAWS} SELECT target, replicate, sum(w)::BIGINT AS drawn_n, count(*) AS distinct_n, max(w) AS largest_w,
   sum(w * y)::BIGINT AS event_n FROM boot GROUP BY ALL"""
 ORACLES["bootstrap_cells"] = ALL_BOOT + " SELECT * FROM breps"
-ORACLES["bootstrap_row_check"] = ALL_BOOT + f""" SELECT target, nominal_fraction, count(*) AS rows, count(DISTINCT replicate) AS distinct_replicates
-FROM breps GROUP BY ALL HAVING count(*) <> {REPLICATES}"""
+ORACLES["bootstrap_row_check"] = ALL_BOOT + f""", judged AS (
+  SELECT 'whole' AS input, target, nominal_fraction, replicate FROM breps UNION ALL
+  SELECT 'without the first', target, nominal_fraction, replicate FROM breps WHERE replicate > 0 UNION ALL
+  SELECT 'one twice', target, nominal_fraction, greatest(replicate, 1) FROM breps)
+SELECT input, target, nominal_fraction, count(*) AS rows, count(DISTINCT replicate) AS distinct_replicates,
+  count(*) = {REPLICATES} AND count(DISTINCT replicate) = {REPLICATES} AS holds FROM judged GROUP BY ALL"""
 _EFFECTS = (
     "shapley_capacity", "shapley_availability", "interaction", "total_topq_contrast", "availability_at_early_budget",
     "ordered_availability_at_all_budget", "capacity_share", "availability_main_at_early_budget", "capacity_main_in_early_cohort",

@@ -1,6 +1,6 @@
 """Sources, features, fitting, the whole audit, the grid run and the stream."""
 
-import hashlib
+import os
 
 import numpy as np
 import pytest
@@ -84,11 +84,21 @@ def test_csv_locks(spark, folder):
     for columns, rows in ((["d"], None), (["a"], 3)):
         with pytest.raises(ValueError):
             tables.read_csv(spark, f"{folder}/x.csv", columns, expected_rows=rows)
-    digest = hashlib.sha256(open(f"{folder}/x.csv", "rb").read()).hexdigest()
-    seen = tables.file_checksums(spark, folder)
-    manifest = spark.createDataFrame([("x.csv", digest)], "name string, sha256 string")
-    assert tables.manifest_violations(seen, manifest).count() == 0
-    assert tables.manifest_violations(seen, manifest.withColumn("sha256", F.lit("0"))).count() == 1
+
+
+def test_file_locks(spark, folder):
+    os.makedirs(f"{folder}/in/sub one")
+    for name, text in (("in/part-0", "a\nb\n"), ("in/sub one/part-0", "c\n")):
+        with open(f"{folder}/{name}", "w") as f:
+            f.write(text)
+    lock = tables.file_fingerprints(spark, f"{folder}/in").collect()
+    assert sorted((r.name, r.rows) for r in lock) == [("part-0", 2), ("sub one/part-0", 1)]
+    frozen = spark.createDataFrame(lock, "name string, rows bigint, xor_hash bigint, sum_hash string")
+    assert tables.manifest_violations(tables.file_fingerprints(spark, f"{folder}/in"), frozen).count() == 0
+    assert [r.name for r in tables.file_fingerprints(spark, f"{folder}/in/part-0").collect()] == ["part-0"]
+    with open(f"{folder}/in/part-0", "a") as f:
+        f.write("b\n")
+    assert [r.name for r in tables.manifest_violations(tables.file_fingerprints(spark, f"{folder}/in"), frozen).collect()] == ["part-0"]
 
 
 def test_fingerprint_sees_duplicates_nulls_and_no_order(spark):

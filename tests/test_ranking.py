@@ -3,12 +3,14 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quotalens.functions.numeric import budget, clamped_budget
 from quotalens.operators import decompose, diagnostics, selection
 from quotalens.operators.cohorts import scenarios
-from quotalens.operators.ranking import kth_score, ranked, top_b, worklist
+from quotalens.operators.diagnostics import model_diagnostics
+from quotalens.operators.ranking import kth_score, ranked, slices_for, top_b, worklist
 
 ROWS = [1_000_000, 700, 40]
 
@@ -143,3 +145,42 @@ def test_select_top_returns_the_prefix(table, frame):
     got = selection.select_top(work.rows, work, asked).toPandas()
     for target in ("hot", "cold"):
         assert set(got[got.target == target].pos) == set(ordered(frame, target, "any_prenatal_care").pos.head(50))
+
+
+@pytest.mark.parametrize("rows_per_task", [1_000_000, 50])
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf"), float("-inf")])
+def test_every_plan_refuses_scores_that_are_not_finite(spark, rows_per_task, bad):
+    rows = [("t", i, float(i % 7), i % 2) for i in range(400)] + [("t", 400, bad, 0)]
+    df = spark.createDataFrame(rows, "target string, pos long, score double, y int")
+    for run in (
+        lambda: kth_score(df, (0.1,), rows_per_task=rows_per_task), lambda: ranked(df, rows_per_task=rows_per_task),
+        lambda: model_diagnostics(df, rows_per_task=rows_per_task),
+    ):
+        with pytest.raises(PySparkException, match="score is not finite"):
+            run().collect()
+
+
+@pytest.mark.parametrize("rows_per_task", [1_000_000, 50])
+def test_requests_without_a_boundary_fail(spark, rows_per_task):
+    df = spark.createDataFrame([("t", i, float(i % 7), i % 2) for i in range(400)], "target string, pos long, score double, y int")
+    work = worklist(df, {"all": F.lit(True), "few": F.col("pos") < 10}, rows_per_task=rows_per_task)
+    ask = lambda *rows: top_b(work, spark.createDataFrame(list(rows), "target string, scenario string, budget_n bigint")).collect()
+    assert len(ask(("t", "few", 10), ("t", "all", 400))) == 2
+    for wrong in (("t", "few", 11), ("u", "all", 1), ("t", "none", 1)):
+        with pytest.raises(PySparkException, match="no boundary"):
+            ask(wrong)
+
+
+def test_slices_are_many_and_even(spark):
+    rows = b_orders(spark)
+    n, asked = rows.count(), 500
+    sliced = rows.repartitionByRange(slices_for(n, asked), "target", F.col("score").desc(), "pos").groupBy(F.spark_partition_id()).count()
+    sizes = [r["count"] for r in sliced.collect()]
+    assert len(sizes) > 4 and max(sizes) <= 3 * asked
+    assert slices_for(500, 500) == 0 and slices_for(501, 500) == 2
+
+
+def b_orders(spark):
+    from quotalens.plans.bindings import orders_population
+
+    return orders_population(spark, "/root/testdata/sf0.001")
