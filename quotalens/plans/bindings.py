@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotalens.functions.fields import FIELDS, RECORD_LENGTH, Field
-from quotalens.functions.numeric import uniform
 from quotalens.operators.cohorts import by_target
 from quotalens.operators.features import FeatureParameters
 from quotalens.operators.grid import Availability
@@ -173,13 +172,19 @@ FROZEN = FeatureParameters(
 )
 
 
+#: Availability attributes of an event: name -> (SQL, number of its values).
+GRID_ATTRIBUTES = {"hour_of_day": ("hour(ts)", 24), "minute_of_hour": ("minute(ts)", 60), "user_group": ("user_id % 10", 10)}
+
+
 def grid_population(spark: SparkSession, folder: str, calibration: bool) -> DataFrame:
-    """Events by replicate (user group) and score quality, with a uniform that drives availability."""
-    return events_population(spark, folder, calibration).select(
-        "replicate", "pos", "y", uniform("grid", F.col("pos")).alias("u"),
+    """Events by replicate (user group) and score quality, with the attributes that make them available."""
+    early = F.col("ts") < F.lit("2024-01-21").cast("timestamp_ntz")
+    return table(spark, folder, "events").where(early if calibration else ~early).select(
+        (F.col("user_id") % 5).alias("replicate"), F.col("event_id").alias("pos"), (F.col("event_type") == "purchase").cast("int").alias("y"),
+        *[F.expr(sql).alias(name) for name, (sql, _) in GRID_ATTRIBUTES.items()],
         F.inline(F.array(
-            F.struct(F.lit("good").alias("model_quality"), F.col("score").alias("score")),
-            F.struct(F.lit("weak").alias("model_quality"), F.floor(F.col("score") / 40).cast("double").alias("score")),
+            F.struct(F.lit("good").alias("model_quality"), F.col("value").alias("score")),
+            F.struct(F.lit("weak").alias("model_quality"), F.floor(F.col("value") / 40).cast("double").alias("score")),
         )),
     )
 
@@ -187,17 +192,11 @@ def grid_population(spark: SparkSession, folder: str, calibration: bool) -> Data
 GRID_BY = ("replicate", "model_quality")
 GRID_LABELS = ("availability_target_fraction", "availability_relation")
 GRID_FRACTIONS = (0.05, 0.1, 0.2)
-#: Relation -> shift of the availability share for events and for the others.
-GRID_RELATIONS = {
-    "higher_risk_less_available": (-0.2, 0.05), "risk_independent": (0.0, 0.0), "higher_risk_more_available": (0.2, -0.05),
-}
 GRID_SHARES = (0.5, 0.7)
 
 
 def grid_sets() -> dict[str, Availability]:
-    sets = {}
-    for share in GRID_SHARES:
-        for relation, (event, other) in GRID_RELATIONS.items():
-            limit = F.when(F.col("y") == 1, F.lit(round(share + event, 2))).otherwise(F.lit(round(share + other, 2)))
-            sets[f"{share}|{relation}"] = Availability(dict(zip(GRID_LABELS, (share, relation))), F.col("u") < limit)
-    return sets
+    """Events are available whose attribute is among the first values, as many as the share says."""
+    return {
+        f"{share}|{name}": Availability(dict(zip(GRID_LABELS, (share, name))), F.col(name) < round(share * values))
+        for share in GRID_SHARES for name, (_, values) in GRID_ATTRIBUTES.items()}

@@ -563,14 +563,16 @@ FROM stats JOIN comparisons c USING (target, protocol, nominal_fraction, from_sc
 # --- Condition grid ---------------------------------------------------------------------------------------------
 
 _SETS = [
-    (share, relation, f"u < CASE WHEN y = 1 THEN {round(share + e, 2)}::DOUBLE ELSE {round(share + o, 2)}::DOUBLE END")
-    for share in b.GRID_SHARES for relation, (e, o) in b.GRID_RELATIONS.items()
+    (share, name, f"{name} < {round(share * values)}") for share in b.GRID_SHARES for name, (_, values) in b.GRID_ATTRIBUTES.items()
 ]
 _L = "availability_target_fraction, availability_relation"
 GRID = f"""WITH {EVENTS},
+gev AS (
+  SELECT user_id % 5 AS replicate, event_id AS pos, (event_type = 'purchase')::INTEGER AS y, ts < TIMESTAMP '2024-01-21' AS calibration, value,
+    {', '.join(f'{sql} AS {name}' for name, (sql, _) in b.GRID_ATTRIBUTES.items())} FROM events),
 gpop AS (
-  SELECT replicate, pos, y, calibration, {U.format("concat_ws('|', 'grid', pos)")} AS u, 'good' AS model_quality, score FROM ev
-  UNION ALL SELECT replicate, pos, y, calibration, {U.format("concat_ws('|', 'grid', pos)")}, 'weak', floor(score / 40) FROM ev),
+  SELECT * EXCLUDE (value), 'good' AS model_quality, value AS score FROM gev
+  UNION ALL SELECT * EXCLUDE (value), 'weak', floor(value / 40) FROM gev),
 geval AS (SELECT * FROM gpop WHERE NOT calibration),
 gq AS (SELECT unnest([{', '.join(f'{q}::DOUBLE' for q in b.GRID_FRACTIONS)}]) AS q),
 gcal AS (
