@@ -1,9 +1,10 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified exactly.
 
 A document's shingles are five consecutive words (lower case); a shorter document has one shingle of all its words. A
-shingle weighs its occurrences times the sum of its words' inverse document frequencies, the estimate of its own one under
-independent words: a table of frequencies of the shingles themselves would be larger than the corpus. Word frequencies
-count every document of the input, in a table of fixed size addressed by hash.
+shingle weighs its occurrences times its inverse document frequency over all rows of the input. Frequencies are counted
+exactly for shingles that stand in more than ``SHARE`` of the documents; the rarer ones all weigh as much as one of that
+frequency. So the table of frequencies is bounded, whatever the size of the corpus. Candidates for it are the shingles that
+batches hold at least twice; their documents are then counted in a second pass.
 
 Consistent weighted samples make two documents agree in a sample with a probability equal to their weighted Jaccard
 similarity. Samples are hashed in bands; documents that agree on a band meet in a bucket. Texts with equal words are one
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotalens.llm.common import append_columns, by_value, field, materialize
+from quotalens.llm.common import append_columns, by_value, field, materialize, slices
 
 by_value(__name__)
 
@@ -35,10 +36,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 all of 14 bands of 4 samples differ with a probability of 0.0006.
 BANDS, ROWS = 14, 4
 
-#: Counters of the word frequencies and entries of the table of random variables, as powers of two.
-COUNTERS, VARIABLES = 16, 16
+#: Share of the documents from which a shingle's frequency is counted, and entries of the table of random variables (a power of two).
+SHARE, VARIABLES = 0.001, 16
 
-ROUNDS, LARGE = 2, 500
+ROUNDS, LARGE = 2, 50
 
 #: Share of equal samples below which similarity 0.8 is out of reach (five standard deviations).
 ESTIMATE = 0.53
@@ -94,20 +95,39 @@ def node_of(words: np.ndarray) -> str:
     return f"{one:016x}{two:016x}"
 
 
-def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles, ascending, and their weights."""
+class Rarity:
+    """Inverse document frequencies: of the frequent shingles one by one, of all others together."""
+
+    def __init__(self, rows: int, shingles: np.ndarray, held: np.ndarray):
+        order = np.argsort(shingles)
+        self.shingles, self.idf = shingles[order], np.log((rows + 1) / (held[order] + 1)) + 0.05
+        self.other = float(np.log((rows + 1) / (max(1.0, rows * SHARE) + 1)) + 0.05)
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        out = np.full(len(s), self.other)
+        if len(self.shingles):
+            at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+            known = self.shingles[at] == s
+            out[known] = self.idf[at[known]]
+        return out
+
+
+def counted_shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, ascending, and their occurrences."""
     n = len(words)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    rarity = idf[(words >> np.uint64(64 - COUNTERS)).astype(np.int64)]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     width = min(SHINGLE, n)
-    count = n - width + 1
-    s, w = np.zeros(count, np.uint64), np.zeros(count)
+    s = np.zeros(n - width + 1, np.uint64)
     for k in range(width):
-        s += words[k:k + count] * _STEP[k]
-        w += rarity[k:k + count]
-    s, at, times = np.unique(mix(s), return_index=True, return_counts=True)
-    return s, w[at] * times
+        s += words[k:k + len(s)] * _STEP[k]
+    return np.unique(mix(s), return_counts=True)
+
+
+def weighted_shingles(words: np.ndarray, rarity: Rarity) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, ascending, and their weights."""
+    s, times = counted_shingles(words)
+    return s, rarity.of(s) * times
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -156,23 +176,37 @@ def band_keys(chosen: np.ndarray) -> np.ndarray:
     return mix(x + np.arange(BANDS, dtype=np.uint64) * np.uint64(_BASE)).astype(np.int64)
 
 
-def word_frequencies(df: DataFrame, text: str) -> np.ndarray:
-    """Inverse document frequency of each counter, over all rows. At most as many rows as counters reach the driver."""
+def shingle_rarity(df: DataFrame, text: str = "text") -> Rarity:
+    """Frequencies over all rows. At most 2 / SHARE times the shingles of an average document reach the driver."""
+    rows = df.count()
+    least = max(2.0, rows * SHARE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, rows = _Powers(), np.zeros((1 << COUNTERS) + 1, np.int64), 0
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers()
+        for batch in batches:
+            for piece in slices(batch, 8 << 20):
+                held = [counted_shingles(word_hashes(t, powers))[0] for t in piece.column(0).to_pylist()]
+                s, n = np.unique(np.concatenate(held), return_counts=True)
+                s, n = s[n > 1], n[n > 1]
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    found = df.select(text).mapInArrow(candidates, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    few = np.sort(found.filter(F.col("n") >= least / 2).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+    shared = df.sparkSession.sparkContext.broadcast(few)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, few = _Powers(), shared.value
+        n = np.zeros(len(few), np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                rows += 1
-                held[np.unique((word_hashes(t, powers) >> np.uint64(64 - COUNTERS)).astype(np.int64))] += 1
-        held[-1] = rows
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["counter", "n"])
+            for t in batch.column(0).to_pylist() if len(few) else ():
+                s = counted_shingles(word_hashes(t, powers))[0]
+                at = np.minimum(np.searchsorted(few, s), len(few) - 1)
+                n[at[few[at] == s]] += 1
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n[held])], names=["place", "n"])
 
-    found = df.select(text).mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros((1 << COUNTERS) + 1)
-    n[found["counter"].to_numpy(int)] = found["n"].to_numpy(float)
-    return np.log((n[-1] + 1) / (n[:-1] + 1)) + 0.05
+    held = df.select(text).mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
+    return Rarity(rows, few[held["place"].to_numpy(np.int64)], held["n"].to_numpy(float))
 
 
 def _connected(edges: DataFrame, name: str) -> DataFrame:
@@ -192,15 +226,15 @@ def _connected(edges: DataFrame, name: str) -> DataFrame:
 class _Verifier:
     """Compares pairs of nodes by their texts. Texts travel compressed."""
 
-    def __init__(self, texts: DataFrame, idf: np.ndarray):
-        self.texts, self.idf = texts, idf
+    def __init__(self, texts: DataFrame, rarity: Rarity):
+        self.texts, self.rarity = texts, rarity
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of ``pairs`` (a, b), nodes, that are similar enough."""
         pairs = materialize(pairs.select("a", "b").distinct(), f"{name}-pairs")
         left = self.texts.select(F.col("node").alias("a"), F.col("packed").alias("left"))
         right = self.texts.select(F.col("node").alias("b"), F.col("packed").alias("right"))
-        shared = pairs.sparkSession.sparkContext.broadcast(self.idf)
+        shared = pairs.sparkSession.sparkContext.broadcast(self.rarity)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             powers, last = _Powers(), {}
@@ -240,9 +274,9 @@ def _agreement(one: Column, two: Column) -> Column:
 _TOGETHER = 1 << 16
 
 
-def signatures(df: DataFrame, idf: np.ndarray, text: str, keep: list[str]) -> DataFrame:
+def signatures(df: DataFrame, rarity: Rarity, text: str, keep: list[str]) -> DataFrame:
     """``keep``, node, band keys and samples of every row. Rows of one node in one slice of a batch are sampled once."""
-    shared = df.sparkSession.sparkContext.broadcast(idf)
+    shared = df.sparkSession.sparkContext.broadcast(rarity)
 
     def start():
         powers, table = _Powers(), variables()
@@ -278,7 +312,7 @@ def signatures(df: DataFrame, idf: np.ndarray, text: str, keep: list[str]) -> Da
     return append_columns(df, text, fields, start, keep)
 
 
-def node_classes(rows: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def node_classes(rows: DataFrame, docs: DataFrame, rarity: Rarity) -> DataFrame:
     """(node, class) of all nodes. ``rows``: node, keys, samples, mark; ``docs``: mark, text, where mark tells texts apart."""
     nodes = materialize(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("keys", "samples", "mark")]), "nodes")
 
@@ -290,7 +324,7 @@ def node_classes(rows: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame
     packed = append_columns(docs, "text", [field("packed", "binary")], lambda: lambda texts: [[pack(t) for t in texts]], ["mark"])
     texts = packed.join(active, "mark").groupBy("node").agg(F.first("packed").alias("packed"))
     texts = materialize(texts, "texts")
-    verifier = _Verifier(texts, idf)
+    verifier = _Verifier(texts, rarity)
     sketch = nodes.select("node", "samples")
 
     def close(pairs: DataFrame) -> DataFrame:
@@ -331,9 +365,9 @@ def _classified(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataF
     """(doc_id, node) of every row, and (node, class) of every node."""
     docs = _marked(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select(
         "doc_id", F.col("__mark").alias("mark"), F.col("__text").alias("text"))
-    idf = word_frequencies(docs, "text")
-    rows = materialize(signatures(docs, idf, "text", ["doc_id", "mark"]), "signatures")
-    return rows.select("doc_id", "mark", "node"), node_classes(rows, docs.select("mark", "text"), idf)
+    rarity = shingle_rarity(docs)
+    rows = materialize(signatures(docs, rarity, "text", ["doc_id", "mark"]), "signatures")
+    return rows.select("doc_id", "mark", "node"), node_classes(rows, docs.select("mark", "text"), rarity)
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -111,9 +112,9 @@ def near_rows():
     return rows
 
 
-def brute_classes(rows, idf_of):
+def brute_classes(rows, rarity):
     powers = neardup._Powers()
-    made = [neardup.weighted_shingles(neardup.word_hashes(t, powers), idf_of) for _, t in rows]
+    made = [neardup.weighted_shingles(neardup.word_hashes(t, powers), rarity) for _, t in rows]
     name = list(range(len(rows)))
 
     def root(k):
@@ -134,9 +135,9 @@ def brute_classes(rows, idf_of):
 def test_classes_equal_brute_force(spark):
     rows = near_rows()
     df = documents(spark, rows)
-    idf = neardup.word_frequencies(df, "text")
+    rarity = neardup.shingle_rarity(df)
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(clashing(df)).collect()}
-    want = brute_classes(rows, idf)
+    want = brute_classes(rows, rarity)
     assert got == want
     assert all(want[200 + i] == 1 for i in range(30)) and all(want[100 + i] == 0 for i in range(10)) and want[300] == 300
 
@@ -147,7 +148,16 @@ def test_large_buckets_are_split(spark, monkeypatch):
     rows = near_rows()
     df = documents(spark, rows)
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
-    assert got == brute_classes(rows, neardup.word_frequencies(df, "text"))
+    assert got == brute_classes(rows, neardup.shingle_rarity(df))
+
+
+def test_rarity_counts_documents(spark):
+    common = "these five words are common"
+    rows = [(i, words(i, 20) + " " + common * (1 + i % 2)) for i in range(30)] + [(50, None), (51, words(3, 20))]
+    rarity = neardup.shingle_rarity(documents(spark, rows).coalesce(1))
+    held = Counter(s for _, t in rows for s in set(shingles(t)))
+    assert len(rarity.shingles) == sum(n > 1 for n in held.values())
+    assert rarity.idf.min() == pytest.approx(np.log(33 / (max(held.values()) + 1)) + 0.05) and rarity.other == pytest.approx(np.log(33 / 2) + 0.05)
 
 
 def test_samples_agree_as_often_as_documents_are_similar():
