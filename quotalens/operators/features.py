@@ -14,7 +14,7 @@ from quotalens.functions.fields import FEATURE_SETS, forbidden_features
 from quotalens.operators.ranking import running_totals, slices_for
 from quotalens.session import ROWS_PER_TASK, materialize
 
-#: Most categories a one-hot block may have.
+#: Categories a one-hot block may have unless the caller allows more; every category is a matrix column.
 MOST_CATEGORIES = 1000
 
 
@@ -106,17 +106,22 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return best.select("feature", (-F.col("best.negated") + F.lit(0.0)).alias("mode"), F.col("best.n").alias("n"))
 
 
-def fit_features(train: DataFrame, numeric: Sequence[str], category: str | None = None) -> FeatureParameters:
-    """Medians, means and scales after imputation (population sd, a constant column scales by 1), mode and categories."""
+def fit_features(
+    train: DataFrame, numeric: Sequence[str], category: str | None = None, most_categories: int = MOST_CATEGORIES,
+) -> FeatureParameters:
+    """Medians, means and scales after imputation (population sd, a constant column scales by 1), mode and categories.
+
+    A category column with more than ``most_categories`` values is refused, never cut.
+    """
     medians = {r["feature"]: r["quantile"] for r in exact_quantile(train, numeric).collect()}
     filled = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(medians[c])) for c in numeric}
     row = train.agg(*[f for c in numeric for f in (F.avg(filled[c]).alias(f"m_{c}"), F.stddev_pop(filled[c]).alias(f"s_{c}"))]).first()
     mode, categories = None, ()
     if category is not None:
         mode = most_frequent(train, [category]).first()["mode"]
-        seen = train.select(F.col(category).cast("double").alias("c")).where("c is not null").distinct().limit(MOST_CATEGORIES + 1).collect()
-        if len(seen) > MOST_CATEGORIES:
-            raise ValueError(f"{category} has more than {MOST_CATEGORIES} categories")
+        seen = train.select(F.col(category).cast("double").alias("c")).where("c is not null").distinct().limit(most_categories + 1).collect()
+        if len(seen) > most_categories:
+            raise ValueError(f"{category} has more than {most_categories} categories")
         categories = tuple(sorted(r["c"] for r in seen))
     return FeatureParameters(
         tuple(numeric), tuple(float(medians[c]) for c in numeric), tuple(float(row[f"m_{c}"]) for c in numeric),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotalens.names import FRACTIONS
@@ -31,7 +31,8 @@ def fit_score(
 ) -> FittedScore:
     """Fit on training rows of the target's population only; nothing is read from any other rows.
 
-    Boosted trees with 31-leaf depth, no class weights. Feature parameters come from the same training rows.
+    Boosted trees grown level by level (32 leaves at depth 5), no class weights. Feature parameters come from the same
+    training rows.
     """
     check_features([*numeric, *([category] if category else [])])
     params = fit_features(train, numeric, category)
@@ -52,6 +53,18 @@ def score(df: DataFrame, fitted: FittedScore, output: str = "score") -> DataFram
         "_array", "features", "rawPrediction", "probability", "prediction")
 
 
+def save_score(fitted: FittedScore, spark: SparkSession, folder: str) -> None:
+    """Model and feature parameters in ``folder``, which must not exist; later periods are scored with what is loaded."""
+    fitted.model.write().save(f"{folder}/model")
+    kept = [(fitted.target, fitted.params.to_json())]
+    spark.createDataFrame(kept, "target string, params string").coalesce(1).write.mode("errorifexists").json(f"{folder}/params")
+
+
+def load_score(spark: SparkSession, folder: str) -> FittedScore:
+    kept = spark.read.schema("target string, params string").json(f"{folder}/params").first()
+    return FittedScore(kept["target"], FeatureParameters.from_json(kept["params"]), GBTClassificationModel.load(f"{folder}/model"))
+
+
 def calibration_cutoffs(
     scored: DataFrame, year: int, fractions: Sequence[float] = FRACTIONS, by: Sequence[str] = ("target",),
     rows_per_task: int = ROWS_PER_TASK,

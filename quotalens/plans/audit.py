@@ -68,7 +68,8 @@ def fit(
         fitted[target] = scoring.fit_score(mine.where("NOT calibration"), target, numeric, category, **model)
         part = scoring.score(mine.where("calibration"), fitted[target]).select("target", "pos", "y", "score", "entry")
         scored = part if scored is None else scored.unionByName(part)
-    return fitted, scoring.calibration_cutoffs(scored, year, fractions)
+    # Every cutoff question passes over the scores; written once, features and trees run once.
+    return fitted, scoring.calibration_cutoffs(materialize(scored, "calibration-scores"), year, fractions)
 
 
 def score_targets(rows: DataFrame, fitted: Mapping[str, scoring.FittedScore]) -> DataFrame:

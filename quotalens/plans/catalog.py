@@ -697,3 +697,26 @@ def calibration_cutoffs(spark, folder):
     fitted = scoring.fit_score(rows.where("NOT calibration"), "is_f", NUMERIC, "nation", trees=5, depth=3)
     scored = materialize(scoring.score(rows.where("calibration"), fitted).select("target", "pos", "y", "score"), "scored")
     return scoring.calibration_cutoffs(scored, 2022)
+
+
+@query
+def score_reload(spark, folder):
+    """A fitted score saved and loaded: rows calibrated, rows whose score changed, scores out of range, cutoffs met too rarely."""
+    rows = split_calibration(b.feature_records(spark, folder), 2026)
+    fitted = scoring.fit_score(rows.where("NOT calibration"), "is_f", NUMERIC, "nation", trees=5, depth=3)
+    path = _new_path(spark, "score")
+    scoring.save_score(fitted, spark, path)
+    again = scoring.load_score(spark, path)
+    both = scoring.score(scoring.score(rows.where("calibration"), fitted).select("target", "pos", "y", "score", *NUMERIC, "nation"), again, "reloaded")
+    both = materialize(both.select("target", "pos", "y", "score", "reloaded"), "rescored")
+    cuts = scoring.calibration_cutoffs(both, 2022).join(both, "target").groupBy("target", "nominal_fraction", "calibration_n").agg(
+        F.count_if(F.col("score") >= F.col("threshold")).alias("reached_n"), F.count_if(F.col("score") != F.col("reloaded")).alias("changed_n"),
+        F.count_if(~F.col("score").between(0, 1)).alias("out_of_range_n"))
+    nominal = F.round(F.col("nominal_fraction") * F.col("calibration_n") - 0.5)
+    return cuts.select("target", "nominal_fraction", "calibration_n", "changed_n", "out_of_range_n", (F.col("reached_n") >= nominal).alias("reaches_nominal"))
+
+
+@query
+def feature_table(spark, folder):
+    """The strict feature list of the cleaned records, in its fixed order."""
+    return features.feature_set(cleaning.accepted(_parsed(spark, folder)), "landmark_strict", ["pos"])

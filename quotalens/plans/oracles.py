@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quotalens.functions.fields import EVALUATION_COLUMNS, FIELD, FIELDS
+from quotalens.functions.fields import EVALUATION_COLUMNS, FEATURE_SETS, FIELD, FIELDS
 from quotalens.plans import bindings as b
 from quotalens.plans.catalog import REPLICATES, SEED
 
@@ -751,3 +751,7 @@ ORACLES["frozen_transform"] = f"WITH {FEATURES} SELECT pos, matrix_column, x::DO
     f"SELECT pos, {i} AS matrix_column, ((coalesce({c}, {m}::DOUBLE) - {mean}::DOUBLE) / {scale}::DOUBLE)::FLOAT AS x FROM feat"
     for i, (c, m, mean, scale) in enumerate(zip(_F.numeric, _F.medians, _F.means, _F.scales))],
     f"SELECT pos, ({len(_F.numeric)} + coalesce(nation, {_F.mode}))::INTEGER, 1::FLOAT FROM feat WHERE coalesce(nation, {_F.mode}) < {len(_F.categories)}"]) + ") WHERE x <> 0"
+
+ORACLES["feature_table"] = CLEAN + f" SELECT pos, {', '.join(FEATURE_SETS['landmark_strict'])} FROM clean"
+ORACLES["score_reload"] = f"""WITH {FEATURES} SELECT 'is_f' AS target, unnest([0.05::DOUBLE, 0.1::DOUBLE]) AS nominal_fraction,
+  (SELECT count(*) FROM feat) - (SELECT count(*) FROM train) AS calibration_n, 0::BIGINT AS changed_n, 0::BIGINT AS out_of_range_n, true AS reaches_nominal"""
