@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS_PER_TASK = 1_000_000
 
 _LOCAL_FOLDER = "quotalens.local.folder"
+_RUN_FOLDER = "quotalens.run.folder"
 
 
 def local_session(app: str = "quotalens", cores: int | str = 8, **conf: str) -> SparkSession:
@@ -36,8 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
     A local session without the setting gets a temporary folder. A cluster without it is refused: a
-    machine-local folder would lose the table with the machine.
+    machine-local folder would lose the table with the machine. Inside :func:`run_scope` it is the run's own folder.
     """
+    own = spark.conf.get(_RUN_FOLDER, None)
+    if own:
+        return own
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_LOCAL_FOLDER, None)
     if folder is None:
         if not spark.conf.get("spark.master", "").startswith("local"):
@@ -47,6 +53,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextlib.contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for the intermediate tables of a run, deleted at the end. Write results elsewhere before it ends."""
+    outer = spark.conf.get(_RUN_FOLDER, None)
+    folder = f"{shared_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    spark.conf.set(_RUN_FOLDER, folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.set(_RUN_FOLDER, outer) if outer else spark.conf.unset(_RUN_FOLDER)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(df: DataFrame) -> int:
     """The session's number of shuffle partitions, for a spread that must not be coalesced."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -199,3 +199,16 @@ def test_stream_equals_batch(spark, folder):
     ours, theirs = (tables.fingerprint(df, columns).first() for df in (spark.read.parquet(f"{folder}/ok"), cleaning.accepted(batch)))
     assert ours == theirs
     assert spark.read.parquet(f"{folder}/bad").count() == cleaning.rejects(batch).count()
+
+
+def test_run_scope_drops_its_tables(spark):
+    from quotalens.session import materialize, run_scope, shared_folder
+    from quotalens.sources.sinks import exists
+
+    outside = shared_folder(spark)
+    with run_scope(spark) as own:
+        assert shared_folder(spark) == own and materialize(spark.range(10), "x").count() == 10 and exists(spark, own)
+        with run_scope(spark) as inner:
+            materialize(spark.range(3), "y")
+        assert shared_folder(spark) == own and not exists(spark, inner)
+    assert shared_folder(spark) == outside and not exists(spark, own)
