@@ -130,7 +130,7 @@ def left_out(path: str) -> bool:
     inside = False
     for step in path.split(">")[1:]:
         name, *words = step.split(".")
-        if name in BOILERPLATE and not (name == "header" and inside) or not HINTS.isdisjoint(words):
+        if name in BOILERPLATE and not (name == "header" and inside) or HINTS.intersection(words) - ({"header"} if inside else set()):
             return True
         inside = inside or name in ARTICLE
     return False

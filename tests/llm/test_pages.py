@@ -29,9 +29,9 @@ def test_article_only(spark):
 
 def test_slots_inside_the_article_are_left_out(spark):
     article = (
-        "<header><h1>Title</h1></header><p>Text<script>bad()</script> <i>it</i>alic</p><aside>side</aside><form><p>Mail?</p></form>"
+        "<header><h1>Title</h1></header><div class='post-header'>By me</div><p>Text<script>bad()</script> <i>it</i>alic</p><aside>side</aside><form><p>Mail?</p></form>"
         "<div class='cookie-notice'>ok?</div><ul><li>a<li>b</ul><section id=comments><p>first!</p></section><blockquote>said</blockquote>")
-    assert texts(spark, [(1, "http://c.example", page(1, article))])[1] == "Title\nText italic\na\nb\nsaid"
+    assert texts(spark, [(1, "http://c.example", page(1, article))])[1] == "Title\nBy me\nText italic\na\nb\nsaid"
 
 
 def test_without_article_repeated_blocks_go(spark):
