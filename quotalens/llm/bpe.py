@@ -29,7 +29,7 @@ from heapq import heapify, heappop, heappush
 import regex
 from pyspark.sql import DataFrame
 
-from quotalens.llm.common import append_columns, by_value, field
+from quotalens.llm.common import append_columns, by_value, field, Shared
 
 by_value(__name__)
 
@@ -239,7 +239,7 @@ class Decoder:
 
 def transcode(df: DataFrame, vocabulary_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``n_tokens``, ``ids`` (packed) and ``decoded`` (the text that the ids stand for) to every row."""
-    shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
+    shared = Shared(df, load_vocabulary(vocabulary_path))
 
     def start():
         vocabulary = shared.value

@@ -5,6 +5,7 @@ Task bodies travel by value, so executors need numpy and pyarrow but not this pa
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from zlib import crc32
@@ -26,6 +27,19 @@ def by_value(module: str) -> None:
 by_value(__name__)
 
 
+class Shared:
+    """A broadcast of bounded size. Classes travel by value too; the object is made once per worker and kept beside it."""
+
+    def __init__(self, df: DataFrame, value: object):
+        self.held = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if not hasattr(self.held, "made"):
+            self.held.made = pickle.loads(self.held.value)
+        return self.held.made
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

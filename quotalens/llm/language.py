@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotalens.llm.common import append_columns, by_value, field, held_out, sample_order, seeded
+from quotalens.llm.common import append_columns, by_value, field, held_out, sample_order, seeded, Shared
 
 by_value(__name__)
 
@@ -187,7 +187,7 @@ def fit_languages(df: DataFrame, text: str = "text", lang: str = "lang", doc_id:
 
 def identify(df: DataFrame, model: LanguageModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``lang_pred``, ``score`` (calibrated probability) and ``rejected``. The model's size is fixed: it is broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(df, model)
 
     def start():
         return lambda texts: list(predict(shared.value, texts))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotalens.llm.common import append_columns, by_value, field, materialize, slices
+from quotalens.llm.common import append_columns, by_value, field, materialize, Shared, slices
 
 by_value(__name__)
 
@@ -192,7 +192,7 @@ def shingle_rarity(df: DataFrame, text: str = "text") -> Rarity:
 
     found = df.select(text).mapInArrow(candidates, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     few = np.sort(found.filter(F.col("n") >= least / 2).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
-    shared = df.sparkSession.sparkContext.broadcast(few)
+    shared = Shared(df, few)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, few = _Powers(), shared.value
@@ -234,7 +234,7 @@ class _Verifier:
         pairs = materialize(pairs.select("a", "b").distinct(), f"{name}-pairs")
         left = self.texts.select(F.col("node").alias("a"), F.col("packed").alias("left"))
         right = self.texts.select(F.col("node").alias("b"), F.col("packed").alias("right"))
-        shared = pairs.sparkSession.sparkContext.broadcast(self.rarity)
+        shared = Shared(pairs, self.rarity)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             powers, last = _Powers(), {}
@@ -276,7 +276,7 @@ _TOGETHER = 1 << 16
 
 def signatures(df: DataFrame, rarity: Rarity, text: str, keep: list[str]) -> DataFrame:
     """``keep``, node, band keys and samples of every row. Rows of one node in one slice of a batch are sampled once."""
-    shared = df.sparkSession.sparkContext.broadcast(rarity)
+    shared = Shared(df, rarity)
 
     def start():
         powers, table = _Powers(), variables()

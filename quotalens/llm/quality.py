@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotalens.llm.common import append_columns, by_value, field, fold, sample_order, seeded
+from quotalens.llm.common import append_columns, by_value, field, fold, sample_order, seeded, Shared
 
 by_value(__name__)
 
@@ -149,7 +149,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> N
 
 def score_quality(df: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``score`` (probability of label 1) and ``predicted``. The network's size is fixed: it is broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast(net)
+    shared = Shared(df, net)
 
     def start():
         def work(texts):

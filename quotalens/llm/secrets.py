@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotalens.llm.common import append_columns, by_value, field
+from quotalens.llm.common import append_columns, by_value, field, Shared
 
 by_value(__name__)
 
@@ -106,7 +106,7 @@ def scan_secrets(
     df: DataFrame, vocabulary_path: str, text: str = "text", ratio: float = RATIO, keep: list[str] | None = None,
 ) -> DataFrame:
     """Add ``secret_spans``: an array of (kind, start, stop, value), sorted by start and kind."""
-    shared = df.sparkSession.sparkContext.broadcast(_Shared(load_ranks(vocabulary_path)))
+    shared = Shared(df, _Shared(load_ranks(vocabulary_path)))
 
     def start():
         encoding = shared.value.encoding()
@@ -128,7 +128,7 @@ def spans_text(kinds: tuple[str, ...] = KINDS) -> Column:
 
 def redact(df: DataFrame, vocabulary_path: str, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``df`` with every secret's value replaced by ``mark``. Rows without a span stay as they are, null texts too."""
-    shared = df.sparkSession.sparkContext.broadcast(_Shared(load_ranks(vocabulary_path)))
+    shared = Shared(df, _Shared(load_ranks(vocabulary_path)))
 
     def start():
         encoding = shared.value.encoding()

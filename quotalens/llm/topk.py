@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotalens.llm.common import by_value
+from quotalens.llm.common import by_value, Shared
 
 by_value(__name__)
 
@@ -108,7 +108,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", ve
     for size in sizes:
         longest = rows.filter(F.col("size") == size).orderBy(F.desc("norm2"), "vec_id").limit(SEEDS).toPandas()
         seeds[size] = (longest["vec_id"].to_numpy(), _matrix(longest["v"].tolist(), size))
-    shared = df.sparkSession.sparkContext.broadcast(seeds)
+    shared = Shared(df, seeds)
 
     def first_threshold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
