@@ -8,9 +8,9 @@ batches hold at least twice; their documents are then counted in a second pass.
 
 Consistent weighted samples make two documents agree in a sample with a probability equal to their weighted Jaccard
 similarity. Samples are hashed in bands; documents that agree on a band meet in a bucket. Texts with equal words are one
-node from the start. In each bucket every node is compared with the smallest one (its centre) only, which is linear in
-the bucket; links merge nodes into classes; what is then in another class than its bucket's centre meets the smallest of
-those nodes, and so on for ``ROUNDS`` rounds. Last, nodes of a bucket that are still in different classes are compared pair
+node from the start. In each bucket every node is compared with the centre only, the node whose own buckets are largest,
+which is linear in the bucket; links merge nodes into classes; what is then in another class than its bucket's centre
+meets the centre of those nodes, and so on for ``ROUNDS`` rounds. Last, nodes of a bucket that are still in different classes are compared pair
 by pair; buckets above ``LARGE`` are first split by a second band there. Every comparison that estimates below the
 similarity by far is skipped; the others are verified with the exact weighted Jaccard similarity of the two texts.
 
@@ -44,6 +44,9 @@ ROUNDS, LARGE = 2, 50
 #: Share of equal samples below which similarity 0.8 is out of reach (five standard deviations).
 ESTIMATE = 0.53
 
+#: The same for pairs that the centres didn't join: three standard deviations, so one in 400 pairs exactly at 0.8 is passed over.
+ESTIMATE_IN_REST = 0.65
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 _WORD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b == 0x5F or b >= 0x80 else 0x20 for b in range(256))
@@ -316,10 +319,13 @@ def node_classes(rows: DataFrame, docs: DataFrame, rarity: Rarity) -> DataFrame:
     """(node, class) of all nodes. ``rows``: node, keys, samples, mark; ``docs``: mark, text, where mark tells texts apart."""
     nodes = materialize(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("keys", "samples", "mark")]), "nodes")
 
-    # Buckets of two nodes or more: (key, node), and the samples of the nodes in them.
+    # Buckets of two nodes or more: (key, node, n), n nodes in the bucket.
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    members = materialize(keyed.join(crowded, "key"), "members")
+    members = keyed.join(crowded, "key")
+    # The centre of a bucket is the node whose buckets are largest: in a group of copies, the text they derive from.
+    drawn = members.groupBy("node").agg(F.sum("n").alias("drawn"))
+    members = materialize(members.join(drawn, "node"), "members")
     active = members.select("node").distinct().join(nodes.select("node", "mark"), "node")
     packed = append_columns(docs, "text", [field("packed", "binary")], lambda: lambda texts: [[pack(t) for t in texts]], ["mark"])
     texts = packed.join(active, "mark").groupBy("node").agg(F.first("packed").alias("packed"))
@@ -332,26 +338,31 @@ def node_classes(rows: DataFrame, docs: DataFrame, rarity: Rarity) -> DataFrame:
         return near.filter(_agreement(F.col("one"), F.col("two")) >= ESTIMATE)
 
     links, labels = None, members.select("node").distinct().withColumn("class", F.col("node"))
-    left = members.select("key", "node", F.col("node").alias("class"))
+    left = members.select("key", "node", "drawn", F.col("node").alias("class"))
+    first = F.min(F.struct((-F.col("drawn")).alias("order"), "node", "class")).alias("c")
     for turn in range(ROUNDS):
-        centre = left.groupBy("key").agg(F.min(F.struct("node", "class")).alias("c"))
+        centre = left.groupBy("key").agg(first)
         star = left.join(centre, "key").filter(F.col("node") != F.col("c.node")).filter(F.col("class") != F.col("c.class"))
         found = verifier.links(close(star.select(F.col("node").alias("a"), F.col("c.node").alias("b"))), f"links{turn}")
         links = found if links is None else links.union(found)
         labels = _connected(links, f"classes{turn}")
-        named = members.select("key", "node").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        centre = named.groupBy("key").agg(F.min(F.struct("node", "class")).alias("c"))
-        left = materialize(named.join(centre, "key").filter(F.col("class") != F.col("c.class")).select("key", "node", "class"), f"left{turn}")
+        named = members.select("key", "node", "drawn").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        centre = named.groupBy("key").agg(first)
+        left = materialize(named.join(centre, "key").filter(F.col("class") != F.col("c.class")).select("key", "node", "drawn", "class"), f"left{turn}")
 
     # What is in several classes still: pairs of one bucket, large buckets split by a second band.
-    named = members.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    named = members.select("key", "node", "n").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
     several = left.select("key").distinct()
-    named = named.join(several, "key").join(nodes.select("node", "keys"), "node")
-    fine = named.withColumn("second", F.explode(F.when(F.col("n") > LARGE, F.array_remove("keys", F.col("key"))).otherwise(F.array(F.lit(0).cast("long")))))
-    fine = fine.select("key", "second", "node", "class")
-    one, two = fine.toDF("key", "second", "a", "class_a"), fine.toDF("key", "second", "b", "class_b")
-    rest = one.join(two, ["key", "second"]).filter((F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b")))
-    links = links.union(verifier.links(close(rest.select("a", "b")), "links-rest"))
+    named = named.join(several, "key").join(nodes.select("node", "keys", "samples"), "node")
+    split = F.when(F.col("n") > LARGE, F.array_remove("keys", F.col("key"))).otherwise(F.array(F.lit(0).cast("long")))
+    fine = named.withColumn("second", F.explode(split)).select("key", "second", "node", "class", "n", "keys", "samples")
+    one, two = fine.alias("x"), fine.toDF(*[f"{c}_2" for c in fine.columns]).alias("y")
+    shared = F.array_intersect(F.col("keys"), F.col("keys_2"))  # in the order of the bands: a pair shows once, at its first ones
+    once = (F.get(shared, F.lit(0)) == F.col("key")) & ((F.col("n") <= LARGE) | (F.get(shared, F.lit(1)) == F.col("second")))
+    rest = one.join(two, (
+        (F.col("key") == F.col("key_2")) & (F.col("second") == F.col("second_2")) & (F.col("node") < F.col("node_2"))
+        & (F.col("class") != F.col("class_2")) & once & (_agreement(F.col("samples"), F.col("samples_2")) >= ESTIMATE_IN_REST)))
+    links = links.union(verifier.links(rest.select(F.col("node").alias("a"), F.col("node_2").alias("b")), "links-rest"))
     labels = _connected(links, "classes")
     return materialize(nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("class", "node").alias("class")), "all-classes")
 
