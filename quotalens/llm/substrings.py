@@ -106,17 +106,18 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
-    return ((gram >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+    """Anchors have the smallest hashes of their strings, so the hash is mixed anew to deal them evenly."""
+    return ((mix(gram + np.uint64(_BASE)) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
 def by_bucket(gram: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Bucket numbers and the places of their grams, ordered by gram."""
-    order = np.argsort(gram, kind="stable")
-    number = bucket_of(gram[order], buckets)
-    cut = np.flatnonzero(np.diff(number)) + 1
+    number = bucket_of(gram, buckets)
+    order = np.lexsort((gram, number))
+    cut = np.flatnonzero(np.diff(number[order])) + 1
     for part in np.split(order, cut):
         if len(part):
-            yield int(bucket_of(gram[part[:1]], buckets)[0]), part
+            yield int(number[part[0]]), part
 
 
 # --- Exchange 1: grams that stand in several documents ----------------------------------------------------------
