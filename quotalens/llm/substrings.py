@@ -143,11 +143,13 @@ def _deal_grams(buckets: int):
                 gram = np.concatenate(grams or [np.zeros(0, np.uint64)])
                 if not len(gram):
                     continue
-                place, owner, ids, keys = np.concatenate(places), np.concatenate(owners), np.array(ids, np.int64), np.array(keys, np.int64)
+                place, owner, ids, keys = np.concatenate(places), np.concatenate(owners), np.array(ids, np.int64), np.array(keys, np.int32)
                 rows = []
                 for bucket, part in by_bucket(gram, buckets):
                     used, local = np.unique(owner[part], return_inverse=True)
-                    rows.append((bucket, pack(gram[part], local.astype(np.uint32), place[part], ids[used], keys[used])))
+                    short = mix(gram[part] + np.uint64(_BASE))  # 40 bits tell grams of a bucket apart; a chance hit only costs work
+                    rows.append((bucket, pack(
+                        short.astype(np.uint32), (short >> np.uint64(32)).astype(np.uint8), local.astype(np.uint32), place[part], ids[used], keys[used])))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
 
     return run
@@ -157,8 +159,8 @@ def _shared_grams(part: pd.DataFrame) -> pd.DataFrame:
     """For each document of the bucket, the numbers of its anchors whose gram stands in another document too."""
     grams, owners, places, ids, keys, n = [], [], [], [], [], 0
     for blob in part["blob"]:
-        gram, owner, place, doc, key = unpack(blob, "u8", "u4", "u4", "i8", "i8")
-        grams.append(gram)
+        low, high, owner, place, doc, key = unpack(blob, "u4", "u1", "u4", "u4", "i8", "i4")
+        grams.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
         owners.append(owner.astype(np.int64) + n)
         places.append(place)
         ids.append(doc)
@@ -213,14 +215,14 @@ def _deal_surroundings(buckets: int):
                 rows = []
                 if held:
                     gram, owner, start, offset, size = (np.array([h[i] for h in held], t) for i, t in enumerate(("u8", "u4", "u4", "u1", "u1")))
-                    ids, keys = np.array(ids, np.int64), np.array(keys, np.int64)
+                    ids, keys = np.array(ids, np.int64), np.array(keys, np.int32)
                     for bucket, part in by_bucket(gram, buckets):
                         used, local = np.unique(owner[part], return_inverse=True)
                         text = np.frombuffer(b"".join(held[i][5] for i in part), np.uint8)
                         rows.append((bucket, pack(gram[part], local.astype(np.uint32), start[part], offset[part], size[part], ids[used], keys[used], text)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([b for b, _ in rows] + [-1] * len(settled), pa.int64()), pa.array([x for _, x in rows] + [None] * len(settled), pa.binary()),
-                    pa.array([0] * len(rows) + [s[0] for s in settled], pa.int64()), pa.array([0] * len(rows) + [s[1] for s in settled], pa.int64()),
+                    pa.array([0] * len(rows) + [s[0] for s in settled], pa.int64()), pa.array([0] * len(rows) + [s[1] for s in settled], pa.int32()),
                     pa.array([None] * len(rows) + [s[2] for s in settled], pa.list_(pa.int32()))], names=["bucket", "blob", "doc_id", "key", "ranges"])
 
     return run
@@ -276,7 +278,7 @@ def _equal_strings(part: pd.DataFrame) -> pd.DataFrame:
     columns = [[] for _ in range(8)]
     docs = 0
     for blob in part["blob"]:
-        found = unpack(blob, "u8", "u4", "u4", "u1", "u1", "i8", "i8", "u1")
+        found = unpack(blob, "u8", "u4", "u4", "u1", "u1", "i8", "i4", "u1")
         found[1] = found[1].astype(np.int64) + docs
         docs += len(found[5])
         for column, x in zip(columns, found):
@@ -327,6 +329,10 @@ def zipped(data: bytes) -> bytes:
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
+def _zip():
+    return lambda texts: [[zipped(t.encode()) for t in texts]]
+
+
 def unzip(packed: bytes) -> bytes:
     size = int.from_bytes(packed[:8], "little")
     return pa.decompress(packed[8:], size, codec="zstd", asbytes=True) if size else b""
@@ -365,21 +371,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept): starts and ends of the removed runs in turn, and the bytes that stay."""
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("text"))
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(body).alias("key"), body.alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, -(-total // BUCKET_BYTES))
 
     named = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     grams = named.mapInArrow(_deal_grams(buckets), "bucket long, blob binary")
-    shared = grams.groupBy("bucket").applyInPandas(_shared_grams, "doc_id long, key long, places binary")
+    shared = grams.groupBy("bucket").applyInPandas(_shared_grams, "doc_id long, key int, places binary")
     shared = shared.groupBy("doc_id", "key").agg(F.collect_list("places").alias("places"))  # at most the document's anchors
 
-    packed = append_columns(docs, "text", [field("packed", "binary")], lambda: lambda texts: [[zipped(t.encode()) for t in texts]], ["doc_id", "key"])
+    # Both joins below exchange the same rows, so that Spark deals them once; rows without id join nothing.
+    packed = append_columns(docs.filter(F.col("doc_id").isNotNull()), "text", [field("packed", "binary")], _zip, ["doc_id", "key"])
     met = packed.join(shared, ["doc_id", "key"]).select("doc_id", "key", "packed", "places")
-    dealt = met.mapInArrow(_deal_surroundings(buckets), "bucket long, blob binary, doc_id long, key long, ranges array<int>")
+    dealt = met.mapInArrow(_deal_surroundings(buckets), "bucket long, blob binary, doc_id long, key int, ranges array<int>")
     # A settled row keeps its place: it goes through the same exchange under a number of its own.
     number = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.col("key"), F.lit(buckets)))
-    found = dealt.withColumn("bucket", number).groupBy("bucket").applyInPandas(_search, "doc_id long, key long, ranges array<int>")
+    found = dealt.withColumn("bucket", number).groupBy("bucket").applyInPandas(_search, "doc_id long, key int, ranges array<int>")
     ranges = found.groupBy("doc_id", "key").agg(F.collect_list("ranges").alias("ranges"))
 
     digest = F.sha2(F.col("text").cast("binary"), 256)
@@ -388,6 +395,8 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     copies = copies.join(least, "digest").filter(F.col("doc_id") > F.col("least")).select("doc_id", "key", F.lit(True).alias("copy")).distinct()
     marks = ranges.join(copies, ["doc_id", "key"], "full")
     given = packed.join(marks, ["doc_id", "key"], "left").select("doc_id", "packed", "ranges", F.coalesce("copy", F.lit(False)).alias("copy"))
+    rest = append_columns(docs.filter(F.col("doc_id").isNull()), "text", [field("packed", "binary")], _zip, ["doc_id"])
+    given = given.unionByName(rest.withColumns({"ranges": F.lit(None).cast("array<array<int>>"), "copy": F.lit(False)}))
     return given.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<int>, kept binary")
 
 
@@ -398,4 +407,4 @@ def _search(part: pd.DataFrame) -> pd.DataFrame:
     if len(dealt):
         found.append(_equal_strings(dealt))
     found = [f for f in found if len(f)]
-    return pd.concat(found).astype({"doc_id": "int64", "key": "int64"}) if found else pd.DataFrame({"doc_id": [], "key": [], "ranges": []})
+    return pd.concat(found).astype({"doc_id": "int64", "key": "int32"}) if found else pd.DataFrame({"doc_id": [], "key": [], "ranges": []})
