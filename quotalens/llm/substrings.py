@@ -300,6 +300,15 @@ def _equal_strings(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"doc_id": [], "key": [], "ranges": []})
     start = text_at[entry] + shift
     h = Hashes(data)
+    # A suffix whose hash over the whole length is its own in the slot equals no other: it need not be sorted.
+    whole = h.of(start, LENGTH)
+    order = np.lexsort((whole, slot))
+    twin = (slot[order][1:] == slot[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+    keep = np.zeros(len(start), bool)
+    keep[order[1:][twin]] = keep[order[:-1][twin]] = True
+    entry, shift, slot, start = entry[keep], shift[keep], slot[keep], start[keep]
+    if not len(entry):
+        return pd.DataFrame({"doc_id": [], "key": [], "ranges": []})
     order = sort_suffixes(data, h, start, slot)
     entry, shift, slot, start = entry[order], shift[order], slot[order], start[order]
     same = np.zeros(len(start), bool)
