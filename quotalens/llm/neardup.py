@@ -10,9 +10,10 @@ Consistent weighted samples make two documents agree in a sample with a probabil
 similarity. Samples are hashed in bands; documents that agree on a band meet in a bucket. Texts with equal words are one
 node from the start. In each bucket every node is compared with the centre only, the node whose own buckets are largest,
 which is linear in the bucket; links merge nodes into classes; what is then in another class than its bucket's centre
-meets the centre of those nodes, and so on for ``ROUNDS`` rounds. Last, nodes of a bucket that are still in different classes are compared pair
-by pair; buckets above ``LARGE`` are first split by a second band there. Every comparison that estimates below the
-similarity by far is skipped; the others are verified with the exact weighted Jaccard similarity of the two texts.
+meets the centre of those nodes, and so on for ``ROUNDS`` rounds. Last, all nodes of a bucket that are still in different
+classes are compared pair by pair, whatever the size of the bucket; blocks of ``LARGE`` nodes bound the tasks, and every
+block meets every other. Every comparison that estimates below the similarity by far (``ESTIMATE``) is skipped; the others
+are verified with the exact weighted Jaccard similarity of the two texts.
 
 Null and empty texts have no word and are equal to each other. A class is named by its smallest id (null if it has
 none). Rows that repeat an id get one row each. Extra columns are left out; an empty table gives an empty result.
@@ -39,14 +40,12 @@ BANDS, ROWS = 14, 4
 #: Share of the documents from which a shingle's frequency is counted, and entries of the table of random variables (a power of two).
 SHARE, VARIABLES = 0.001, 16
 
-ROUNDS, LARGE = 2, 50
+#: Rounds of centres, and nodes of a block in the comparison of what the centres left.
+ROUNDS, LARGE = 2, 256
 
 #: Share of equal samples below which similarity 0.8 is out of reach (five standard deviations).
 ESTIMATE = 0.53
 
-#: The same for pairs that the centres didn't join: three standard deviations, so one in 400 pairs exactly at 0.8 is passed over.
-ESTIMATE_IN_REST = 0.65
-
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 _WORD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b == 0x5F or b >= 0x80 else 0x20 for b in range(256))
@@ -226,6 +225,153 @@ def _connected(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (key, low, high), the first three columns; they come in this order."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        mark = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+        edge = np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(0)) + 1
+        for a, b in zip([0, *edge], [*edge, batch.num_rows]):
+            now = tuple(mark[:, a])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(-1, width)
+
+
+def _candidates(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the block's two sides: of different classes, in the first band they share, with enough equal samples."""
+    key, low, high = (rows.column(k)[0].as_py() for k in range(3))
+    side = rows.column("side").to_numpy()
+    one, two = np.flatnonzero(side == low), np.flatnonzero(side == high)
+    kind = np.unique(rows.column("class").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
+    keys, chosen = _matrix(rows.column("keys"), BANDS), _matrix(rows.column("samples"), BANDS * ROWS)
+    earlier = keys[:, :int(np.flatnonzero((keys == key).all(0))[0])]
+    out = []
+    strip = max(1, (1 << 20) // (BANDS * ROWS * max(1, len(two))))
+    for at in range(0, len(one), strip):
+        x = one[at:at + strip]
+        fits = kind[x][:, None] != kind[two][None]
+        if low == high:
+            fits &= x[:, None] < two[None]
+        if fits.any():
+            fits &= (chosen[x][:, None] == chosen[two][None]).sum(2) >= ESTIMATE * BANDS * ROWS
+            fits &= ~(earlier[x][:, None] == earlier[two][None]).any(2)
+        i, j = np.nonzero(fits)
+        out.append((x[i], two[j]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (one[:0], two[:0])
+
+
+#: Shingles (by occurrence) that are multiplied in one go.
+_COLUMNS = 1024
+
+
+def _similarities(i: np.ndarray, j: np.ndarray, held: dict[int, tuple[np.ndarray, np.ndarray]], rarity: Rarity) -> np.ndarray:
+    """Weighted Jaccard of many pairs of the same documents, from products of their shingle matrices. ``held``: shingles, occurrences."""
+    who = np.array(sorted(held))
+    parts = [held[k] for k in who]
+    column = np.unique(np.concatenate([s for s, _ in parts]), return_inverse=True)
+    times = np.concatenate([t for _, t in parts])
+    owner = np.repeat(np.arange(len(who)), [len(s) for s, _ in parts])
+    total = np.bincount(owner, rarity.of(column[0])[column[1]] * times, len(who))
+    # A shingle's first, second, ... occurrence are columns of their own: common ones are the smaller number of occurrences.
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    tag = np.repeat(column[1], times) * (int(times.max(initial=0)) + 1) + nth
+    names, place, often = np.unique(tag, return_inverse=True, return_counts=True)
+    kept = often > 1  # what one document holds alone is common to none
+    new = np.cumsum(kept) - 1
+    weight = rarity.of(column[0])[names[kept] // (int(times.max(initial=0)) + 1)]
+    row, place = np.repeat(owner, times)[kept[place]], new[place[kept[place]]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    common = np.zeros((len(who), len(who)))
+    for at in range(0, len(weight), _COLUMNS):
+        a, b = np.searchsorted(place, (at, at + _COLUMNS))
+        x = np.zeros((len(who), min(_COLUMNS, len(weight) - at)))
+        x[row[a:b], place[a:b] - at] = 1
+        common += (x * weight[at:at + _COLUMNS]) @ x.T
+    i, j = np.searchsorted(who, i), np.searchsorted(who, j)
+    whole = total[i] + total[j] - common[i, j]
+    return np.where(whole > 0, common[i, j] / np.where(whole > 0, whole, 1), 1.0)
+
+
+def _rest_links(named: DataFrame, several: DataFrame, first: Column, nodes: DataFrame, texts: DataFrame, rarity: Rarity) -> DataFrame:
+    """Links (a, b, similarity) between classes that share a bucket; as many of each block as join its classes.
+
+    ``named``: key, node, drawn, class. A pair of different classes has a node outside the class of its bucket's centre. So
+    these nodes, in blocks of ``LARGE``, meet each other's blocks and those of the centre's class: every pair meets once,
+    and a block's task holds twice ``LARGE`` nodes at most.
+    """
+    named = named.join(several, "key")
+    centre = named.groupBy("key").agg(first)
+    named = named.join(centre, "key").select("key", "node", "class", (F.col("class") != F.col("c.class")).alias("outside"))
+    named = materialize(named, "rest")
+    parts = named.groupBy("key").agg(
+        F.ceil(F.count_if("outside") / LARGE).cast("int").alias("few"), F.ceil(F.count_if(~F.col("outside")) / LARGE).cast("int").alias("many"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("few")).otherwise(F.col("many"))).cast("int")
+    dealt = named.join(parts, "key").withColumn("side", own + F.when(F.col("outside"), 0).otherwise(F.col("few")))
+    meets = F.sequence(F.lit(0), F.when(F.col("outside"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
+    dealt = dealt.withColumn("other", F.explode(meets)).select(
+        "key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "class")
+    dealt = dealt.join(nodes, "node").select("key", "low", "high", "side", "node", "class", "keys", "samples")
+    schema = "key long, low int, high int, side int, node string, class string, keys array<long>, samples array<int>"
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            chosen = np.unique(np.concatenate(_candidates(rows)))
+            if len(chosen):
+                yield from rows.take(chosen).combine_chunks().to_batches()
+
+    found = materialize(met(dealt).mapInArrow(near, schema), "rest-near")
+    shared = Shared(named, rarity)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers()
+        for rows in _blocks(batches):
+            i, j = _candidates(rows)
+            if not len(i):
+                continue
+            packed, node, kind = (rows.column(c) for c in ("packed", "node", "class"))
+            held = {int(k): counted_shingles(word_hashes(unpack(packed[int(k)].as_py()), powers)) for k in np.unique(np.concatenate([i, j]))}
+            same = _similarities(i, j, held, shared.value)
+            name = {}
+
+            def root(k):
+                while name.get(k, k) != k:
+                    k = name[k]
+                return k
+
+            links = []
+            for at in np.flatnonzero(same >= SIMILARITY - 1e-9):
+                a, b = int(i[at]), int(j[at])
+                one, two = root(kind[a].as_py()), root(kind[b].as_py())
+                if one == two:
+                    continue
+                if abs(same[at] - SIMILARITY) < 1e-9:  # sums in another order
+                    same[at] = similarity(*[(held[k][0], shared.value.of(held[k][0]) * held[k][1]) for k in (a, b)])
+                if same[at] >= SIMILARITY:
+                    name[max(one, two)] = min(one, two)
+                    links.append((node[a].as_py(), node[b].as_py(), float(same[at])))
+            if links:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*links), (pa.string(), pa.string(), pa.float64()))], names=["a", "b", "similarity"])
+
+    whole = found.join(texts.select("node", "packed"), "node").select(*found.columns, "packed")
+    return materialize(met(whole).mapInArrow(join, "a string, b string, similarity double"), "links-rest")
+
+
 class _Verifier:
     """Compares pairs of nodes by their texts. Texts travel compressed."""
 
@@ -350,19 +496,9 @@ def node_classes(rows: DataFrame, docs: DataFrame, rarity: Rarity) -> DataFrame:
         centre = named.groupBy("key").agg(first)
         left = materialize(named.join(centre, "key").filter(F.col("class") != F.col("c.class")).select("key", "node", "drawn", "class"), f"left{turn}")
 
-    # What is in several classes still: pairs of one bucket, large buckets split by a second band.
-    named = members.select("key", "node", "n").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    several = left.select("key").distinct()
-    named = named.join(several, "key").join(nodes.select("node", "keys", "samples"), "node")
-    split = F.when(F.col("n") > LARGE, F.array_remove("keys", F.col("key"))).otherwise(F.array(F.lit(0).cast("long")))
-    fine = named.withColumn("second", F.explode(split)).select("key", "second", "node", "class", "n", "keys", "samples")
-    one, two = fine.alias("x"), fine.toDF(*[f"{c}_2" for c in fine.columns]).alias("y")
-    shared = F.array_intersect(F.col("keys"), F.col("keys_2"))  # in the order of the bands: a pair shows once, at its first ones
-    once = (F.get(shared, F.lit(0)) == F.col("key")) & ((F.col("n") <= LARGE) | (F.get(shared, F.lit(1)) == F.col("second")))
-    rest = one.join(two, (
-        (F.col("key") == F.col("key_2")) & (F.col("second") == F.col("second_2")) & (F.col("node") < F.col("node_2"))
-        & (F.col("class") != F.col("class_2")) & once & (_agreement(F.col("samples"), F.col("samples_2")) >= ESTIMATE_IN_REST)))
-    links = links.union(verifier.links(rest.select(F.col("node").alias("a"), F.col("node_2").alias("b")), "links-rest"))
+    # What is in several classes still: all pairs of different classes in one bucket, block by block.
+    links = links.union(_rest_links(members.select("key", "node", "drawn").join(labels, "node", "left").withColumn(
+        "class", F.coalesce("class", "node")), left.select("key").distinct(), first, nodes.select("node", "keys", "samples"), texts, rarity))
     labels = _connected(links, "classes")
     return materialize(nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("class", "node").alias("class")), "all-classes")
 

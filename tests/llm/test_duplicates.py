@@ -151,6 +151,25 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert got == brute_classes(rows, neardup.shingle_rarity(df))
 
 
+@pytest.mark.parametrize("large", [3, 256])
+def test_one_shared_band_is_enough_in_buckets_of_any_size(spark, monkeypatch, large):
+    """All documents share one band of 14 and 31 of 56 samples, the least that ESTIMATE lets through; the centres join few of them."""
+    def samples(s, w, starts, table):
+        own = np.add.reduceat(s, starts).astype(np.uint32)
+        out = own[:, None] + np.arange(56, dtype=np.uint32)
+        out[:, :4] = 7
+        out[:, [4 * band + k for band in range(1, 10) for k in range(3)]] = 7
+        return out
+
+    monkeypatch.setattr(neardup, "samples", samples)
+    monkeypatch.setattr(neardup, "LARGE", large)
+    rows = [(10 * g + k, words(900 + g, 60) + " tail" * k) for g in range(25) for k in range(3)]
+    df = documents(spark, rows)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    want = {i: i - i % 10 for i, _ in rows}
+    assert got == want == brute_classes(rows, neardup.shingle_rarity(df))
+
+
 def test_rarity_counts_documents(spark):
     common = "these five words are common"
     rows = [(i, words(i, 20) + " " + common * (1 + i % 2)) for i in range(30)] + [(50, None), (51, words(3, 20))]
