@@ -3,8 +3,8 @@
 A document's shingles are five consecutive words (lower case); a shorter document has one shingle of all its words. A
 shingle weighs its occurrences times its inverse document frequency over all rows of the input. Frequencies are counted
 exactly for shingles that stand in more than ``SHARE`` of the documents; the rarer ones all weigh as much as one of that
-frequency. So the table of frequencies is bounded, whatever the size of the corpus. Candidates for it are the shingles that
-batches hold at least twice; their documents are then counted in a second pass.
+frequency. So the table of frequencies is bounded, whatever the size of the corpus. Candidates for it are told in a first pass that
+loses none of them; their documents are then counted in a second pass.
 
 Consistent weighted samples make two documents agree in a sample with a probability equal to their weighted Jaccard
 similarity. Samples are hashed in bands; documents that agree on a band meet in a bucket. Texts with equal words are one
@@ -178,22 +178,41 @@ def band_keys(chosen: np.ndarray) -> np.ndarray:
     return mix(x + np.arange(BANDS, dtype=np.uint64) * np.uint64(_BASE)).astype(np.int64)
 
 
+#: Shingles of the documents that a task counts together.
+_CHUNK = 1 << 22
+
+
 def shingle_rarity(df: DataFrame, text: str = "text") -> Rarity:
-    """Frequencies over all rows. At most 2 / SHARE times the shingles of an average document reach the driver."""
+    """Frequencies over all rows, however they are partitioned. At most 2 / SHARE times the shingles of an average document reach the driver.
+
+    A task counts its documents in chunks. A chunk leaves out ``slack`` sightings of each shingle, half of what SHARE of its
+    documents are, rounded down: none in a chunk of few documents. Chunks together leave out no more than ``left_out``, so
+    what is below ``least`` by more than that is no candidate, and nothing else is lost. Candidates are then counted exactly.
+    """
     rows = df.count()
-    least = max(2.0, rows * SHARE)
+    least, left_out = max(2.0, rows * SHARE), int(rows * SHARE / 2)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
+        powers, held, size = _Powers(), [], 0
+
+        def flush():
+            s, n = np.unique(np.concatenate(held), return_counts=True)
+            n -= int(len(held) * SHARE / 2)
+            return pa.RecordBatch.from_arrays([pa.array(s[n > 0].view(np.int64)), pa.array(n[n > 0])], names=["shingle", "n"])
+
         for batch in batches:
             for piece in slices(batch, 8 << 20):
-                held = [counted_shingles(word_hashes(t, powers))[0] for t in piece.column(0).to_pylist()]
-                s, n = np.unique(np.concatenate(held), return_counts=True)
-                s, n = s[n > 1], n[n > 1]
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+                for t in piece.column(0).to_pylist():
+                    held.append(counted_shingles(word_hashes(t, powers))[0])
+                    size += len(held[-1])
+                    if size >= _CHUNK:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
 
     found = df.select(text).mapInArrow(candidates, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    few = np.sort(found.filter(F.col("n") >= least / 2).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+    few = np.sort(found.filter(F.col("n") >= least - left_out).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
     shared = Shared(df, few)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

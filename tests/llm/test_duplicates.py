@@ -179,6 +179,18 @@ def test_rarity_counts_documents(spark):
     assert rarity.idf.min() == pytest.approx(np.log(33 / (max(held.values()) + 1)) + 0.05) and rarity.other == pytest.approx(np.log(33 / 2) + 0.05)
 
 
+@pytest.mark.parametrize("parts,chunk", [(1, 1 << 22), (1, 300), (5, 1 << 22), (40, 1 << 22)])
+def test_rarity_does_not_depend_on_partitions(spark, monkeypatch, parts, chunk):
+    """Phrases in 1 to 20 of 80 documents: all that are in 8 or more are counted, as counted here."""
+    monkeypatch.setattr(neardup, "SHARE", 0.1)
+    monkeypatch.setattr(neardup, "_CHUNK", chunk, raising=False)
+    rows = [(i, words(i, 10) + " " + " ".join(words(300 + k, 6) for k in range(1, 21) if (i * 27 + 11 * k) % 80 < k)) for i in range(80)]
+    held = Counter(s for _, t in rows for s in set(shingles(t)))
+    rarity = neardup.shingle_rarity(documents(spark, rows).repartition(parts))
+    want = sorted(np.log(81 / (n + 1)) + 0.05 for n in held.values() if n >= 8)
+    assert len(want) > 20 and sorted(rarity.idf) == pytest.approx(want)
+
+
 def test_samples_agree_as_often_as_documents_are_similar():
     rng = np.random.default_rng(6)
     s = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
