@@ -3,8 +3,9 @@
 Three fixed patterns give the base spans. Beyond them, every long run of key-like characters is cut into tokens of a
 tiktoken vocabulary. Words and identifiers need few tokens; random strings fall apart into tokens of one or two
 characters. A run with a low number of characters per token is a span of kind ``token``, unless it has the form of a
-digest (hexadecimal of a usual length), an identifier (UUID, words joined by punctuation, one word, one number) or
-overlaps a base span.
+digest (hexadecimal of a usual length) or an identifier (UUID, words joined by punctuation, one word, one number). Of a
+run that meets base spans, the parts outside them are tested; in a run that is not random as a whole, each piece between
+joints is, and each window of tokens inside a long piece, so words around a secret don't hide it.
 
 A null or empty text has no spans. Positions are code points, ends exclusive. Repeated rows and ids are scanned one by
 one; extra columns stay; an empty table gives an empty result.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import re
+from itertools import accumulate
 
 import tiktoken
 from pyspark.sql import Column, DataFrame
@@ -34,6 +36,8 @@ KINDS = ("assign", "access", "hex", "token")
 
 #: A run worth a token test, the digests' lengths, and identifiers.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PIECE = re.compile(r"[A-Za-z0-9+]{20,}")
+WINDOW = 20
 DIGESTS = (32, 40, 56, 64, 96, 128)
 IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
@@ -64,24 +68,66 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
     return spans
 
 
+def plain(piece: str) -> bool:
+    """A digest or an identifier."""
+    bare = piece.rstrip("=")
+    return bool(HEXADECIMAL.fullmatch(bare) and len(bare) in DIGESTS or IDENTIFIER.fullmatch(piece))
+
+
 def random_run(run: str, encoding: tiktoken.Encoding, ratio: float) -> bool:
-    bare = run.rstrip("=")
-    if HEXADECIMAL.fullmatch(bare) and len(bare) in DIGESTS or IDENTIFIER.fullmatch(run):
-        return False
-    return len(run) < ratio * len(encoding.encode_ordinary(run))
+    return not plain(run) and len(run) < ratio * len(encoding.encode_ordinary(run))
+
+
+def random_parts(run: str, encoding: tiktoken.Encoding, ratio: float) -> list[tuple[int, int]]:
+    """The whole run if it is random, else its random pieces between joints, else its random windows of ``WINDOW`` characters."""
+    if random_run(run, encoding, ratio):
+        return [(0, len(run))]
+    if plain(run):
+        return []
+    out = []
+    for m in PIECE.finditer(run):
+        if random_run(m[0], encoding, ratio):
+            out.append(m.span())
+        elif not plain(m[0]) and len(m[0]) > WINDOW:
+            out += [(m.start() + a, m.start() + b) for a, b in random_windows(m[0], encoding, ratio)]
+    return out
+
+
+def random_windows(piece: str, encoding: tiktoken.Encoding, ratio: float) -> list[tuple[int, int]]:
+    """Unions of the windows of whole tokens, ``WINDOW`` characters or just above, that are random."""
+    edges = list(accumulate((len(encoding.decode_single_token_bytes(t)) for t in encoding.encode_ordinary(piece)), initial=0))
+    out: list[tuple[int, int]] = []
+    last = 0
+    for first, a in enumerate(edges):
+        while last < len(edges) and edges[last] - a < WINDOW:
+            last += 1
+        if last == len(edges):
+            break
+        b = edges[last]
+        if b - a < ratio * (last - first) and not plain(piece[a:b]):
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return out
 
 
 def find_spans(text: str | None, encoding: tiktoken.Encoding, ratio: float = RATIO) -> list[tuple[str, int, int, int]]:
     if not text:
         return []
     spans = base_spans(text)
-    taken = sorted((s[1:3] for s in spans), reverse=True)
-    reach = 0
+    taken = sorted(s[1:3] for s in spans)
+    next_, reach = 0, 0
     for m in RUN.finditer(text):
-        while taken and taken[-1][0] < m.end():
-            reach = max(reach, taken.pop()[1])
-        if reach <= m.start() and random_run(m[0], encoding, ratio):
-            spans.append(("token", *m.span(), m.start()))
+        at, free = max(m.start(), min(reach, m.end())), []
+        while next_ < len(taken) and taken[next_][0] < m.end():
+            free.append((at, taken[next_][0]))
+            reach = max(reach, taken[next_][1])
+            at = max(at, min(reach, m.end()))
+            next_ += 1
+        for a, b in [*free, (at, m.end())]:  # what no base span covers
+            if b - a >= WINDOW:
+                spans += [("token", a + x, a + y, a + x) for x, y in random_parts(text[a:b], encoding, ratio)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

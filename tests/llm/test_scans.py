@@ -87,6 +87,18 @@ def test_token_efficiency(spark):
     assert kinds[24] == ["token"] and kinds[25] == [] and kinds[26] == []
 
 
+def test_neighbours_do_not_hide_random_strings(spark):
+    key = "Zx9Qw3rT8uVb1NmK4pLs7Yd2"
+    path = "organization/production/services/notification/integration/"
+    texts = ["0123456789abcdef01234567/" + key, key + "/0123456789abcdef01234567", path + key, path * 3 + key + "/" + path, "internationalizationconfiguration" * 2 + key]
+    for r in secrets.scan_secrets(documents(spark, list(enumerate(texts))), RANKS).collect():
+        at = r.text.index(key)
+        assert any(s.kind == "token" and s.start <= at + 2 and s.stop >= at + len(key) - 2 for s in r.secret_spans), r.text
+        assert all(s.kind != "token" or s.start >= at - 12 and s.stop <= at + len(key) + 1 for s in r.secret_spans), r.text
+    rows = documents(spark, [(0, path + "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"), (1, path * 4), (2, path + "123e4567-e89b-12d3-a456-426614174000"), (3, "internationalization" * 9)])
+    assert all(s.kind != "token" for r in secrets.scan_secrets(rows, RANKS).collect() for s in r.secret_spans)
+
+
 def test_registered_digest(spark, folder):
     from quotalens.llm.queries import QUERIES
 
