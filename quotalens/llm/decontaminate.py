@@ -11,7 +11,7 @@ item's never lowers the similarity. Windows with the same shingles are compared
 that hold them.
 
 Items of fewer than five words have no shingle and match nothing; so do null and empty texts. Rows with a null id can't be
-named in the result and are left alone. Repeated rows and rows of one id count as one document, which holds an item if one
+named in the report and are left out of it; ``decontaminate`` judges each by its text. Repeated rows and rows of one id count as one document, which holds an item if one
 of its texts does; the same holds for items. Extra columns are left out; empty tables give an empty result.
 """
 
@@ -121,6 +121,9 @@ def contamination(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    held = contamination(docs, benchmark, doc_id=doc_id).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(held, doc_id, "left_anti")
+    """``docs`` without the documents that hold a benchmark item. Rows of one id are one document; each text without an id is one."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    unnamed = F.concat(F.lit("n"), F.xxhash64(body).cast("string"), F.lit(":"), F.length(body).cast("string"))
+    keyed = docs.withColumn("__document", F.coalesce(F.concat(F.lit("i"), F.col(doc_id).cast("string")), unnamed))
+    held = contamination(keyed.select("__document", "text"), benchmark, doc_id="__document").select(F.col("doc_id").alias("__document")).distinct()
+    return keyed.join(held, "__document", "left_anti").select(*docs.columns)

@@ -268,6 +268,13 @@ def test_contaminated_documents_go(spark):
     assert sorted(str(r.doc_id) for r in left) == sorted(str(i) for i, _ in rows if i not in held)
 
 
+def test_contaminated_documents_without_id_go(spark):
+    item = ITEMS[1][1]
+    rows = [(None, "intro " + item), (None, words(91, 40)), (None, None), (1, item), (2, words(92, 40))]
+    left = decontaminate.decontaminate(documents(spark, rows), items(spark)).collect()
+    assert sorted(str(r.text) for r in left) == sorted([words(91, 40), "None", words(92, 40)])
+
+
 def test_contamination_of_empty_tables(spark):
     assert decontaminate.contamination(documents(spark, []), items(spark)).count() == 0
     assert decontaminate.contamination(documents(spark, contaminated()), items(spark).limit(0)).count() == 0
