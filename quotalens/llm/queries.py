@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotalens.llm import bpe, decontaminate, infill, language, licenses, neardup, pages, quality, secrets, substrings, topk
+from quotalens.llm import bpe, decontaminate, infill, language, licenses, neardup, pages, quality, secrets, substrings, topk, warc
 from quotalens.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,24 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::B
   sha256(text) AS restored_sha256
 FROM c
 """
+
+
+@query
+def op13_warc(spark, folder):
+    path = warc.archive_folder(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    found = warc.records(warc.read_archives(spark, path, payloads=False))
+    return found.select(
+        warc.key_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.key_of("refers_to").alias("refers_to"))
+
+
+ORACLES["op13_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS r,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS most FROM pages
+)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN r > 1 AND strlen(html) >= 1000 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN r > 1 AND strlen(html) >= 1000 THEN most END AS refers_to
+FROM p
+"""
