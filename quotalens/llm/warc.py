@@ -107,7 +107,9 @@ def write_archives(
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(uri).alias("uri"), body.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1(F.col("payload").cast("binary")), "size": F.octet_length("payload").cast("long")})
-    rows = materialize(rows, "payloads")  # fixes the row numbers
+    held = archive_folder(df.sparkSession, "payloads")  # fixes the row numbers
+    rows.write.option("compression", "zstd").parquet(held)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(held)
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     archives = max(shuffle_width(df), -(-total // archive_bytes))
     again = revisits(rows.select("row", "key", "digest", "size")).withColumn("revisit", F.lit(True)).repartition(archives, "row")
@@ -323,5 +325,5 @@ def gaps(found: DataFrame) -> DataFrame:
 
 
 def archive_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for archives where all executors reach it."""
+    """A new folder where all executors reach it."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
