@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotalens.llm import bpe, decontaminate, infill, language, licenses, neardup, pages, quality, secrets, substrings, topk, warc
+from quotalens.llm import bpe, collocations, decontaminate, infill, language, licenses, neardup, pages, quality, secrets, substrings, topk, warc
 from quotalens.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +160,47 @@ def op10_language(spark, folder):
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query
+def op11_collocations(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), x AS (
+  SELECT lang, w, unnest(range(len(w))) AS i FROM w
+), g AS (
+  SELECT lang, k, array_to_string(w[i + 1:i + k], ' ') AS phrase FROM x, range(1, 6) r(k) WHERE i + k <= len(w)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL
+), t AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS s FROM f WHERE k > 1 AND f >= 100
+), u AS (
+  SELECT lang, phrase, a, s, unnest(range(1, k)) AS j FROM c
+), b AS (
+  SELECT u.lang, u.phrase, a, j, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM u JOIN t ON t.lang = u.lang JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(s[1:j], ' ')
+  JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(s[j + 1:], ' ')
+), m AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS pick FROM b
+), o AS (
+  SELECT DISTINCT h.lang, inner_phrase FROM (
+    SELECT c.lang, c.a, array_to_string(s[q + 1:q + z], ' ') AS inner_phrase FROM c, range(0, 4) r1(q), range(2, 5) r2(z) WHERE q + z <= k AND z < k
+  ) h JOIN c i ON i.lang = h.lang AND i.phrase = inner_phrase WHERE 100 * h.a >= 100 * i.a
+)
+SELECT m.lang, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM m LEFT JOIN o ON o.lang = m.lang AND o.inner_phrase = phrase WHERE pick = 1 AND o.lang IS NULL
+QUALIFY rank <= 2000
+"""
+
+
 @query
 def op12_fill_in_middle(spark, folder):
     made = infill.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
