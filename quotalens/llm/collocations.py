@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotalens.llm.common import Shared, by_value, materialize
-from quotalens.llm.substrings import Hashes, mix, pack, unpack
+from quotalens.llm.substrings import Hashes, mix, pack, unpack, unzip, zipped
 
 by_value(__name__)
 
@@ -287,12 +287,17 @@ def _summarize(threshold: int, bits: int):
     return run
 
 
+def _buckets(size: int, lengths: int) -> int:
+    """Hash partitions for the phrases of so many lengths in ``size`` bytes, at about six bytes a word."""
+    return int(min(MOST_BUCKETS, max(8, -(-size * lengths // (6 * BUCKET_MASS)))))
+
+
 def candidate_filter(rows: DataFrame, lengths: tuple[int, ...], size: int, before: np.ndarray | None, threshold: int, bits: int) -> np.ndarray:
     """The filter of all phrases of these lengths that may reach the threshold, and of what ``before`` holds.
 
     ``rows``: language and text, ``size`` bytes of text in all. The filter reaches the driver as at most ``bits`` / 64 rows.
     """
-    buckets = int(min(MOST_BUCKETS, max(8, -(-size * len(lengths) // (6 * BUCKET_MASS)))))
+    buckets = _buckets(size, len(lengths))
     dealt = rows.mapInArrow(_deal(lengths, buckets, None if before is None else Shared(rows, before)), "bucket long, kind int, mass long, counts binary")
     dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     words = dealt.mapInArrow(_summarize(threshold, bits), "place int, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits"))
@@ -308,19 +313,27 @@ def candidate_filter(rows: DataFrame, lengths: tuple[int, ...], size: int, befor
 _HELD = 1 << 19
 
 
-def _count(shared: Shared):
-    """Rows of (lang, words, phrase, n); the row of zero words has the language's number of words."""
+def _count(buckets: int, shared: Shared):
+    """Rows of (bucket, lang, counts, phrases): what the task counted, dealt by a hash. An empty phrase stands for all words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[tuple[int, int], list] = {}
         totals: dict[str, int] = {}
 
         def flush():
-            rows = [*table.values(), *([lang, 0, b"", n] for lang, n in totals.items())]
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-            out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["lang", "words", "phrase", "n"])
+            dealt: dict[tuple[int, str], tuple[list, list]] = {}
+            for (one, _), (lang, phrase, n) in table.items():
+                counts, phrases = dealt.setdefault(((one >> 40) * buckets >> 24, lang), ([], []))
+                counts.append(n)
+                phrases.append(phrase)
+            for lang, n in totals.items():
+                counts, phrases = dealt.setdefault((0, lang), ([], []))
+                counts.append(n)
+                phrases.append(b"")
+            rows = [(bucket, lang, pack(_planes(np.array(counts, "<u8"))), zipped(b"\n".join(phrases))) for (bucket, lang), (counts, phrases) in dealt.items()]
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
             table.clear()
             totals.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["bucket", "lang", "counts", "phrases"])
 
         for words in split(_pairs(batches)):
             if not len(words.start):
@@ -332,7 +345,7 @@ def _count(shared: Shared):
                 first, one = _allowed(words, own, n, shared.value)
                 good = passes(one, shared.value)
                 first, one = first[good], one[good]
-                two = phrase_hashes(words, again, n, 1)[1][good] if n <= 2 else _second(words, again, n, first)
+                two = _second(words, again, n, first)
                 order = np.lexsort((two, one))
                 edge = np.flatnonzero(np.concatenate([[True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)])[:len(order)])
                 often = np.diff(np.append(edge, len(order)))
@@ -340,9 +353,9 @@ def _count(shared: Shared):
                     row = table.get((a, b))
                     if row is None:
                         phrase = b" ".join(words.data[x:y] for x, y in zip(words.start[k:k + n].tolist(), words.stop[k:k + n].tolist()))
-                        table[a, b] = [words.langs[words.lang[k]], n, phrase, times]
+                        table[a, b] = [words.langs[words.lang[k]], phrase, times]
                     else:
-                        row[3] += times
+                        row[2] += times
             if len(table) >= _HELD:
                 yield flush()
         if table or totals:
@@ -351,6 +364,33 @@ def _count(shared: Shared):
     return run
 
 
+def _sum(threshold: int):
+    """Rows of (lang, words, phrase, n) that reach the threshold, or hold all words of a language (zero words). Rows come by bucket and language."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, table = None, {}
+
+        def done():
+            rows = [(group[1], phrase.count(b" ") + 1 if phrase else 0, phrase, n) for phrase, n in table.items() if n >= threshold or not phrase]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            columns = zip(*rows) if rows else ((),) * 4
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["lang", "words", "phrase", "n"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bucket, lang, counts, phrases = (batch.column(k)[row].as_py() for k in range(4))
+                if group != (bucket, lang):
+                    if table:
+                        yield done()
+                    group, table = (bucket, lang), {}
+                (planes,) = unpack(counts, "u1")
+                for phrase, n in zip(unzip(phrases).split(b"\n"), _numbers(planes, "<u8").tolist()):
+                    table[phrase] = table.get(phrase, 0) + n
+        if table:
+            yield done()
+
+    return run
+
+
 def _second(words: Words, hashes: np.ndarray, n: int, first: np.ndarray) -> np.ndarray:
     start, two = phrase_hashes(words, hashes, n, 1)
     return two[np.searchsorted(start, first)]
@@ -362,8 +402,14 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", thresho
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     held = candidate_filter(rows, (1, 2), size, None, threshold, bits)
     held = candidate_filter(rows, tuple(range(3, LONGEST + 1)), size, held, threshold, bits)
-    counted = rows.mapInArrow(_count(Shared(rows, held)), "lang string, words int, phrase string, n long")
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= threshold) | (F.col("words") == 0))
+    buckets = _buckets(size, LONGEST)
+    dealt = rows.mapInArrow(_count(buckets, Shared(rows, held)), "bucket long, lang string, counts binary, phrases binary")
+    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang")
+    return dealt.mapInArrow(_sum(threshold), "lang string, words int, phrase string, n long")
+
+
+#: Parts of a language that are ranked before they are ranked together.
+_PARTS = 16
 
 
 # --- Scores ---------------------------------------------------------------------------------------------------------
@@ -397,6 +443,9 @@ def collocations(
         "lang", F.array_join(F.slice(parts, F.col("at"), F.col("size")), " ").alias("phrase"), "a")
     around = longer.groupBy("lang", "phrase").agg(F.max("a").alias("around"))
     kept = weakest.join(around, ["lang", "phrase"], "left").filter(~(F.coalesce("around", F.lit(0)) * 100 >= F.col("a") * absorbed))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= reported).select(
+    # The best of each part of a language first, so that the last ranking gets few rows however large the language is.
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    kept = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(_PARTS)))
+    best = kept.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("place") <= reported)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= reported).select(
         "lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")
