@@ -40,8 +40,8 @@ PIECE = re.compile(r"[A-Za-z0-9+]{20,}")
 WINDOW = 20
 DIGESTS = (32, 40, 56, 64, 96, 128)
 IDENTIFIER = re.compile(
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
-    r"|([A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)([-_/+=]+([A-Za-z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/+=]*"  # words and numbers with joints
+    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
+    r"|(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]++)(?:[-_/+=]++(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]++))*+[-_/+=]*+"  # words and numbers with joints
     r"|[A-Z]?[a-z]{2,}([A-Z][a-z]{2,})*[0-9]{0,4}"  # camel case
     r"|[-_/+=]+"
 )

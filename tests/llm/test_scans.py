@@ -114,3 +114,20 @@ def test_redaction(spark):
     out = {r.doc_id: r.text for r in secrets.redact(documents(spark, SECRETS + [(1, None), (2, "plain")]), RANKS).collect()}
     assert out[20] == 'token = "[secret]" and' and out[1] is None and out[2] == "plain"
     assert out[21].startswith("PassWord:[secret]")
+
+
+def test_long_joined_runs_end_soon():
+    import time
+
+    from quotalens.llm.secrets import IDENTIFIER, find_spans
+
+    encoding = secrets._Shared(secrets.load_ranks(RANKS)).encoding()
+    start = time.perf_counter()
+    for run in ("abc/" * 10_000 + "aB1x", "word-" * 10_000 + "!", "Abc" * 10_000 + "1x", "-" * 40_000 + "a1B", "a1" * 20_000):
+        find_spans(f"see {run} here", encoding)
+    assert time.perf_counter() - start < 5
+    start = time.perf_counter()
+    assert not IDENTIFIER.fullmatch("abc/" * 10_000 + "aB1x") and IDENTIFIER.fullmatch("abc/" * 10_000 + "abc")
+    assert time.perf_counter() - start < 0.1
+    assert all(IDENTIFIER.fullmatch(x) for x in ("some-words_and-12", "Word", "WORD_x", "x", "camelCaseWord", "a=-", "12", "--"))
+    assert not any(IDENTIFIER.fullmatch(x) for x in ("aB1x", "ABCd", "x1y", "-x"))
