@@ -77,7 +77,7 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[str, str]]]:
     blocks: list[tuple[str, str]] = []
     text: list[str] = []
     page = page or ""
-    at = 0
+    at, last = 0, page.rfind(">")
 
     def close_block():
         if text:
@@ -87,9 +87,10 @@ def parse(page: str | None) -> tuple[list[str], list[tuple[str, str]]]:
             text.clear()
 
     while at < len(page):
-        m = TAG.search(page, at)
-        if not m:
-            text.append(page[at:])
+        m = TAG.search(page, at) if at <= last else None
+        if not m:  # behind the last ">" only a comment can begin
+            rest = page.find("<!--", at)
+            text.append(page[at:rest] if rest >= 0 else page[at:])
             break
         if m.start() > at:
             text.append(page[at:m.start()])

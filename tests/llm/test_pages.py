@@ -61,3 +61,12 @@ def test_host_does_not_change_the_text(spark):
     one = texts(spark, [(k, "http://same.example", page(k, a)) for k, a in articles.items()])
     many = texts(spark, [(k, f"http://h{k}.example", page(k, a)) for k, a in articles.items()])
     assert one == many == {k: f"H {k}\nw{k} text" for k in articles}
+
+
+def test_unclosed_tags_end_soon():
+    import time
+
+    start = time.perf_counter()
+    assert pages.parse("<p>x</p>" + "<a " * 400_000)[1][0][1] == "x"
+    assert time.perf_counter() - start < 2
+    assert pages.parse("a<p>b<!-- c")[1] == [("", "a"), (">p", "b")]
