@@ -178,38 +178,46 @@ def band_keys(chosen: np.ndarray) -> np.ndarray:
     return mix(x + np.arange(BANDS, dtype=np.uint64) * np.uint64(_BASE)).astype(np.int64)
 
 
-#: Shingles of the documents that a task counts together.
+#: Shingles of documents that a task counts before it merges them into its table.
 _CHUNK = 1 << 22
 
 
 def shingle_rarity(df: DataFrame, text: str = "text") -> Rarity:
     """Frequencies over all rows, however they are partitioned. At most 2 / SHARE times the shingles of an average document reach the driver.
 
-    A task counts its documents in chunks. A chunk leaves out ``slack`` sightings of each shingle, half of what SHARE of its
-    documents are, rounded down: none in a chunk of few documents. Chunks together leave out no more than ``left_out``, so
-    what is below ``least`` by more than that is no candidate, and nothing else is lost. Candidates are then counted exactly.
+    A task counts its documents in one running table. After every chunk all counts fall to make up for ``slack`` sightings,
+    half of what SHARE of the documents read so far are, and what is at zero is dropped. So no count of a task is lower by
+    more than its slack, all tasks together leave out no more than ``left_out``, and what is below ``least`` by more than
+    that is no candidate. Candidates are then counted exactly.
     """
     rows = df.count()
     least, left_out = max(2.0, rows * SHARE), int(rows * SHARE / 2)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, size = _Powers(), [], 0
-
-        def flush():
-            s, n = np.unique(np.concatenate(held), return_counts=True)
-            n -= int(len(held) * SHARE / 2)
-            return pa.RecordBatch.from_arrays([pa.array(s[n > 0].view(np.int64)), pa.array(n[n > 0])], names=["shingle", "n"])
+        powers, waiting, size, read, slack = _Powers(), [], 0, 0, 0
+        names, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def absorb():
+            nonlocal names, counts, waiting, size, slack
+            names, place = np.unique(np.concatenate([names, *waiting]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, np.ones(size)]), len(names)).astype(np.int64)
+            counts -= int(read * SHARE / 2) - slack
+            slack = int(read * SHARE / 2)
+            names, counts = names[counts > 0], counts[counts > 0]
+            waiting, size = [], 0
 
         for batch in batches:
             for piece in slices(batch, 8 << 20):
                 for t in piece.column(0).to_pylist():
-                    held.append(counted_shingles(word_hashes(t, powers))[0])
-                    size += len(held[-1])
-                    if size >= _CHUNK:
-                        yield flush()
-                        held, size = [], 0
-        if held:
-            yield flush()
+                    waiting.append(counted_shingles(word_hashes(t, powers))[0])
+                    size += len(waiting[-1])
+                    read += 1
+                    if size >= max(_CHUNK, len(names)):
+                        absorb()
+        absorb()
+        for at in range(0, len(names), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(names[part].view(np.int64)), pa.array(counts[part])], names=["shingle", "n"])
 
     found = df.select(text).mapInArrow(candidates, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     few = np.sort(found.filter(F.col("n") >= least - left_out).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))

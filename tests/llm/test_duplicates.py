@@ -287,3 +287,17 @@ def test_fingerprint_distance(spark):
     assert a == b and int(a, 16) == plain([1, 2, 3, -5]) and int(c, 16) == plain([7, 8, 1 << 62])
     pair = spark.createDataFrame([(a, c)], "a string, c string").select(decontaminate.distance(F.col("a"), F.col("c")).alias("d")).first()
     assert pair.d == bin(int(a, 16) ^ int(c, 16)).count("1")
+
+
+def test_a_task_counts_shingles_in_one_running_table(spark, monkeypatch):
+    """Chunks of a task lose no frequent shingle, and what a task hands on doesn't depend on where the last chunk begins."""
+    common = words(1, 12)
+    docs = documents(spark, [(k, f"{common} {words(1000 + k, 12)}" if k % 3 == 0 else words(2000 + k, 20)) for k in range(600)])
+    monkeypatch.setattr(neardup, "SHARE", 0.02)
+    found = []
+    for chunk in (1, 50, 3000, 1 << 22):
+        monkeypatch.setattr(neardup, "_CHUNK", chunk)
+        for parts in (1, 4, 40):
+            rarity = neardup.shingle_rarity(docs.repartition(parts))
+            found.append((rarity.shingles.tolist(), rarity.idf.tolist()))
+    assert all(f == found[0] for f in found) and len(found[0][0]) == 8
