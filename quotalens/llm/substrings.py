@@ -389,8 +389,10 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     shared = grams.groupBy("bucket").applyInPandas(_shared_grams, "doc_id long, key int, places binary")
     shared = shared.groupBy("doc_id", "key").agg(F.collect_list("places").alias("places"))  # at most the document's anchors
 
-    # Both joins below exchange the same rows, so that Spark deals them once; rows without id join nothing.
+    # Both joins below exchange the same rows, so that Spark deals them once. The inner one asks for keys that aren't null; the filter makes
+    # the other one ask for the same.
     packed = append_columns(docs.filter(F.col("doc_id").isNotNull()), "text", [field("packed", "binary")], _zip, ["doc_id", "key"])
+    packed = packed.filter(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     met = packed.join(shared, ["doc_id", "key"]).select("doc_id", "key", "packed", "places")
     dealt = met.mapInArrow(_deal_surroundings(buckets), "bucket long, blob binary, doc_id long, key int, ranges array<int>")
     # A settled row keeps its place: it goes through the same exchange under a number of its own.
