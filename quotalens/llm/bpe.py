@@ -41,7 +41,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 FAST_WORDS = r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
 #: Characters looked at in one go, words remembered, and the longest word (in characters) that is remembered.
-CHUNK, REMEMBERED, SHORT = 1 << 16, 1 << 19, 48
+CHUNK, REMEMBERED, SHORT = 1 << 16, 1 << 17, 48
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -237,8 +237,13 @@ class Decoder:
         return "".join(out)
 
 
-def transcode(df: DataFrame, vocabulary_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``n_tokens``, ``ids`` (packed) and ``decoded`` (the text that the ids stand for) to every row."""
+def transcode(
+    df: DataFrame, vocabulary_path: str, text: str = "text", keep: list[str] | None = None, decoded: bool = True,
+) -> DataFrame:
+    """Add ``n_tokens``, ``ids`` (packed) and ``decoded`` (the text that the ids stand for) to every row.
+
+    ``decoded=False`` compares that text with the given one in place of it, and adds ``round_trip``.
+    """
     shared = Shared(df, load_vocabulary(vocabulary_path))
 
     def start():
@@ -249,9 +254,12 @@ def transcode(df: DataFrame, vocabulary_path: str, text: str = "text", keep: lis
 
         def work(texts):
             ids = [encoder.encode(t) for t in texts]
-            return [[len(x) // 4 for x in ids], ids, [decoder.decode(x) for x in ids]]
+            sizes = [len(x) // 4 for x in ids]
+            if decoded:
+                return [sizes, ids, [decoder.decode(x) for x in ids]]
+            return [sizes, ids, [decoder.decode(x) == (t or "") for x, t in zip(ids, texts)]]
 
         return work
 
-    return append_columns(df, text, [field("n_tokens", "long"), field("ids", "binary"), field("decoded", "string")], start, keep)
-
+    last = field("decoded", "string") if decoded else field("round_trip", "boolean")
+    return append_columns(df, text, [field("n_tokens", "long"), field("ids", "binary"), last], start, keep, target=4 << 20)

@@ -50,11 +50,13 @@ def append_columns(
     fields: Sequence[T.StructField],
     start: Callable[[], Callable[[list], list[list]]],
     keep: Sequence[str] | None = None,
+    target: int = 16 << 20,
 ) -> DataFrame:
     """``df`` with columns computed from one string or binary column, batch by batch.
 
     ``start`` runs once per task and returns the function from a list of values to one list per field. Columns of
-    ``df`` that bear the name of a new field are replaced. ``keep`` names the columns that stay (default: all).
+    ``df`` that bear the name of a new field are replaced. ``keep`` names the columns that stay (default: all). A part of a
+    batch has about ``target`` bytes.
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
@@ -69,7 +71,7 @@ def append_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, target):
                 results = work(piece.column(len(kept)).to_pylist())
                 arrays = [pa.array(r, t) for r, t in zip(results, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *arrays], names=names)
