@@ -18,15 +18,14 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotalens.functions.numeric import budget, is_finite
 from quotalens.session import ROWS_PER_TASK, materialize
 
-#: Most score buckets used for one population; bounds the cut points held on the driver.
-MOST_BUCKETS = 4096
+#: Most score buckets of one group, and the size of the sketch that finds them.
+MOST_BUCKETS, SKETCH_SIZE = 4096, 4096
 
 
 def finite_score(score: str = "score") -> Column:
@@ -92,27 +91,37 @@ def ranked(
     return out.withColumn("rank", F.col("rank").cast("bigint")).withColumn("cum_event_n", F.col("cum_event_n").cast("bigint"))
 
 
-def score_cuts(df: DataFrame, rows: int, rows_per_task: int) -> list[float]:
-    """Score cut points that split ``rows`` rows into buckets of about ``rows_per_task`` rows.
+def group_cuts(df: DataFrame, by: Sequence[str], rows_per_task: int) -> DataFrame | None:
+    """(by, cuts): descending score cut points of every group with more than ``rows_per_task`` rows; None if there is none.
 
-    The list has at most ``MOST_BUCKETS`` entries. Cut points steer only the balance of the work, never a result.
+    One mergeable sketch per group, so that groups on different scales get their own buckets of about ``rows_per_task``
+    rows, ``MOST_BUCKETS`` at most. All groups together have no more cut points than rows divided by ``rows_per_task``.
+    Cut points steer only the balance of the work, never a result.
     """
-    buckets = min(MOST_BUCKETS, math.ceil(rows / rows_per_task))
-    if buckets < 2:
-        return []
-    shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.select(F.percentile_approx("score", shares, 10 * MOST_BUCKETS).alias("cuts")).first()["cuts"]
-    return sorted({float(c) for c in cuts or []})
+    sketched = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.kll_sketch_agg_double("score", F.lit(SKETCH_SIZE)).alias("sketch"))
+    large = materialize(sketched.where(F.col("rows") > rows_per_task), "sketches")
+    most = large.agg(F.max("rows")).first()[0]
+    if most is None:
+        return None
+    steps = min(MOST_BUCKETS, math.ceil(most / rows_per_task))
+    grid = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(i / steps) for i in range(1, steps)]))
+    own = F.least(F.lit(steps), F.ceil(F.col("rows") / rows_per_task)).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), F.col("own") - 1), lambda i: F.get("grid", F.round(i * steps / F.col("own")).cast("int") - 1))
+    return materialize(
+        large.select(*by, own.alias("own"), grid.alias("grid")).select(*by, F.sort_array(F.array_distinct(picked), asc=False).alias("cuts")), "cuts")
+
+
+def add_bucket(df: DataFrame, by: Sequence[str], cuts: DataFrame | None) -> DataFrame:
+    """Add ``_bucket``, the number of the group's cut points above the score: 0 holds the highest scores, ties share a bucket."""
+    if cuts is None:
+        return df.withColumn("_bucket", F.lit(0))
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(MOST_BUCKETS.bit_length()))])
 
+    def search(at: Column, step: Column) -> Column:
+        return F.when(F.get("cuts", at + step - 1) > F.col("score"), at + step).otherwise(at)
 
-def add_bucket(df: DataFrame, cuts: Sequence[float]) -> DataFrame:
-    """Add ``_bucket``: 0 holds the highest scores. Equal scores always share a bucket."""
-    if not cuts:
-        return df.withColumn("_bucket", F.lit(0))
-    inner = [c for c in cuts if math.isfinite(c)]
-    splits = [float("-inf"), *inner, float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="score", outputCol="_low").transform(df)
-    return placed.withColumn("_bucket", F.lit(len(splits)) - F.col("_low").cast("int")).drop("_low")
+    placed = df.join(F.broadcast(cuts), list(by), "left").withColumn("_bucket", F.aggregate(halves, F.lit(0), search))
+    return placed.drop("cuts")
 
 
 @dataclass(frozen=True)
@@ -121,7 +130,9 @@ class Worklist:
 
     ``rows`` holds by, pos, score, y, w, one boolean per scenario and the bucket. ``totals`` has one row per group:
     ``full_n``, ``full_e`` and per scenario ``n<i>``, ``e<i>``. ``hist`` has the same counts per bucket, or is
-    None when one window per group is enough.
+    None when one window per group is enough. ``stored``: the rows lie on disk by bucket and ``hist`` also has
+    ``low`` and ``high``, the scores of each bucket, so that a question names the buckets it reads. Where files hold
+    several buckets, ``band`` of them share a directory, ``_band``.
     """
 
     rows: DataFrame
@@ -130,6 +141,19 @@ class Worklist:
     totals: DataFrame
     hist: DataFrame | None
     rows_per_task: int
+    stored: bool = False
+    band: int = 0
+
+    def of_buckets(self, wanted: DataFrame) -> DataFrame:
+        """The rows of some (by, _bucket); of stored rows, only the files of these buckets are read."""
+        keys = wanted.select(*self.by, "_bucket").distinct()
+        rows = self.rows
+        if self.stored:
+            numbers = [r[0] for r in keys.select("_bucket").distinct().collect()]
+            rows = rows.where(F.col("_bucket").isin(numbers))
+            if self.band:
+                rows = rows.where(F.col("_band").isin(sorted({n // self.band for n in numbers})))
+        return rows.join(keys, [*self.by, "_bucket"], "left_semi")
 
     def member(self, name: str) -> Column:
         return F.col(f"in{self.names.index(name)}")
@@ -153,8 +177,22 @@ def worklist(
     Reads only these columns and those the scenarios use. Scores must be finite (:func:`finite_score`).
     """
     by, names = tuple(by), tuple(scenarios)
+    rows = scored_rows(population, scenarios, by, weight)
+    count = rows.count()
+    measures = bucket_measures(len(names))
+    if count <= rows_per_task:
+        rows = add_bucket(rows, by, None)
+        return Worklist(rows, by, names, rows.groupBy(*by).agg(*measures), None, rows_per_task)
+
+    rows = add_bucket(rows, by, group_cuts(rows, by, rows_per_task))
+    hist = materialize(rows.groupBy(*by, "_bucket").agg(*measures), "histogram")
+    return Worklist(rows, by, names, totals_of(hist, by), hist, rows_per_task)
+
+
+def scored_rows(population: DataFrame, scenarios: Mapping[str, Column], by: Sequence[str], weight: str | None = None) -> DataFrame:
+    """by, pos, score, y, w and one boolean ``in<i>`` per scenario."""
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    rows = population.select(
+    return population.select(
         *by,
         "pos",
         finite_score().alias("score"),
@@ -162,20 +200,20 @@ def worklist(
         w.alias("w"),
         *[member.alias(f"in{i}") for i, member in enumerate(scenarios.values())],
     )
-    count = rows.count()
+
+
+def bucket_measures(scenarios: int) -> list[Column]:
+    """Rows, and records and events of everybody and of each scenario."""
     measures = [F.count(F.lit(1)).alias("rows"), F.sum("w").alias("full_n"), F.sum(F.col("w") * F.col("y")).alias("full_e")]
-    for i in range(len(names)):
+    for i in range(scenarios):
         taken = F.when(F.col(f"in{i}"), F.col("w")).otherwise(F.lit(0))
         measures += [F.sum(taken).alias(f"n{i}"), F.sum(taken * F.col("y")).alias(f"e{i}")]
-    if count <= rows_per_task:
-        rows = add_bucket(rows, [])
-        return Worklist(rows, by, names, rows.groupBy(*by).agg(*measures), None, rows_per_task)
+    return measures
 
-    rows = add_bucket(rows, score_cuts(rows, count, rows_per_task))
-    hist = materialize(rows.groupBy(*by, "_bucket").agg(*measures), "histogram")
-    counts = [c for c in hist.columns if c not in (*by, "_bucket")]
-    totals = hist.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counts])
-    return Worklist(rows, by, names, totals, hist, rows_per_task)
+
+def totals_of(hist: DataFrame, by: Sequence[str]) -> DataFrame:
+    counts = [c for c in hist.columns if c not in (*by, "_bucket", "low", "high")]
+    return hist.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def _bucket_ranges(work: Worklist) -> DataFrame:
@@ -231,7 +269,7 @@ def top_b(work: Worklist, requests: DataFrame, allow_zero: bool = False) -> Data
         sizes = located.select(*by, "_bucket", "_rows").distinct().agg(F.max("_rows"), F.sum("_rows")).first()
         slices = slices_for(sizes[1] or 0, work.rows_per_task) if (sizes[0] or 0) > work.rows_per_task else 0
         located = located.drop("_rows")
-        rows = work.rows.join(located.select(*by, "_bucket").distinct(), [*by, "_bucket"], "left_semi")
+        rows = work.of_buckets(located)
 
     sums = {}
     for i in range(len(work.names)):
@@ -278,9 +316,14 @@ def kth_score(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Cutoff per group and share: the k-th largest score, k = round(share * n) kept within 1..n."""
-    work = worklist(population, {"everybody": F.lit(True)}, by, rows_per_task=rows_per_task)
+    return kth_of(worklist(population, {"everybody": F.lit(True)}, by, rows_per_task=rows_per_task), fractions)
+
+
+def kth_of(work: Worklist, fractions: Sequence[float]) -> DataFrame:
+    """The same of a prepared population, over its first scenario, which must hold everybody."""
+    by = work.by
     requests = work.totals.select(
-        *by, F.col("full_n").alias("calibration_n"), F.lit("everybody").alias("scenario"), each_fraction(fractions)
+        *by, F.col("full_n").alias("calibration_n"), F.lit(work.names[0]).alias("scenario"), each_fraction(fractions)
     ).withColumn("budget_n", F.least(budget(F.col("nominal_fraction"), F.col("calibration_n")), F.col("calibration_n")))
     return top_b(work, requests).select(
         *by, "nominal_fraction", "calibration_n", F.col("budget_n").alias("nominal_selected_n"),

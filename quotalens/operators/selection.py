@@ -58,6 +58,8 @@ def threshold_counts(work: Worklist, thresholds: DataFrame, fractions: Sequence[
     array, so a row is never multiplied by the number of fractions. A large population is joined to thresholds
     that were written down first, so the optimizer knows whether they are small enough to broadcast.
     """
+    if work.stored:
+        return _stored_counts(work, thresholds, fractions)
     by = list(work.by)
     pivoted = thresholds.groupBy(*by).agg(*[
         F.max(F.when(F.col("nominal_fraction") == F.lit(float(q)), F.col("threshold"))).alias(f"t{k}")
@@ -82,6 +84,27 @@ def threshold_counts(work: Worklist, thresholds: DataFrame, fractions: Sequence[
     return wide.select(*by, F.inline(answers))
 
 
+def _stored_counts(work: Worklist, thresholds: DataFrame, fractions: Sequence[float]) -> DataFrame:
+    """The same of stored rows: buckets above a threshold are counted from the histogram, only those it cuts are read."""
+    by, keys = list(work.by), [*work.by, "nominal_fraction", "threshold"]
+    asked = materialize(thresholds.where(F.col("nominal_fraction").isin([float(q) for q in fractions])).select(*keys), "thresholds")
+    spans = materialize(work.hist.join(asked, by).where(F.col("high") >= F.col("threshold")), "spans")
+    edge = spans.where(F.col("low") < F.col("threshold")).select(*keys, "_bucket")
+    numbers = range(len(work.names))
+    names = [f"{m}{i}" for i in numbers for m in ("n", "e")]
+    taken = {i: F.when(F.col(f"in{i}"), F.col("w")).otherwise(F.lit(0)) for i in numbers}
+    read = work.of_buckets(edge).join(edge, [*by, "_bucket"]).where(F.col("score") >= F.col("threshold")).select(
+        *keys, *[(taken[i] * (F.col("y") if m == "e" else 1)).cast("bigint").alias(f"{m}{i}") for i in numbers for m in ("n", "e")])
+    none = asked.select(*keys, *[F.lit(0).cast("bigint").alias(c) for c in names])
+    counted = spans.where(F.col("low") >= F.col("threshold")).select(*keys, *names).unionByName(
+        read.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])).unionByName(none)
+    answers = F.array(*[
+        F.struct(F.lit(name).alias("scenario"), F.col(f"n{i}").alias("selected_n"), F.col(f"e{i}").alias("true_positive_n"))
+        for i, name in enumerate(work.names)])
+    return counted.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names]).select(*keys, F.inline(answers)).select(
+        *by, "scenario", "nominal_fraction", "threshold", "selected_n", "true_positive_n")
+
+
 def _finish(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return access_metrics(rows).select(
         *by, F.col("scenario").alias("availability_scenario"), "protocol", "nominal_fraction", "budget_n", "threshold", *METRICS
@@ -135,7 +158,10 @@ def select_top(df: DataFrame, work: Worklist, requests: DataFrame) -> DataFrame:
     inside = (F.col("score") > F.col("last_score")) | (
         (F.col("score") == F.col("last_score")) & (F.col("pos") <= F.col("last_pos"))
     )
-    return work.rows.join(edge, list(work.by)).where(member & inside).select(*work.by, "scenario", "pos", "score", "y")
+    rows = work.rows
+    if work.stored:  # the buckets from the top down to the boundary
+        rows = work.of_buckets(work.hist.join(edge, list(work.by)).where(F.col("high") >= F.col("last_score")))
+    return rows.join(edge, list(work.by)).where(member & inside).select(*work.by, "scenario", "pos", "score", "y")
 
 
 def ranked_scan(work: Worklist, name: str = ALL) -> DataFrame:

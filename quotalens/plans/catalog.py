@@ -17,11 +17,11 @@ from quotalens.operators import bootstrap, checks, decompose, diagnostics, featu
 from quotalens.operators.cohorts import (
     by_target, cohort_flow, entry_group, flow_identities, scenarios, split_calibration,
 )
-from quotalens.operators.ranking import Worklist, kth_score, ranked, worklist
+from quotalens.operators.ranking import Worklist, kth_of, kth_score, ranked, worklist
 from quotalens.plans import bindings as b
 from quotalens.plans.audit import target_population
 from quotalens.session import ROWS_PER_TASK, materialize, shared_folder
-from quotalens.sources import sinks, tables
+from quotalens.sources import clustered, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,6 +62,34 @@ def four_cells_bucketed(spark, folder):
     return decompose.four_cells(_cells_work(spark, folder, rows_per_task=5_000))
 
 
+def _clustered(spark, folder, scenarios_wanted):
+    path = _new_path(spark, "clustered")
+    clustered.write_clustered(b.orders_population(spark, folder), scenarios_wanted, path, rows_per_file=5_000)
+    return clustered.open_clustered(spark, path)
+
+
+@query
+def four_cells_clustered(spark, folder):
+    """Same result from a population stored in ranking order: only the slices in which a budget runs out are read."""
+    return decompose.four_cells(_clustered(spark, folder, {name: m for name, m in scenarios().items() if name in (EARLY, ALL)}))
+
+
+@query
+def protocols_clustered(spark, folder):
+    """All protocols from the stored population; thresholds too are answered from the histogram and the slices they cut."""
+    work = _clustered(spark, folder, {ALL: scenarios()[ALL], **scenarios()})
+    return selection.protocol_rows(work, kth_of(work, FRACTIONS))
+
+
+@query
+def selected_rows_clustered(spark, folder):
+    """The early cohort's top tenth from the stored population: slices below the boundary stay unread."""
+    work = _clustered(spark, folder, scenarios())
+    asked = selection.budget_requests(work, (0.1,)).where(
+        (F.col("protocol") == TOP_FRACTION) & (F.col("scenario") == EARLY)).select("target", "scenario", "budget_n")
+    return selection.select_top(work.rows, work, asked)
+
+
 @query
 def decomposition(spark, folder):
     return decompose.decomposition(decompose.four_cells(_cells_work(spark, folder)))
@@ -248,6 +276,30 @@ def workload_difference(spark, folder):
     return selection.workload_difference(selection.transport(_evaluation(spark, folder), kth_scores(spark, folder)))
 
 
+def _period_store(spark, folder) -> str:
+    """Events of both periods, added to a store one after the other."""
+    path = _new_path(spark, "periods")
+    for period in ("calibration", "evaluation"):
+        clustered.append_period(b.events_population(spark, folder, period == "calibration"), {ALL: F.lit(True), **scenarios()}, path, period)
+    return path
+
+
+@query
+def period_cutoffs(spark, folder):
+    """Cutoffs of the first period and of both, from stored histograms and the rows of the bins they fall into."""
+    path = _period_store(spark, folder)
+    both = kth_of(clustered.open_periods(spark, path), FRACTIONS).withColumn("periods", F.lit("both"))
+    return both.unionByName(kth_of(clustered.open_periods(spark, path, ["calibration"]), FRACTIONS).withColumn("periods", F.lit("calibration")))
+
+
+@query
+def period_transport(spark, folder):
+    """A threshold of the stored first period on the stored second one."""
+    path = _period_store(spark, folder)
+    cuts = kth_of(clustered.open_periods(spark, path, ["calibration"]), FRACTIONS).withColumn("threshold", F.col("threshold") / 7)
+    return selection.transport(clustered.open_periods(spark, path, ["evaluation"]), cuts)
+
+
 @query
 def threshold_binding(spark, folder):
     """Cutoffs that were rounded on the way do not match the model's own."""
@@ -612,6 +664,15 @@ def grid_audit(spark, folder):
     return _grid_effects(spark, folder)
 
 
+@query
+def grid_audit_scaled(spark, folder):
+    """The same effects with the scores of each replicate and quality on a scale of their own, through buckets of each group."""
+    rows = b.grid_population(spark, folder, False).withColumn(
+        "score", F.col("score") * F.pow(F.lit(4.0), F.col("replicate") * 3 + F.when(F.col("model_quality") == "weak", 16).otherwise(0)))
+    work = grid.grid_worklist(rows, b.grid_sets(), b.GRID_BY, rows_per_task=500)
+    return grid.grid_effects(_grid_cells(spark, folder, work), GRID_KEYS)
+
+
 @query
 def grid_invariants(spark, folder):
     rows = materialize(_grid_protocols(spark, folder), "grid_protocols")

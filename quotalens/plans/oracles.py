@@ -111,7 +111,7 @@ decomposition AS (
 ALL_CELLS = _pop() + RANKED + CELLS + DECOMP
 
 ORACLES["four_cells"] = ALL_CELLS + " SELECT * FROM four_cells"
-ORACLES["four_cells_bucketed"] = ORACLES["four_cells"]
+ORACLES["four_cells_bucketed"] = ORACLES["four_cells_clustered"] = ORACLES["four_cells"]
 ORACLES["decomposition"] = ALL_CELLS + " SELECT * FROM decomposition"
 ORACLES["capacity_share"] = ALL_CELLS + f""" SELECT target, nominal_fraction, shapley_capacity, total_topq_contrast,
   {_ratio('shapley_capacity', 'total_topq_contrast')} AS capacity_share FROM decomposition"""
@@ -201,7 +201,7 @@ protocols AS (
   FROM picked p JOIN size s ON s.target = p.target AND s.scenario = availability_scenario JOIN whole w ON w.target = p.target)"""
 ALL_PROTOCOLS = _pop() + RANKED + PROTOCOLS
 
-ORACLES["protocols"] = ALL_PROTOCOLS + " SELECT * FROM protocols"
+ORACLES["protocols"] = ORACLES["protocols_clustered"] = ALL_PROTOCOLS + " SELECT * FROM protocols"
 for _name, _label in (("protocol_a", "cohort_specific_top_fraction"), ("protocol_b", "fixed_absolute_budget"), ("protocol_c", "fixed_calibration_threshold")):
     ORACLES[_name] = f"{ALL_PROTOCOLS} SELECT * FROM protocols WHERE protocol = '{_label}'"
 
@@ -265,6 +265,7 @@ ORACLES["capture_curve"] = f"""{_pop()} {RANKED} SELECT target, pos, score, y, r
 FROM rk WHERE scenario = 'any_prenatal_care'"""
 ORACLES["selected_rows"] = f"""{_pop()} {RANKED} SELECT rk.target, rk.scenario, pos, score, y FROM rk JOIN size USING (target, scenario)
 WHERE scenario = 'early_entry' AND r <= {_budget('0.1::DOUBLE', 'n')}"""
+ORACLES["selected_rows_clustered"] = ORACLES["selected_rows"]
 ORACLES["threshold_rows"] = f"WITH {EVENTS} SELECT pos, score, y FROM ev WHERE NOT calibration AND score >= 100 AND entry BETWEEN 1 AND 3"
 
 # --- Thresholds -------------------------------------------------------------------------------------------------
@@ -294,6 +295,10 @@ transport AS (
 
 
 ORACLES["threshold_transport"] = _transport("t / 7", ("exact", "rounded_6dp")) + " SELECT * FROM transport"
+ORACLES["period_transport"] = ORACLES["threshold_transport"]
+ORACLES["period_cutoffs"] = " UNION ALL ".join(
+    f"(WITH {EVENTS}, {CAL.replace('WHERE calibration', rule)} SELECT target, q AS nominal_fraction, n AS calibration_n, k AS nominal_selected_n, "
+    f"t AS threshold, '{label}' AS periods FROM cuts)" for label, rule in (("both", ""), ("calibration", "WHERE calibration")))
 ORACLES["workload_difference"] = _transport("t", ("exact",)) + f""" SELECT * EXCLUDE (threshold_precision), {_ratio('E_all', 'N_all')} AS prevalence,
   {_budget('nominal_fraction', 'N_all')} AS nominal_selected_n, selected_n - {_budget('nominal_fraction', 'N_all')} AS workload_difference_n FROM transport"""
 ORACLES["threshold_binding"] = _pop("fine_score") + RANKED + PROTOCOLS + """ SELECT target, q AS nominal_fraction, round(t, -1) AS supplied, t AS expected
@@ -621,7 +626,7 @@ geffects AS (
 ORACLES["grid_thresholds"] = GRID + " SELECT replicate, model_quality, q AS nominal_fraction, t AS threshold, k AS calibration_target_selected_n FROM gcut"
 ORACLES["grid_availability"] = GRID + f""" SELECT replicate, model_quality, {_L}, n AS realized_available_n, n::DOUBLE / n_all AS realized_available_fraction,
   e_all AS full_population_event_n, e AS available_event_n, e::DOUBLE / e_all AS event_availability_ceiling FROM gsize JOIN gwhole USING (replicate, model_quality)"""
-ORACLES["grid_audit"] = GRID + " SELECT * FROM geffects"
+ORACLES["grid_audit"] = ORACLES["grid_audit_scaled"] = GRID + " SELECT * FROM geffects"
 
 
 def _grid_row(protocol: str, scenario: str, threshold: str, n: str, e: str, selected: str, tp: str) -> str:
