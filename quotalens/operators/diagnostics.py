@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quotalens.functions.numeric import ratio
 from quotalens.operators.ranking import finite_score, running_totals, slices_for, worklist
 from quotalens.operators.selection import threshold_counts
-from quotalens.session import ROWS_PER_TASK
+from quotalens.session import ROWS_PER_TASK, materialize
 
 
 def model_diagnostics(
@@ -28,8 +28,11 @@ def model_diagnostics(
     steps = scored.groupBy(*by, "score").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("e"), F.sum(error).alias("sq"),
     )
-    curve = running_totals(
-        steps, by, [F.col("score").desc()], {"cum_n": F.col("n"), "cum_e": F.col("e")}, slices_for(scored.count(), rows_per_task))
+    slices = 0
+    if scored.count() > rows_per_task:  # what is sliced are the steps, of which tied scores leave few
+        steps = materialize(steps, "steps")
+        slices = slices_for(steps.count(), rows_per_task)
+    curve = running_totals(steps, by, [F.col("score").desc()], {"cum_n": F.col("n"), "cum_e": F.col("e")}, slices)
     negatives = F.col("n") - F.col("e")
     sums = curve.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum("e").alias("event_n"), F.sum("sq").alias("sq"),

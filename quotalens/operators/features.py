@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -78,23 +78,73 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Share of the ranks on each side of a quantile that its bracket covers, and the accuracy of the sketch that finds it.
+MARGIN, ACCURACY = 0.001, 10_000
+
+
+@dataclass(frozen=True)
+class Bracket:
+    """Where a quantile of a column lies: between ``low`` and ``high``, with ``below`` of ``known_n`` values under ``low``."""
+
+    known_n: int
+    low: float
+    high: float
+    below: int
+
+
+def _known(column: str) -> Column:
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+
+
+def quantile_brackets(df: DataFrame, columns: Sequence[str], p: float) -> dict[str, Bracket]:
+    """A bracket per column that has known values, in two scans without a shuffle of rows.
+
+    A sketch proposes the bracket and a count confirms it. A column whose proposal misses the quantile gets a bracket of
+    everything, so the result never depends on the sketch.
+    """
+    shares = [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
+    guess = df.agg(*[F.percentile_approx(_known(c), shares, ACCURACY).alias(c) for c in columns]).first()
+    guess = {c: guess[c] for c in columns if guess[c]}
+    if not guess:
+        return {}
+    counts = df.agg(*[m for c, (low, high) in guess.items() for m in (
+        F.count(_known(c)).alias(f"n_{c}"), F.count_if(_known(c) < low).alias(f"b_{c}"), F.count_if(_known(c) <= high).alias(f"u_{c}"))]).first()
+    out = {}
+    for c, (low, high) in guess.items():
+        n, below, upto = (counts[f"{k}_{c}"] for k in "nbu")
+        place = (n - 1) * p
+        sound = below <= math.floor(place) and upto > math.ceil(place)
+        out[c] = Bracket(n, low, high, below) if sound else Bracket(n, -math.inf, math.inf, 0)
+    return out
+
+
+def bracketed_values(df: DataFrame, brackets: Mapping[str, Bracket]) -> DataFrame:
+    """Distinct values inside the brackets with their number: ``feature``, ``value``, ``n``. Other values are not shuffled."""
+    inside = df.select(*[F.when(_known(c).between(b.low, b.high), _known(c)).alias(c) for c, b in brackets.items()])
+    return inside.unpivot([], list(brackets), "feature", "value").where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def exact_quantile(df: DataFrame, columns: Sequence[str], p: float = 0.5, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Exact quantile of each column with linear interpolation: ``feature``, ``known_n``, ``quantile``.
 
-    Works on distinct values with running counts, so no task collects the values of a column.
+    Only the values near the quantile are ordered (:func:`quantile_brackets`); a column without known values gives no row.
     """
-    counts = materialize(value_counts(df, columns), "values")
+    brackets = quantile_brackets(df, columns, p)
+    sizes = df.sparkSession.createDataFrame(
+        [(c, b.known_n, b.below) for c, b in brackets.items()], "feature string, known_n bigint, below bigint")
+    if not brackets:
+        return sizes.select("feature", "known_n", F.lit(None).cast("double").alias("quantile"))
+    counts = materialize(bracketed_values(df, brackets), "values")
     slices = slices_for(counts.count(), rows_per_task)
     upto = running_totals(counts, ["feature"], [F.col("value").asc()], {"upto": F.col("n")}, slices)
-    sizes = counts.groupBy("feature").agg(F.sum("n").alias("known_n"))
+    upto = upto.join(F.broadcast(sizes), "feature").withColumn("upto", F.col("upto") + F.col("below"))
     place = (F.col("known_n") - 1) * F.lit(float(p))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto")), F.col("value")))
 
-    found = upto.join(F.broadcast(sizes), "feature").groupBy("feature").agg(
-        F.first("known_n").alias("known_n"), at(F.floor(place)).alias("lo"), at(F.ceil(place)).alias("hi")
-    )
+    found = upto.groupBy("feature").agg(F.first("known_n").alias("known_n"), at(F.floor(place)).alias("lo"), at(F.ceil(place)).alias("hi"))
     share = place - F.floor(place)
     return found.select("feature", "known_n", (F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("quantile"))
 

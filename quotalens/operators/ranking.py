@@ -27,6 +27,9 @@ from quotalens.session import ROWS_PER_TASK, materialize
 #: Most score buckets of one group, and the size of the sketch that finds them.
 MOST_BUCKETS, SKETCH_SIZE = 4096, 4096
 
+#: Most slices of one ranking.
+MOST_SLICES = 20_000
+
 
 def finite_score(score: str = "score") -> Column:
     """The score as a double, negative zero as zero. A missing, NaN or infinite score fails the query in every plan."""
@@ -36,8 +39,11 @@ def finite_score(score: str = "score") -> Column:
 
 
 def slices_for(rows: int, rows_per_task: int) -> int:
-    """Slices that hold ``rows_per_task`` rows on average; 0 where one task is enough."""
-    return math.ceil(rows / rows_per_task) if rows > rows_per_task else 0
+    """Slices that hold ``rows_per_task`` rows on average, ``MOST_SLICES`` at most; 0 where one task is enough.
+
+    Beyond the bound slices grow: their sorts spill, while a sample for ever more borders would not fit the driver.
+    """
+    return min(MOST_SLICES, math.ceil(rows / rows_per_task)) if rows > rows_per_task else 0
 
 
 def rank_order() -> list[Column]:

@@ -25,7 +25,7 @@ from quotalens.session import ROWS_PER_TASK, materialize
 from quotalens.sources.sinks import exists, write_run_record
 
 #: Bins of a factor of two in the score (the width of a bin is at most 1 / BINS of its scores), and bins that share a directory.
-BINS, BAND = 256, 16
+BINS, BAND = 256, 64
 
 
 def _measures(scenarios: int) -> list[Column]:
