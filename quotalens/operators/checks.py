@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotalens.functions.numeric import budget, clamped_budget, is_finite
@@ -68,6 +68,24 @@ def position_check(df: DataFrame, by: Sequence[str] = ("target",)) -> DataFrame:
     return df.groupBy(*by, "pos").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
+def guards(
+    df: DataFrame, binary: Sequence[str] = (), allow_missing: bool = True, entry: str | None = None, score: str | None = None,
+) -> dict[str, Column]:
+    """Counts of violations by the rules of the checks above, as aggregates that a write can observe. Zero means sound."""
+    out = {}
+    for c in binary:
+        v = F.col(c).try_cast("double") if dict(df.dtypes)[c] == "string" else F.col(c).cast("double")
+        bad = F.coalesce(~v.isin(0.0, 1.0), F.lit(not allow_missing))
+        out[f"{c} is not binary"] = F.count_if(bad)
+    if entry is not None:
+        _, outside, fractional = _entry_faults(entry)
+        out[f"{entry} is outside 0..10"] = F.count_if(outside)
+        out[f"{entry} is fractional"] = F.count_if(fractional)
+    if score is not None:
+        out[f"{score} is not finite"] = F.count_if(~F.coalesce(is_finite(F.col(score)), F.lit(False)))
+    return out
+
+
 def _report(df: DataFrame, keys: Sequence[str], checks: dict) -> DataFrame:
     """Checks as rows (keys, check, holds)."""
     rows = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("holds")) for n, c in checks.items()])

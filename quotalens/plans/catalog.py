@@ -21,7 +21,7 @@ from quotalens.operators.ranking import Worklist, kth_of, kth_score, ranked, wor
 from quotalens.plans import bindings as b
 from quotalens.plans.audit import target_population
 from quotalens.session import ROWS_PER_TASK, materialize, shared_folder
-from quotalens.sources import clustered, sinks, tables
+from quotalens.sources import clustered, commits, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -451,6 +451,26 @@ def published_table(spark, folder):
     return spark.read.parquet(path)
 
 
+@query
+def guarded_table(spark, folder):
+    """The scored population, published under guards that are counted while it is written."""
+    rows = b.orders_population(spark, folder)
+    path = _new_path(spark, "guarded")
+    sinks.publish(rows, path, guards=checks.guards(rows, ["y"], False, "entry", "score"))
+    return spark.read.parquet(path).groupBy("target").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("y").alias("event_n"), F.count("entry").alias("known_entry_n"), F.sum("score").alias("score_sum"))
+
+
+@query
+def committed_tables(spark, folder):
+    """Decomposition and headline of one run, committed together twice and read from the last version."""
+    root, effects = _new_path(spark, "committed"), materialize(decomposition(spark, folder), "decomposition")
+    commits.commit_tables({"decomposition": effects.limit(0), "headline": decompose.headline(effects).limit(0)}, root)
+    commits.commit_tables({"decomposition": effects, "headline": decompose.headline(effects)}, root)
+    left = commits.read_table(spark, root, "decomposition").select("target", "nominal_fraction", "shapley_capacity", "total_topq_contrast")
+    return left.join(commits.read_table(spark, root, "headline"), ["target", "nominal_fraction"])
+
+
 @query
 def score_export(spark, folder):
     path = _new_path(spark, "scores")
@@ -477,7 +497,7 @@ def file_lock(spark, folder):
     path = _new_path(spark, "locked")
     orders = b.table(spark, folder, "orders")
     orders.select("o_orderstatus", F.concat_ws("|", "o_orderkey", "o_orderpriority").alias("value")).write.partitionBy("o_orderstatus").text(path)
-    seen = materialize(tables.file_fingerprints(spark, path), "lock")
+    seen = materialize(tables.file_fingerprints(spark, path, ordered=True), "lock")
     first = F.col("name") == seen.agg(F.min("name")).first()[0]
     locks = {
         "match": seen, "changed": seen.withColumn("rows", F.when(first, F.col("rows") + 1).otherwise(F.col("rows"))),

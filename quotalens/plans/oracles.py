@@ -451,6 +451,9 @@ ORACLES["csv_round_trip"] = "SELECT o_totalprice, o_orderkey, o_orderpriority FR
 ORACLES["threshold_source"] = f"""WITH {EVENTS}, {CAL} SELECT target, q AS nominal_fraction, t AS threshold, 2022 AS source_year, '>=' AS comparator FROM cuts"""
 ORACLES["published_table"] = "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer"
 ORACLES["score_export"] = f"{_pop()} SELECT target, count(*) AS rows, sum(y)::BIGINT AS event_n, count(entry) AS known_entry_n, sum(score) AS score_sum FROM pop GROUP BY target"
+ORACLES["guarded_table"] = ORACLES["score_export"]
+ORACLES["committed_tables"] = f"""{ALL_CELLS}, h AS ({HEADLINE})
+SELECT h.*, d.shapley_capacity, d.total_topq_contrast FROM h JOIN decomposition d ON d.target = h.target AND d.nominal_fraction = h.nominal_fraction"""
 ORACLES["run_record"] = ORACLES["table_fingerprint"].replace("SELECT count(*)", "SELECT 'PASS' AS status, count(*)", 1)
 ORACLES["file_lock"] = """SELECT input, violation_n::BIGINT AS violation_n, (SELECT count(*) FROM orders) AS line_n
 FROM (VALUES ('match', 0), ('changed', 1), ('missing', 1), ('additional', 1)) AS cases(input, violation_n)"""

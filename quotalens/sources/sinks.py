@@ -6,21 +6,21 @@ import json
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quotalens.functions.fields import DERIVED, FIELDS
-from quotalens.sources.tables import fingerprint
+from quotalens.sources.tables import fingerprint_measures
 
 
-def _filesystem(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _filesystem(spark, path)
+    fs, target = filesystem(spark, path)
     return fs.exists(target)
 
 
@@ -41,31 +41,37 @@ def export_scores(population: DataFrame, folder: str) -> None:
 
 def publish(
     df: DataFrame, path: str, expected_rows: int | None = None, expected_fingerprint: Mapping[str, object] | None = None,
-    columns: Sequence[str] = (),
+    columns: Sequence[str] = (), guards: Mapping[str, Column] | None = None,
 ) -> dict[str, object]:
-    """All or nothing: stage next to the destination, check what was written, then rename.
+    """All or nothing: stage next to the destination, judge what was counted during the write, then rename.
 
-    An existing destination is refused and stays untouched. A failed check leaves no destination behind.
+    Rows, fingerprint and ``guards`` (aggregates that count violations, see :func:`~quotalens.operators.checks.guards`) are
+    observed while the table is staged, so nothing is scanned twice. An existing destination is refused and stays untouched.
+    A failed check leaves no destination behind. Returns everything that was counted.
     """
     spark = df.sparkSession
     if exists(spark, path):
         raise FileExistsError(path)
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    written = spark.read.schema(df.schema).parquet(staged)
-    seen = fingerprint(written, columns or df.columns).first().asDict()
+    watch = Observation()
+    named = [count.alias(name) for name, count in (guards or {}).items()]
+    df.observe(watch, *fingerprint_measures(columns or df.columns), *named).write.parquet(staged)
+    seen = watch.get
+    broken = {name: seen[name] for name in guards or {} if seen[name]}
     problem = None
     if expected_rows is not None and seen["rows"] != expected_rows:
-        problem = f"observed {seen['rows']} rows, expected {expected_rows}"
+        problem = f"{seen['rows']} rows were written where {expected_rows} were due"
     elif expected_fingerprint is not None and any(seen[k] != v for k, v in expected_fingerprint.items()):
-        problem = "content fingerprint differs from the frozen release"
-    fs, source = _filesystem(spark, staged)
+        problem = "the written content is not the one that was locked"
+    elif broken:
+        problem = "guards count violations: " + ", ".join(f"{name} {n}" for name, n in broken.items())
+    fs, source = filesystem(spark, staged)
     if problem is None and exists(spark, path):
-        problem = f"destination appeared meanwhile: {path}"
+        problem = f"another writer took {path} meanwhile"
     if problem is not None:
         fs.delete(source, True)
-        raise ValueError(f"{problem}; nothing was published")
-    if not fs.rename(source, _filesystem(spark, path)[1]):
+        raise ValueError(f"{problem}; the destination was left alone")
+    if not fs.rename(source, filesystem(spark, path)[1]):
         raise OSError(f"could not publish to {path}")
     return seen
 
