@@ -20,8 +20,10 @@ from quotalens.operators.cohorts import (
 from quotalens.operators.ranking import Worklist, kth_of, kth_score, ranked, worklist
 from quotalens.plans import bindings as b
 from quotalens.plans.audit import target_population
+from quotalens.plans.sql_surface import register_audit
 from quotalens.session import ROWS_PER_TASK, materialize, shared_folder
 from quotalens.sources import clustered, commits, sinks, tables
+from quotalens.streaming.transport import window_workload, write_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,6 +139,20 @@ def identity_check(spark, folder):
     return checks.identity_summary(decomposition(spark, folder), list(decompose.RESIDUALS))
 
 
+@query
+def sql_decomposition(spark, folder):
+    """The decomposition through SQL table functions alone, over a stored population."""
+    register_audit(spark, _clustered(spark, folder, scenarios()))
+    return spark.sql("SELECT * FROM audit_decomposition(0.05) UNION ALL SELECT * FROM audit_decomposition(0.1)")
+
+
+@query
+def sql_top(spark, folder):
+    """Selections of every scenario at a share that nobody prepared, through SQL alone."""
+    register_audit(spark, _clustered(spark, folder, scenarios()))
+    return spark.sql("SELECT scenario, target, budget_n, true_positive_n FROM audit_top(0.03) WHERE budget_of = 'own'")
+
+
 # --- Cohorts ----------------------------------------------------------------------------------------------------
 
 @query
@@ -300,6 +316,19 @@ def period_transport(spark, folder):
     return selection.transport(clustered.open_periods(spark, path, ["evaluation"]), cuts)
 
 
+@query
+def streamed_workload(spark, folder):
+    """Evaluation events as a stream: daily selections of the calibration cutoffs, of the days that the watermark has closed."""
+    # A pattern, since a stream's plain path has to be a directory.
+    events = spark.readStream.schema(b.table(spark, folder, "events").schema).parquet(f"{folder}/event[s].parquet")
+    scored = events.where(F.col("ts") >= F.lit("2024-01-21").cast("timestamp_ntz")).select(
+        F.lit("purchase").alias("target"), "ts", F.col("value").alias("score"), (F.col("event_type") == "purchase").cast("int").alias("y"))
+    path = _new_path(spark, "windows")
+    write_windows(window_workload(scored, kth_scores(spark, folder)), path, f"{path}-checkpoint").awaitTermination()
+    day = "cast(date_add(date'1970-01-01', cast(unix_seconds({}) div 86400 as int)) as string)"
+    return spark.read.parquet(path).withColumns({c: F.expr(day.format(c)) for c in ("window_start", "window_end")})
+
+
 @query
 def threshold_binding(spark, folder):
     """Cutoffs that were rounded on the way do not match the model's own."""

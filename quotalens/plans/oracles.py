@@ -113,6 +113,10 @@ ALL_CELLS = _pop() + RANKED + CELLS + DECOMP
 ORACLES["four_cells"] = ALL_CELLS + " SELECT * FROM four_cells"
 ORACLES["four_cells_bucketed"] = ORACLES["four_cells_clustered"] = ORACLES["four_cells"]
 ORACLES["decomposition"] = ALL_CELLS + " SELECT * FROM decomposition"
+ORACLES["sql_decomposition"] = ORACLES["decomposition"]
+ORACLES["sql_top"] = f"""{_pop()} {RANKED} SELECT s.scenario, s.target, {_budget('0.03::DOUBLE', 'n')} AS budget_n,
+  sum(CASE WHEN r <= {_budget('0.03::DOUBLE', 'n')} THEN y ELSE 0 END)::BIGINT AS true_positive_n
+FROM size s JOIN rk ON rk.target = s.target AND rk.scenario = s.scenario GROUP BY ALL"""
 ORACLES["capacity_share"] = ALL_CELLS + f""" SELECT target, nominal_fraction, shapley_capacity, total_topq_contrast,
   {_ratio('shapley_capacity', 'total_topq_contrast')} AS capacity_share FROM decomposition"""
 HEADLINE = f"""SELECT target, nominal_fraction, B_all::DOUBLE / B_early::DOUBLE - 1 AS extra_selections,
@@ -299,6 +303,18 @@ ORACLES["period_transport"] = ORACLES["threshold_transport"]
 ORACLES["period_cutoffs"] = " UNION ALL ".join(
     f"(WITH {EVENTS}, {CAL.replace('WHERE calibration', rule)} SELECT target, q AS nominal_fraction, n AS calibration_n, k AS nominal_selected_n, "
     f"t AS threshold, '{label}' AS periods FROM cuts)" for label, rule in (("both", ""), ("calibration", "WHERE calibration")))
+ORACLES["streamed_workload"] = f"""WITH {EVENTS}, {CAL},
+days AS (
+  SELECT date_trunc('day', ts) AS day, value AS score, (event_type = 'purchase')::INTEGER AS y, max(ts) OVER () AS newest
+  FROM events WHERE ts >= TIMESTAMP '2024-01-21'),
+closed AS (
+  SELECT target, strftime(day, '%Y-%m-%d') AS window_start, strftime(day + INTERVAL 1 DAY, '%Y-%m-%d') AS window_end, q AS nominal_fraction,
+    t AS threshold, count(*) AS N_all, sum(y)::BIGINT AS E_all, count(*) FILTER (WHERE score >= t) AS selected_n,
+    sum(CASE WHEN score >= t THEN y ELSE 0 END)::BIGINT AS TP
+  FROM days CROSS JOIN cuts WHERE day + INTERVAL 1 DAY <= newest - INTERVAL 2 DAY GROUP BY ALL)
+SELECT *, {_ratio('selected_n', 'N_all')} AS selection_rate, {_ratio('TP', 'E_all')} AS population_event_capture, {_ratio('TP', 'selected_n')} AS precision,
+  {_ratio('E_all', 'N_all')} AS prevalence, {_budget('nominal_fraction', 'N_all')} AS nominal_selected_n,
+  selected_n - {_budget('nominal_fraction', 'N_all')} AS workload_difference_n FROM closed"""
 ORACLES["workload_difference"] = _transport("t", ("exact",)) + f""" SELECT * EXCLUDE (threshold_precision), {_ratio('E_all', 'N_all')} AS prevalence,
   {_budget('nominal_fraction', 'N_all')} AS nominal_selected_n, selected_n - {_budget('nominal_fraction', 'N_all')} AS workload_difference_n FROM transport"""
 ORACLES["threshold_binding"] = _pop("fine_score") + RANKED + PROTOCOLS + """ SELECT target, q AS nominal_fraction, round(t, -1) AS supplied, t AS expected
