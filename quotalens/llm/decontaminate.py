@@ -3,8 +3,8 @@
 Texts are cut into words (runs of letters and digits, in lower case) and shingles of five words. For every place at which
 a document holds a shingle of a benchmark item, the window of the item's size that starts there is fingerprinted by SimHash.
 Fingerprints are cut into one block more than the search radius, so two fingerprints within the radius agree on a block
-at least: equal blocks of windows and items of the same size are joined, the Hamming distance is checked, and the weighted
-Jaccard similarity of the shingles (weight: number of occurrences) of what is left is computed exactly.
+at least: equal blocks of windows and items of the same size are joined, where the item holds the window's first shingle;
+the Hamming distance is checked, and the weighted Jaccard similarity of the shingles (weight: number of occurrences) of what is left is computed exactly.
 
 Only windows that start with a shingle of an item are needed: moving a window to the right until its first shingle is the
 item's never lowers the similarity. Windows with the same shingles are compared once, whatever the number of documents
@@ -104,15 +104,17 @@ def contamination(
     kinds = windows.groupBy("size", "a", "b").agg(F.first("s").alias("s"))
     kinds = materialize(kinds.withColumn("code", fingerprint(F.col("s"))), "kinds")
     coded = materialize(items.withColumn("code", fingerprint(F.col("s"))), "coded")
-    left = kinds.select("size", "a", "b", F.col("code").alias("kind_code"), F.explode(blocks(F.col("code"))).alias("block"))
-    right = coded.select("size", "item_id", F.xxhash64("s").alias("i"), F.col("code").alias("item_code"), F.explode(blocks(F.col("code"))).alias("block"))
-    near = left.join(right, ["size", "block"]).filter(distance(F.col("kind_code"), F.col("item_code")) <= RADIUS)
+    # A window starts with a shingle of the item, so that shingle is part of the key: no block is shared by all windows of a size.
+    left = kinds.select("size", "a", "b", F.get("s", F.lit(0)).alias("h"), F.col("code").alias("kind_code"), F.explode(blocks(F.col("code"))).alias("block"))
+    right = coded.select("size", "item_id", F.xxhash64("s").alias("i"), F.explode(F.array_distinct("s")).alias("h"), F.col("code").alias("item_code"))
+    right = right.select("*", F.explode(blocks(F.col("item_code"))).alias("block"))
+    near = left.join(right, ["size", "h", "block"]).filter(distance(F.col("kind_code"), F.col("item_code")) <= RADIUS)
     near = near.select("size", "a", "b", "item_id", "i").distinct()
 
     pairs = near.join(kinds.select("size", "a", "b", "s"), ["size", "a", "b"]).join(
         coded.select("item_id", F.xxhash64("s").alias("i"), F.col("s").alias("t")), ["item_id", "i"])
     common = F.size(F.array_intersect(tagged(F.col("s")), tagged(F.col("t"))))
-    pairs = pairs.filter(F.array_contains("t", F.get("s", F.lit(0)))).select(
+    pairs = pairs.select(
         "size", "a", "b", "item_id", (common / (F.size("s") + F.size("t") - common)).alias("similarity")).filter(F.col("similarity") >= similarity)
     found = windows.select("doc_id", "at", "size", "a", "b").join(pairs, ["size", "a", "b"])
     best = F.max(F.struct("similarity", (-F.col("at")).alias("at")))
