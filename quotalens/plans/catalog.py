@@ -28,7 +28,8 @@ from quotalens.streaming.transport import window_workload, write_windows
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-REPLICATES = 20
+#: Replicates of every query that gives intervals, and of those that list single replicates, which are checks of the sampler.
+INTERVAL_REPLICATES, REPLICATES = 500, 20
 SEED = 2027
 
 
@@ -603,12 +604,12 @@ def bootstrap_counts(spark, folder):
         F.sum(F.col("w") * F.col("y")).alias("event_n"))
 
 
-def _resampled(spark, folder) -> Worklist:
-    return bootstrap.resampled_worklist(bootstrap.resample(b.orders_population(spark, folder), REPLICATES, SEED))
+def _resampled(spark, folder, replicates: int = REPLICATES) -> Worklist:
+    return bootstrap.resampled_worklist(bootstrap.resample(b.orders_population(spark, folder), replicates, SEED))
 
 
-def _cell_replicates(spark, folder):
-    return bootstrap.cell_replicates(bootstrap.cell_tp(_resampled(spark, folder), decomposition(spark, folder)))
+def _cell_replicates(spark, folder, replicates: int = REPLICATES):
+    return bootstrap.cell_replicates(bootstrap.cell_tp(_resampled(spark, folder, replicates), decomposition(spark, folder)))
 
 
 @query
@@ -618,11 +619,11 @@ def bootstrap_cells(spark, folder):
 
 @query
 def bootstrap_intervals(spark, folder):
-    return _rounded(bootstrap.cell_intervals(_cell_replicates(spark, folder)))
+    return _rounded(bootstrap.cell_intervals(_cell_replicates(spark, folder, INTERVAL_REPLICATES)))
 
 
-def _protocol_replicates(spark, folder):
-    return bootstrap.protocol_replicates(bootstrap.protocol_counts(_resampled(spark, folder), _cuts(spark, folder)))
+def _protocol_replicates(spark, folder, replicates: int = REPLICATES):
+    return bootstrap.protocol_replicates(bootstrap.protocol_counts(_resampled(spark, folder, replicates), _cuts(spark, folder)))
 
 
 @query
@@ -632,7 +633,7 @@ def bootstrap_protocols(spark, folder):
 
 @query
 def bootstrap_summary(spark, folder):
-    return _rounded(bootstrap.protocol_summary(_protocol_replicates(spark, folder), comparisons(spark, folder)))
+    return _rounded(bootstrap.protocol_summary(_protocol_replicates(spark, folder, INTERVAL_REPLICATES), comparisons(spark, folder)))
 
 
 @query
@@ -648,18 +649,18 @@ def bootstrap_row_check(spark, folder):
 @query
 def audit_report(spark, folder):
     return _rounded(decompose.audit_report(
-        decomposition(spark, folder), bootstrap.cell_intervals(_cell_replicates(spark, folder))))
+        decomposition(spark, folder), bootstrap.cell_intervals(_cell_replicates(spark, folder, INTERVAL_REPLICATES))))
 
 
 @query
 def block_bootstrap_cells(spark, folder):
-    tp = bootstrap.block_cell_tp(b.orders_population(spark, folder), decomposition(spark, folder), 100, SEED)
+    tp = bootstrap.block_cell_tp(b.orders_population(spark, folder), decomposition(spark, folder), INTERVAL_REPLICATES, SEED)
     return bootstrap.cell_intervals(bootstrap.cell_replicates(tp))
 
 
 @query
 def block_bootstrap_protocols(spark, folder):
-    counts = bootstrap.block_protocol_counts(b.orders_population(spark, folder), _cuts(spark, folder), 100, SEED)
+    counts = bootstrap.block_protocol_counts(b.orders_population(spark, folder), _cuts(spark, folder), INTERVAL_REPLICATES, SEED)
     return bootstrap.protocol_summary(bootstrap.protocol_replicates(counts), comparisons(spark, folder))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quotalens.functions.fields import EVALUATION_COLUMNS, FEATURE_SETS, FIELD, FIELDS
 from quotalens.plans import bindings as b
-from quotalens.plans.catalog import REPLICATES, SEED
+from quotalens.plans.catalog import INTERVAL_REPLICATES, REPLICATES, SEED
 
 ORACLES: dict[str, str] = {}
 
@@ -584,6 +584,9 @@ FROM stats JOIN comparisons c USING (target, protocol, nominal_fraction, from_sc
     f"bootstrap_mean_{_C}", f"bootstrap_se_{_C}", f"bootstrap_mean_{_T}", f"bootstrap_mean_{_S}", f"ci_lower_{_C}", f"ci_upper_{_C}",
     f"ci_lower_{_T}", f"ci_upper_{_T}", f"point_{_C}"])
 
+for _name in ("bootstrap_intervals", "audit_report", "bootstrap_summary"):
+    ORACLES[_name] = ORACLES[_name].replace(f"range({REPLICATES})", f"range({INTERVAL_REPLICATES})")
+
 # --- Condition grid ---------------------------------------------------------------------------------------------
 
 _SETS = [
