@@ -798,14 +798,14 @@ def frozen_transform(spark, folder):
 def fit_score(spark, folder):
     """Boosted trees on training rows, scores on the rest, and their diagnostics."""
     rows = split_calibration(b.feature_records(spark, folder), 2026)
-    fitted = scoring.fit_score(rows.where("NOT calibration"), "is_f", NUMERIC, "nation", trees=10, depth=4)
+    fitted = scoring.fit_score(rows.where("NOT calibration"), "is_f", NUMERIC, "nation")
     return diagnostics.model_diagnostics(scoring.score(rows.where("calibration"), fitted))
 
 
 @query
 def calibration_cutoffs(spark, folder):
     rows = split_calibration(b.feature_records(spark, folder), 2026)
-    fitted = scoring.fit_score(rows.where("NOT calibration"), "is_f", NUMERIC, "nation", trees=5, depth=3)
+    fitted = scoring.fit_score(rows.where("NOT calibration"), "is_f", NUMERIC, "nation")
     scored = materialize(scoring.score(rows.where("calibration"), fitted).select("target", "pos", "y", "score"), "scored")
     return scoring.calibration_cutoffs(scored, 2022)
 
@@ -814,7 +814,7 @@ def calibration_cutoffs(spark, folder):
 def score_reload(spark, folder):
     """A fitted score saved and loaded: rows calibrated, rows whose score changed, scores out of range, cutoffs met too rarely."""
     rows = split_calibration(b.feature_records(spark, folder), 2026)
-    fitted = scoring.fit_score(rows.where("NOT calibration"), "is_f", NUMERIC, "nation", trees=5, depth=3)
+    fitted = scoring.fit_score(rows.where("NOT calibration"), "is_f", NUMERIC, "nation")
     path = _new_path(spark, "score")
     scoring.save_score(fitted, spark, path)
     again = scoring.load_score(spark, path)
