@@ -188,7 +188,7 @@ def shingle_rarity(df: DataFrame, text: str = "text") -> Rarity:
     A task counts its documents in one running table. After every chunk all counts fall to make up for ``slack`` sightings,
     half of what SHARE of the documents read so far are, and what is at zero is dropped. So no count of a task is lower by
     more than its slack, all tasks together leave out no more than ``left_out``, and what is below ``least`` by more than
-    that is no candidate. Candidates are then counted exactly.
+    that is no candidate. A task reads 8 / SHARE documents or more on average. Candidates are then counted exactly.
     """
     rows = df.count()
     least, left_out = max(2.0, rows * SHARE), int(rows * SHARE / 2)
@@ -219,7 +219,9 @@ def shingle_rarity(df: DataFrame, text: str = "text") -> Rarity:
             part = slice(at, at + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(names[part].view(np.int64)), pa.array(counts[part])], names=["shingle", "n"])
 
-    found = df.select(text).mapInArrow(candidates, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    # Tasks of few documents may leave nothing out, so small partitions are read together.
+    together = df.select(text).coalesce(max(1, int(rows * SHARE / 8)))
+    found = together.mapInArrow(candidates, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     few = np.sort(found.filter(F.col("n") >= least - left_out).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
     shared = Shared(df, few)
 
