@@ -60,9 +60,9 @@ def publish(
     broken = {name: seen[name] for name in guards or {} if seen[name]}
     problem = None
     if expected_rows is not None and seen["rows"] != expected_rows:
-        problem = f"{seen['rows']} rows were written where {expected_rows} were due"
+        problem = f"the write observed {seen['rows']} rows where {expected_rows} were due"
     elif expected_fingerprint is not None and any(seen[k] != v for k, v in expected_fingerprint.items()):
-        problem = "the written content is not the one that was locked"
+        problem = "the written content has not the locked fingerprint"
     elif broken:
         problem = "guards count violations: " + ", ".join(f"{name} {n}" for name, n in broken.items())
     fs, source = filesystem(spark, staged)

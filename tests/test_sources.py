@@ -104,9 +104,9 @@ def test_guards_follow_the_checks(spark):
 def test_wrong_rows_or_content_leave_nothing(spark, tmp_path):
     df = people(spark)
     other = tables.fingerprint(df.limit(3), df.columns).first().asDict()
-    with pytest.raises(ValueError, match="50 rows were written where 51 were due"):
+    with pytest.raises(ValueError, match="observed 50 rows where 51 were due"):
         sinks.publish(df, f"{tmp_path}/bad", 51)
-    with pytest.raises(ValueError, match="not the one that was locked"):
+    with pytest.raises(ValueError, match="not the locked fingerprint"):
         sinks.publish(df, f"{tmp_path}/bad", None, other)
     assert list(Path(tmp_path).iterdir()) == []
     assert sinks.publish(df.limit(0), f"{tmp_path}/none")["rows"] == 0
