@@ -178,66 +178,102 @@ def band_keys(chosen: np.ndarray) -> np.ndarray:
     return mix(x + np.arange(BANDS, dtype=np.uint64) * np.uint64(_BASE)).astype(np.int64)
 
 
-#: Shingles of documents that a task counts before it merges them into its table.
-_CHUNK = 1 << 22
+#: Shingles that a task adds to its counters in one go, and counters that travel together.
+_CHUNK, _PIECE = 1 << 20, 1 << 15
 
 
-def shingle_rarity(df: DataFrame, text: str = "text") -> Rarity:
-    """Frequencies over all rows, however they are partitioned. At most 2 / SHARE times the shingles of an average document reach the driver.
+def _cells(s: np.ndarray, size: int) -> np.ndarray:
+    """The places of each shingle in two rows of ``size`` counters, from independent bits of its hash."""
+    last = np.uint64(size - 1)
+    return np.stack([s & last, (s >> np.uint64(32)) & last]).astype(np.int64)
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The distinct shingles of each document, put together to about ``_CHUNK`` of them."""
+    powers, waiting, size = _Powers(), [], 0
+    for batch in batches:
+        for piece in slices(batch, 8 << 20):
+            for t in piece.column(0).to_pylist():
+                waiting.append(counted_shingles(word_hashes(t, powers))[0])
+                size += len(waiting[-1])
+                if size >= _CHUNK:
+                    yield np.concatenate(waiting)
+                    waiting, size = [], 0
+    if size:
+        yield np.concatenate(waiting)
 
-    A task counts its documents in one running table. After every chunk all counts fall to make up for ``slack`` sightings,
-    half of what SHARE of the documents read so far are, and what is at zero is dropped. So no count of a task is lower by
-    more than its slack, all tasks together leave out no more than ``left_out``, and what is below ``least`` by more than
-    that is no candidate. A task reads 8 / SHARE documents or more on average. Candidates are then counted exactly.
+
+def counters(rows: int, characters: int) -> int:
+    """Counters of a row: some four for each document that SHARE stands for, times the shingles of an average text. A power of two.
+
+    So a counter's share of the other shingles stays well below the frequency looked for, whatever the number of documents.
     """
-    rows = df.count()
-    least, left_out = max(2.0, rows * SHARE), int(rows * SHARE / 2)
+    each = characters / max(1, rows) / 5 + 1
+    return 1 << int(np.clip(np.ceil(np.log2(4 * each / SHARE)), 16, 30))
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, waiting, size, read, slack = _Powers(), [], 0, 0, 0
-        names, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        def absorb():
-            nonlocal names, counts, waiting, size, slack
-            names, place = np.unique(np.concatenate([names, *waiting]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, np.ones(size)]), len(names)).astype(np.int64)
-            counts -= int(read * SHARE / 2) - slack
-            slack = int(read * SHARE / 2)
-            names, counts = names[counts > 0], counts[counts > 0]
-            waiting, size = [], 0
+def shingle_rarity(df: DataFrame, text: str = "text") -> Rarity:
+    """Frequencies over all rows, however they are partitioned. At most 1 / SHARE times the shingles of an average document reach the driver.
+
+    A first pass adds every document's shingles into two rows of counters, whose size depends on the average text and not on
+    the corpus. Counters only add up, over documents and over tasks, so none is below the frequency of any shingle in it: what
+    is frequent has two high counters. The shingles with two high counters, few others among them, are counted exactly in a
+    second pass.
+    """
+    total = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length(text).cast("long")), F.lit(0)).alias("n")).first()
+    rows, size = total["rows"], counters(total["rows"], total["n"])
+    least, width = max(2.0, rows * SHARE), min(size, _PIECE)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, pack = np.zeros((2, size), np.uint32), pa.Codec("zstd")
+        for s in _shingles(batches):
+            for row, cells in zip(n, _cells(s, size)):
+                row += np.bincount(cells, minlength=size).astype(np.uint32)
+        for place, part in enumerate(n.reshape(-1, width)):
+            if part.any():
+                raw = pack.compress(part.tobytes(), asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([raw], pa.binary())], names=["place", "n"])
+
+    def high(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, last, n = pa.Codec("zstd"), None, np.zeros(width, np.int64)
+
+        def found():
+            return pa.RecordBatch.from_arrays([pa.array([last]), pa.array([np.packbits(n >= least).tobytes()], pa.binary())], names=["place", "high"])
 
         for batch in batches:
-            for piece in slices(batch, 8 << 20):
-                for t in piece.column(0).to_pylist():
-                    waiting.append(counted_shingles(word_hashes(t, powers))[0])
-                    size += len(waiting[-1])
-                    read += 1
-                    if size >= max(_CHUNK, len(names)):
-                        absorb()
-        absorb()
+            for place, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if last is not None and place != last:
+                    yield found()
+                    n = np.zeros(width, np.int64)
+                last = place
+                n += np.frombuffer(pack.decompress(raw, 4 * width, asbytes=True), np.uint32)
+        if last is not None:
+            yield found()
+
+    # A task's counters are as large for few documents as for many, so small partitions are read together.
+    together = df.select(text).coalesce(max(1, int(rows * SHARE)))
+    pieces = together.mapInArrow(sketch, "place long, n binary").repartition("place").sortWithinPartitions("place")
+    bits = np.zeros((2 * size // width, width // 8), np.uint8)
+    for r in pieces.mapInArrow(high, "place long, high binary").collect():  # one bit for each counter
+        bits[r["place"]] = np.frombuffer(r["high"], np.uint8)
+    shared = Shared(df, bits.reshape(2, -1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+        names, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for s in _shingles(batches):
+            one, two = (row[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1 for row, c in zip(marks, _cells(s, size)))
+            s = s[(one & two) > 0]
+            new, times = np.unique(s, return_counts=True)
+            names, place = np.unique(np.concatenate([names, new]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, times]), len(names)).astype(np.int64)
         for at in range(0, len(names), 1 << 16):
             part = slice(at, at + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(names[part].view(np.int64)), pa.array(counts[part])], names=["shingle", "n"])
 
-    # Tasks of few documents may leave nothing out, so small partitions are read together.
-    together = df.select(text).coalesce(max(1, int(rows * SHARE / 8)))
-    found = together.mapInArrow(candidates, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    few = np.sort(found.filter(F.col("n") >= least - left_out).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
-    shared = Shared(df, few)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, few = _Powers(), shared.value
-        n = np.zeros(len(few), np.int64)
-        for batch in batches:
-            for t in batch.column(0).to_pylist() if len(few) else ():
-                s = counted_shingles(word_hashes(t, powers))[0]
-                at = np.minimum(np.searchsorted(few, s), len(few) - 1)
-                n[at[few[at] == s]] += 1
-        held = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n[held])], names=["place", "n"])
-
-    held = df.select(text).mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-    return Rarity(rows, few[held["place"].to_numpy(np.int64)], held["n"].to_numpy(float))
+    counted = together.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    held = counted.filter(F.col("n") >= least).toPandas()
+    return Rarity(rows, held["shingle"].to_numpy(np.int64).view(np.uint64), held["n"].to_numpy(float))
 
 
 def _connected(edges: DataFrame, name: str) -> DataFrame:
