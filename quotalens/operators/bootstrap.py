@@ -30,7 +30,11 @@ from quotalens.operators.cohorts import scenarios
 from quotalens.operators.decompose import CELLS, add_effects
 from quotalens.operators.ranking import Worklist, at_most, ranked, top_b, worklist
 from quotalens.operators.selection import budget_requests, threshold_counts
-from quotalens.session import ROWS_PER_TASK, materialize, shuffle_width
+from quotalens.session import ROWS_PER_TASK, materialize
+from quotalens.sources.colocated import buckets_for, colocate, dealt_like
+
+#: Most groups whose sizes are broadcast.
+MOST_GROUPS = 100_000
 
 #: Effects that get a percentile interval.
 INTERVAL_EFFECTS = (
@@ -45,18 +49,29 @@ def resample(
     """The population once per replicate with integer ``w`` >= 1, records not drawn left out.
 
     Record number i of a group makes draw i of every replicate: it hits the record whose 0-based rank is
-    floor(u * n). The table is written down because both passes of a selection read it. The few partitions of a
-    ranking are spread out before each record is multiplied by the replicates.
+    floor(u * n). The ranking is stored in buckets of (by, rank), which both spread the drawing records and meet
+    the draws that hit them; so only the draws are exchanged, once. The result is written down because both passes
+    of a selection read it.
     """
     by = list(by)
-    order = materialize(ranked(population, by, rows_per_task=rows_per_task).drop("cum_event_n"), "ranked")
+    order = ranked(population, by, rows_per_task=rows_per_task).drop("cum_event_n")
+    stored, buckets = _stored_ranking(materialize(order, "ranked"), by, rows_per_task)
+    return materialize(_hits(stored, by, replicates, seed, buckets), "resample")
+
+
+def _stored_ranking(order: DataFrame, by: Sequence[str], rows_per_task: int) -> tuple[DataFrame, int]:
+    buckets = buckets_for(order, order.count(), rows_per_task)
+    return colocate(order, [*by, "rank"], "ranking", buckets), buckets
+
+
+def _hits(order: DataFrame, by: Sequence[str], replicates: int, seed: int, buckets: int) -> DataFrame:
     sizes = materialize(order.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "sizes")
-    spread = order.select(*by, "rank").repartition(shuffle_width(order), *by, "rank").join(sizes, by)
-    draws = spread.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draws = order.select(*by, "rank").join(F.broadcast(sizes) if sizes.count() <= MOST_GROUPS else sizes, by).withColumn(
+        "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     hit = F.floor(uniform(F.lit(seed), *[F.col(c) for c in by], F.col("replicate"), F.col("rank") - 1) * F.col("_n")) + 1
-    counts = draws.select(*by, "replicate", hit.cast("bigint").alias("rank")).groupBy(*by, "replicate", "rank").agg(
-        F.count(F.lit(1)).alias("w"))
-    return materialize(counts.join(order, [*by, "rank"]).drop("rank"), "resample")
+    dealt = dealt_like(draws.select(*by, "replicate", hit.cast("bigint").alias("rank")), [*by, "rank"], buckets)
+    counts = dealt.groupBy(*by, "replicate", "rank").agg(F.count(F.lit(1)).alias("w"))
+    return counts.hint("merge").join(order, [*by, "rank"]).drop("rank")
 
 
 def resampled_worklist(weighted: DataFrame, by: Sequence[str] = ("target",), rows_per_task: int = ROWS_PER_TASK) -> Worklist:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quotalens.names import FRACTIONS
 from quotalens.operators.features import FeatureParameters, check_features, fit_features, transform_features
 from quotalens.operators.ranking import kth_score, ranked
-from quotalens.session import ROWS_PER_TASK, shuffle_width
+from quotalens.session import ROWS_PER_TASK, materialize, shuffle_width
 
 
 @dataclass(frozen=True)
@@ -77,12 +77,11 @@ def calibration_cutoffs(
 def rank_agreement(df: DataFrame, other: str, by: Sequence[str] = ("target",), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Per group, how many records change place when ``other`` ranks them instead of ``score``.
 
-    Zero for a recalibration with positive slope: ties stay ties and keep their position order.
+    Zero for a recalibration with positive slope: ties stay ties and keep their position order. The first rank travels
+    as a column into the second ranking, so the two are never joined.
     """
     by = list(by)
-    base = df.select(*by, "pos", "score", "y")
-    again = df.select(*by, "pos", F.col(other).alias("score"), "y")
-    first = ranked(base, by, rows_per_task=rows_per_task).select(*by, "pos", F.col("rank").alias("rank_score"))
-    second = ranked(again, by, rows_per_task=rows_per_task).select(*by, "pos", F.col("rank").alias("rank_other"))
-    return first.join(second, [*by, "pos"]).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("rank_score") != F.col("rank_other")).alias("moved_n"))
+    first = ranked(df.select(*by, "pos", "score", "y", F.col(other).alias("_other")), by, rows_per_task=rows_per_task)
+    again = first.select(*by, "pos", F.col("_other").alias("score"), "y", F.col("rank").alias("_rank_score"))
+    second = ranked(materialize(again, "ranked-once"), by, rows_per_task=rows_per_task)
+    return second.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_rank_score") != F.col("rank")).alias("moved_n"))

@@ -53,6 +53,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def colocated_prefix(spark: SparkSession) -> str:
+    """How the names of bucketed tables begin, within a run with the run's own mark."""
+    own = spark.conf.get(_RUN_FOLDER, None)
+    return f"colocated_{own.rsplit('-', 1)[-1]}_" if own else "colocated_"
+
+
 @contextlib.contextmanager
 def run_scope(spark: SparkSession) -> Iterator[str]:
     """A folder of its own for the intermediate tables of a run, deleted at the end. Write results elsewhere before it ends."""
@@ -62,6 +68,8 @@ def run_scope(spark: SparkSession) -> Iterator[str]:
     try:
         yield folder
     finally:
+        for table in spark.catalog.listTables(pattern=f"{colocated_prefix(spark)}*"):
+            spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
         spark.conf.set(_RUN_FOLDER, outer) if outer else spark.conf.unset(_RUN_FOLDER)
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

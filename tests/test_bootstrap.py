@@ -5,9 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quotalens.operators import bootstrap, decompose
+from quotalens.operators import bootstrap, decompose, ranking, scoring
 from quotalens.operators.cohorts import scenarios
 from quotalens.operators.ranking import kth_score, worklist
+from quotalens.session import colocated_prefix, run_scope
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +103,35 @@ def test_no_events_fails(spark):
     cuts = spark.createDataFrame([("t", 0.05, 1.0), ("t", 0.1, 1.0)], "target string, nominal_fraction double, threshold double")
     with pytest.raises(Exception, match="no events"):
         bootstrap.block_protocol_counts(rows, cuts, 2, 1).collect()
+
+
+def test_resample_leaves_the_ranking_where_it_is(spark, table):
+    order = ranking.ranked(table, ["target"]).drop("cum_event_n")
+    stored, buckets = bootstrap._stored_ranking(order, ["target"], 100)
+    hits = bootstrap._hits(stored, ["target"], 4, 3, buckets)
+    hits.collect()
+    plan = hits._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert buckets == 10 and "SortMergeJoin" in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # of the draws
+    assert {r.pos for r in hits.filter("replicate = 0").collect()} <= set(range(1000))
+
+
+def test_run_scope_drops_bucketed_tables(spark, table):
+    with run_scope(spark):
+        bootstrap.resample(table, 2, 1)
+        assert [t for t in spark.catalog.listTables(pattern=f"{colocated_prefix(spark)}*")]
+        mark = colocated_prefix(spark)
+    assert not spark.catalog.listTables(pattern=f"{mark}*")
+
+
+def test_rank_agreement_joins_nothing(spark, table):
+    rows = table.withColumn("p", F.col("pos") % 7 / 7.0)
+    want = rows.toPandas()
+    one = want.sort_values(["score", "pos"], ascending=[False, True]).pos.to_numpy()
+    two = want.sort_values(["p", "pos"], ascending=[False, True]).pos.to_numpy()
+    moved = int((np.argsort(one) != np.argsort(two)).sum())
+    for rows_per_task in (10**6, 90):
+        got = scoring.rank_agreement(rows, "p", rows_per_task=rows_per_task)
+        if rows_per_task > 1000:
+            assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert got.first().asDict() == {"target": "t", "rows": 1000, "moved_n": moved}
