@@ -243,7 +243,10 @@ def templates(pages: DataFrame) -> DataFrame:
     # A token of one page only can't belong to a template. What is left is written, so that pages are parsed once for both uses.
     tokens = materialize(tokens.filter((F.col("token") == "") | (F.col("pages") >= 2)), "tokens")
     sizes = tokens.filter(F.col("token") == "").select("key", F.col("pages").alias("n")).filter(F.col("n") >= OWN_TEMPLATE)
-    common = tokens.filter(F.col("token") != "").join(sizes, "key").filter(F.col("pages") >= F.col("n") * SUPPORT)
+    # Salted, as one host may hold most tokens; those that pass the filter are few for every host.
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = tokens.filter(F.col("token") != "").withColumn("salt", F.pmod(F.xxhash64("token"), F.lit(SALTS)).cast("int"))
+    common = dealt.join(sizes, ["key", "salt"]).filter(F.col("pages") >= F.col("n") * SUPPORT)
     common = common.filter(~F.contains("token", F.lit("\n")) | (F.col("pages") > 2))
     listed = common.groupBy("key", "n").agg(
         F.collect_list(F.struct("token", "pages", "total", F.xxhash64("first_sum", "second_sum").alias("vector"), "place")).alias("tokens"))
