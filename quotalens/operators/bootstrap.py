@@ -320,18 +320,15 @@ def _descend(keys: Sequence[str], seed: int, level: int):
 
 
 def stretch_sizes(largest: int, fan_out: int = FAN_OUT) -> list[int]:
-    """Stretch lengths per level, down to single records.
+    """Stretch lengths per level, down to single records; each is a multiple of the next.
 
     The fewest levels for which no stretch has more than ``fan_out`` children, with children spread evenly over the
-    levels: long last stretches keep the budgets of many replicates in the same few stretches.
+    levels: long last stretches keep the budgets of many replicates in the same few stretches. A stretch lies within
+    one longer stretch, so whatever way its requests came, they share its copies.
     """
     levels = max(1, math.ceil(math.log(max(2, largest)) / math.log(fan_out) - 1e-9))
-    ratio = max(2, math.ceil(largest ** (1.0 / levels)))
-    sizes, length = [], largest
-    while length > 1:
-        length = math.ceil(length / ratio)
-        sizes.append(length)
-    return sizes or [1]
+    ratio = max(2, math.ceil(largest ** (1.0 / levels) - 1e-9))
+    return [ratio ** level for level in reversed(range(levels))]
 
 
 def block_bootstrap(

@@ -97,6 +97,21 @@ def test_stretch_sizes():
         last = size
 
 
+def test_stretches_nest():
+    for largest in (1, 2, 950, 8_999_999, 10**9 + 7):
+        for fan_out in (10, 2000):
+            sizes = bootstrap.stretch_sizes(largest, fan_out)
+            assert sizes[-1] == 1 and sizes[0] * fan_out >= largest
+            assert all(longer % shorter == 0 for longer, shorter in zip(sizes, sizes[1:]))
+
+
+def test_block_protocols_over_three_levels(table):
+    """950 records in lengths 95, 10 and 1 had stretches of two parents; a second request then met the first one's copies."""
+    rows = table.where("pos < 950")
+    got = bootstrap.block_protocol_counts(rows, kth_score(rows, (0.05, 0.1)), 60, 1, fan_out=10).toPandas()
+    assert len(got) == 60 * 18 and got.bootstrap_sample_n.eq(950).all()
+
+
 def test_no_events_fails(spark):
     rows = spark.range(50).select(F.lit("t").alias("target"), F.col("id").alias("pos"), F.col("id").cast("double").alias("score"),
                                   F.lit(0).alias("y"), F.lit(1).alias("entry"))
