@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quotalens.functions import cleaning
 from quotalens.functions.numeric import platt
 from quotalens.names import ALL, ANY, EARLY, FIXED_BUDGET, FIXED_THRESHOLD, FRACTIONS, TOP_FRACTION
-from quotalens.operators import bootstrap, checks, decompose, diagnostics, features, grid, scoring, selection
+from quotalens.operators import bootstrap, checks, decompose, diagnostics, draws, features, grid, scoring, selection
 from quotalens.operators.cohorts import (
     by_target, cohort_flow, entry_group, flow_identities, scenarios, split_calibration,
 )
@@ -598,14 +598,11 @@ def position_check(spark, folder):
 
 @query
 def bootstrap_counts(spark, folder):
-    rows = bootstrap.resample(b.orders_population(spark, folder), REPLICATES, SEED)
-    return rows.groupBy("target", "replicate").agg(
-        F.sum("w").alias("drawn_n"), F.count(F.lit(1)).alias("distinct_n"), F.max("w").alias("largest_w"),
-        F.sum(F.col("w") * F.col("y")).alias("event_n"))
+    return draws.draw_counts(_resampled(spark, folder))
 
 
 def _resampled(spark, folder, replicates: int = REPLICATES) -> Worklist:
-    return bootstrap.resampled_worklist(bootstrap.resample(b.orders_population(spark, folder), replicates, SEED))
+    return draws.draw_worklist(b.orders_population(spark, folder), scenarios(), replicates, SEED)
 
 
 def _cell_replicates(spark, folder, replicates: int = REPLICATES):
