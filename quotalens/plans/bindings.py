@@ -117,6 +117,9 @@ def field_sql(i: int, f: Field) -> str:
     )
 
 
+#: Lines of a compressed file, which one task reads.
+LINES_PER_FILE = 250_000
+
 #: Columns that no field uses; the order key stands there so that a line can be traced.
 KEY_START, KEY_WIDTH = 15, 12
 
@@ -124,6 +127,7 @@ KEY_START, KEY_WIDTH = 15, 12
 def rendered_lines(spark: SparkSession, folder: str, lenient: bool = False) -> DataFrame:
     """One fixed-width line per order, written as text files with carriage returns and read back: ``pos``, ``value``.
 
+    The files are compressed: a line is 1,330 characters, most of them blank, so plain ones are the larger part of all that is written.
     Some lines are cut short, not ASCII or (leniently) blank.
     """
     keys = table(spark, folder, "orders").selectExpr(*LINE_COLUMNS.split(", "))
@@ -145,7 +149,7 @@ def rendered_lines(spark: SparkSession, folder: str, lenient: bool = False) -> D
         value = F.overlay(F.substring(line, F.lit(1), F.when(cut, RECORD_LENGTH - 1).otherwise(RECORD_LENGTH)),
                           F.when(odd & ~cut, "é").otherwise(" "), 1)
     path = f"{shared_folder(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
-    raw.select(F.concat(value, F.lit("\r")).alias("value")).write.text(path)
+    raw.select(F.concat(value, F.lit("\r")).alias("value")).write.option("maxRecordsPerFile", LINES_PER_FILE).text(path, compression="gzip")
     key = F.substring("value", KEY_START, KEY_WIDTH).try_cast("bigint")
     return read_lines(spark, path).select(key.alias("pos"), "value")
 
