@@ -27,8 +27,8 @@ from quotalens.session import ROWS_PER_TASK, materialize
 #: Most score buckets of one group, and the size of the sketch that finds them.
 MOST_BUCKETS, SKETCH_SIZE = 4096, 4096
 
-#: Most slices of one ranking.
-MOST_SLICES = 20_000
+#: Most slices of one ranking: the sample for their borders and the results of their tasks go to the driver.
+MOST_SLICES = 2_000
 
 
 def finite_score(score: str = "score") -> Column:

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+from quotalens.operators import ranking
 from quotalens.plans import bindings
 from quotalens.session import shared_folder
 
@@ -15,3 +16,8 @@ def test_rendered_lines_are_written_compressed(spark, monkeypatch):
     assert sum(p.stat().st_size for p in parts) < count * 1330 / 8
     assert len(parts) >= count / 100  # a compressed file is read by one task, so none grows with the input
     assert lines.select("pos").distinct().count() == count
+
+
+def test_slices_of_a_ranking_are_bounded():
+    assert ranking.slices_for(108_000_000, 1_000) <= 2_000
+    assert ranking.slices_for(50_000, 1_000) == 50
