@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotalens.llm.common import append_columns, by_value, field, slices
+from quotalens.llm.common import append_columns, by_value, field, settled, slices
 
 by_value(__name__)
 
@@ -40,6 +40,9 @@ SPAN = LENGTH - GRAM + 1
 #: Bytes of text whose anchors go to one bucket on average.
 BUCKET_BYTES = 2 << 20
 
+#: Bytes of surroundings whose strings are compared at a time; a gram's are never parted.
+PART_BYTES = 256 << 10
+
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -274,46 +277,66 @@ def sort_suffixes(data: np.ndarray, h: Hashes, start: np.ndarray, slot: np.ndarr
 
 
 def _equal_strings(part: pd.DataFrame) -> pd.DataFrame:
-    """Ranges of starts, (first, last) pairs, of the strings that also stand in a document with a smaller id."""
+    """Ranges of starts, (first, last) pairs, of the strings that also stand in a document with a smaller id.
+
+    Slots of different grams never meet, so a bucket is worked through in parts of whole grams of about ``PART_BYTES``.
+    """
     columns = [[] for _ in range(8)]
     docs = 0
     for blob in part["blob"]:
         found = unpack(blob, "u8", "u4", "u4", "u1", "u1", "i8", "i4", "u1")
-        found[1] = found[1].astype(np.int64) + docs
+        found[1] = found[1] + np.uint32(docs)
         docs += len(found[5])
         for column, x in zip(columns, found):
             column.append(x)
     gram, owner, begin, offset, size, ids, keys, data = map(np.concatenate, columns)
-    size, begin = size.astype(np.int64), begin.astype(np.int64)
+    del columns
+    size = size.astype(np.int64)
     text_at = np.cumsum(size) - size
+    order = np.argsort(gram, kind="stable")
+    upto = np.cumsum(size[order])
+    new = np.flatnonzero(np.diff(gram[order])) + 1  # a part may end before these
+    rows: list[tuple[int, list[int]]] = []
+    at = 0
+    while at < len(order):
+        done = upto[at - 1] if at else 0
+        k = np.searchsorted(new, max(at + 1, np.searchsorted(upto, done + PART_BYTES)))
+        end = int(new[k]) if k < len(new) else len(order)
+        some = order[at:end]
+        rows += _equal_in(gram[some], owner[some], begin[some].astype(np.int64), offset[some].astype(np.int64), size[some], ids, data, text_at[some])
+        at = end
+    return pd.DataFrame({"doc_id": [int(ids[k]) for k, _ in rows], "key": [int(keys[k]) for k, _ in rows], "ranges": [r for _, r in rows]})
+
+
+def _equal_in(
+    gram: np.ndarray, owner: np.ndarray, begin: np.ndarray, offset: np.ndarray, size: np.ndarray, ids: np.ndarray, data: np.ndarray, text_at: np.ndarray,
+) -> list[tuple[int, list[int]]]:
+    """The same for some surroundings, ordered by gram: places of documents and their ranges."""
+    own_at = np.cumsum(size) - size
+    data = data[np.repeat(text_at - own_at, size) + np.arange(int(size.sum()))]
     count = size - LENGTH + 1
     entry = np.repeat(np.arange(len(gram)), count)
     shift = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
-    away = offset.astype(np.int64)[entry] - shift  # offset of the anchor in the string
-    order = np.lexsort((away, gram[entry]))
-    entry, shift, away = entry[order], shift[order], away[order]
-    change = np.concatenate([[True], (gram[entry[1:]] != gram[entry[:-1]]) | (away[1:] != away[:-1])])
-    slot = np.cumsum(change)
-    alone = np.bincount(slot)[slot] == 1
-    entry, shift, slot = entry[~alone], shift[~alone], slot[~alone]
-    if not len(entry):
-        return pd.DataFrame({"doc_id": [], "key": [], "ranges": []})
-    start = text_at[entry] + shift
+    away = offset[entry] - shift  # offset of the anchor in the string
+    number = np.cumsum(np.concatenate([[False], gram[1:] != gram[:-1]]))
+    slot = number[entry] * (SPAN + 1) + away
     h = Hashes(data)
-    # A suffix whose hash over the whole length is its own in the slot equals no other: it need not be sorted.
+    start = own_at[entry] + shift
     whole = h.of(start, LENGTH)
+    # Equal strings are sorted as one; a string whose hash over the whole length is its own in the slot equals no other.
     order = np.lexsort((whole, slot))
-    twin = (slot[order][1:] == slot[order][:-1]) & (whole[order][1:] == whole[order][:-1])
-    keep = np.zeros(len(start), bool)
-    keep[order[1:][twin]] = keep[order[:-1][twin]] = True
-    entry, shift, slot, start = entry[keep], shift[keep], slot[keep], start[keep]
-    if not len(entry):
-        return pd.DataFrame({"doc_id": [], "key": [], "ranges": []})
-    order = sort_suffixes(data, h, start, slot)
+    change = np.flatnonzero(np.concatenate([[True], (slot[order][1:] != slot[order][:-1]) | (whole[order][1:] != whole[order][:-1])]))
+    several = np.diff(np.append(change, len(order)))
+    head, several = change[several > 1], several[several > 1]
+    if not len(head):
+        return []
+    ranked = sort_suffixes(data, h, start[order[head]], slot[order[head]])
+    head, several = head[ranked], several[ranked]
+    order = order[np.repeat(head - (np.cumsum(several) - several), several) + np.arange(int(several.sum()))]
     entry, shift, slot, start = entry[order], shift[order], slot[order], start[order]
     same = np.zeros(len(start), bool)
     near = np.flatnonzero(slot[1:] == slot[:-1]) + 1
-    near = near[_extension(h, start[near], start[near - 1]) == LENGTH]
+    near = near[whole[order[near]] == whole[order[near - 1]]]
     for at in range(0, len(near), 1 << 16):  # the bytes decide
         some = near[at:at + (1 << 16)]
         step = np.arange(LENGTH)
@@ -329,7 +352,7 @@ def _equal_strings(part: pd.DataFrame) -> pd.DataFrame:
     head = np.flatnonzero(np.concatenate([[True], (whose[1:] != whose[:-1]) | (where[1:] > where[:-1] + 1)])[:len(whose)])
     for a, b in zip(head, np.append(head[1:], len(whose)) - 1):
         rows.setdefault(int(whose[a]), []).extend((int(where[a]), int(where[b])))
-    return pd.DataFrame({"doc_id": [int(ids[k]) for k in rows], "key": [int(keys[k]) for k in rows], "ranges": list(rows.values())})
+    return list(rows.items())
 
 
 # --- Exchange 3: documents and their ranges -------------------------------------------------------------------------
@@ -385,7 +408,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     buckets = max(8, -(-total // BUCKET_BYTES))
 
     named = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    grams = named.mapInArrow(_deal_grams(buckets), "bucket long, blob binary")
+    grams = named.mapInArrow(settled(_deal_grams(buckets)), "bucket long, blob binary")
     shared = grams.groupBy("bucket").applyInPandas(_shared_grams, "doc_id long, key int, places binary")
     shared = shared.groupBy("doc_id", "key").agg(F.collect_list("places").alias("places"))  # at most the document's anchors
 
@@ -394,7 +417,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     packed = append_columns(docs.filter(F.col("doc_id").isNotNull()), "text", [field("packed", "binary")], _zip, ["doc_id", "key"])
     packed = packed.filter(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     met = packed.join(shared, ["doc_id", "key"]).select("doc_id", "key", "packed", "places")
-    dealt = met.mapInArrow(_deal_surroundings(buckets), "bucket long, blob binary, doc_id long, key int, ranges array<int>")
+    dealt = met.mapInArrow(settled(_deal_surroundings(buckets)), "bucket long, blob binary, doc_id long, key int, ranges array<int>")
     # A settled row keeps its place: it goes through the same exchange under a number of its own.
     number = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.col("key"), F.lit(buckets)))
     found = dealt.withColumn("bucket", number).groupBy("bucket").applyInPandas(_search, "doc_id long, key int, ranges array<int>")
@@ -408,7 +431,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     given = packed.join(marks, ["doc_id", "key"], "left").select("doc_id", "packed", "ranges", F.coalesce("copy", F.lit(False)).alias("copy"))
     rest = append_columns(docs.filter(F.col("doc_id").isNull()), "text", [field("packed", "binary")], _zip, ["doc_id"])
     given = given.unionByName(rest.withColumns({"ranges": F.lit(None).cast("array<array<int>>"), "copy": F.lit(False)}))
-    return given.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<int>, kept binary")
+    return given.mapInArrow(settled(_cut), "doc_id long, n_bytes long, spans array<int>, kept binary")
 
 
 def _search(part: pd.DataFrame) -> pd.DataFrame:

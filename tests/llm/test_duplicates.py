@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,38 @@ def test_removal_equals_brute_force(spark, monkeypatch):
     assert cut(documents(spark, rows).repartition(5)) == brute_cut(rows)
 
 
+def surroundings(rows):
+    """One bucket of everything: a blob as the second exchange gets it."""
+    held, ids = [], np.array([i for i, _ in rows], np.int64)
+    for k, (_, text) in enumerate(rows):
+        raw = text.encode()
+        for p, g, a, b in zip(*substrings.anchors(np.frombuffer(raw, np.uint8))):
+            held.append((g, k, a, p - a, b + substrings.LENGTH - a, raw[a:b + substrings.LENGTH]))
+    columns = [np.array([h[i] for h in held], t) for i, t in enumerate(("u8", "u4", "u4", "u1", "u1"))]
+    text = np.frombuffer(b"".join(h[5] for h in held), np.uint8)
+    return pd.DataFrame({"blob": [substrings.pack(*columns, ids, np.zeros(len(ids), np.int32), text)]}), len(text)
+
+
+def starts(found):
+    return {(d, x) for d, r in zip(found["doc_id"], found["ranges"]) for a, b in zip(r[::2], r[1::2]) for x in range(a, b + 1)}
+
+
+def test_a_bucket_is_compared_in_parts_of_bounded_memory(monkeypatch):
+    rows = [(i, words(i // 3, 2000)) for i in range(90)]
+    part, size = surroundings(rows)
+    substrings._equal_strings(part)  # tables of powers are made once
+    tracemalloc.start()
+    found = substrings._equal_strings(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * size
+    assert len({d for d, _ in starts(found)}) == 60
+    monkeypatch.setattr(substrings, "PART_BYTES", 1)
+    assert starts(substrings._equal_strings(part)) == starts(found)
+    monkeypatch.setattr(substrings, "PART_BYTES", 1 << 30)
+    assert starts(substrings._equal_strings(part)) == starts(found)
+
+
 def test_removal_of_odd_rows(spark):
     text = words(7, 40)
     rows = [r for r in odd_texts() if r[0] != 6] + [(None, text), (7, text), (7, text), (8, text + "!"), (7, "other " + text), (9, "z" * 3000)]
