@@ -93,21 +93,33 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(a.tobytes() for a in arrays)
+    """Arrays as one compressed blob, the first bytes of all numbers of an array before the second ones: high bytes hardly differ."""
+    raw = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
     head = np.array([len(a) for a in arrays], np.int64).tobytes()
     return head + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     sizes = np.frombuffer(blob, np.int64, len(kinds))
-    raw = pa.decompress(blob[8 * len(kinds):], int(sum(n * np.dtype(k).itemsize for n, k in zip(sizes, kinds))), codec="zstd", asbytes=True)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    raw = pa.decompress(blob[8 * len(kinds):], int(sum(n * w for n, w in zip(sizes, widths))), codec="zstd", asbytes=True)
     out, at = [], 0
-    for n, k in zip(sizes, kinds):
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
+    for n, w, k in zip(sizes, widths, kinds):
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * w, at).reshape(w, n).T).view(k).reshape(n))
+        at += n * w
     return out
 
 
+def shortened(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """40 bits, low ones first, that tell grams of a bucket apart; a chance hit only costs work."""
+    short = mix(gram + np.uint64(_BASE))
+    return short.astype(np.uint32), (short >> np.uint64(32)).astype(np.uint8)
+
+
+def joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+
+
 def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
     """Anchors have the smallest hashes of their strings, so the hash is mixed anew to deal them evenly."""
     return ((mix(gram + np.uint64(_BASE)) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
@@ -150,9 +162,7 @@ def _deal_grams(buckets: int):
                 rows = []
                 for bucket, part in by_bucket(gram, buckets):
                     used, local = np.unique(owner[part], return_inverse=True)
-                    short = mix(gram[part] + np.uint64(_BASE))  # 40 bits tell grams of a bucket apart; a chance hit only costs work
-                    rows.append((bucket, pack(
-                        short.astype(np.uint32), (short >> np.uint64(32)).astype(np.uint8), local.astype(np.uint32), place[part], ids[used], keys[used])))
+                    rows.append((bucket, pack(*shortened(gram[part]), local.astype(np.uint32), place[part], ids[used], keys[used])))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
 
     return run
@@ -163,7 +173,7 @@ def _shared_grams(part: pd.DataFrame) -> pd.DataFrame:
     grams, owners, places, ids, keys, n = [], [], [], [], [], 0
     for blob in part["blob"]:
         low, high, owner, place, doc, key = unpack(blob, "u4", "u1", "u4", "u4", "i8", "i4")
-        grams.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
+        grams.append(joined(low, high))
         owners.append(owner.astype(np.int64) + n)
         places.append(place)
         ids.append(doc)
@@ -222,7 +232,7 @@ def _deal_surroundings(buckets: int):
                     for bucket, part in by_bucket(gram, buckets):
                         used, local = np.unique(owner[part], return_inverse=True)
                         text = np.frombuffer(b"".join(held[i][5] for i in part), np.uint8)
-                        rows.append((bucket, pack(gram[part], local.astype(np.uint32), start[part], offset[part], size[part], ids[used], keys[used], text)))
+                        rows.append((bucket, pack(*shortened(gram[part]), local.astype(np.uint32), start[part], offset[part], size[part], ids[used], keys[used], text)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([b for b, _ in rows] + [-1] * len(settled), pa.int64()), pa.array([x for _, x in rows] + [None] * len(settled), pa.binary()),
                     pa.array([0] * len(rows) + [s[0] for s in settled], pa.int64()), pa.array([0] * len(rows) + [s[1] for s in settled], pa.int32()),
@@ -284,8 +294,8 @@ def _equal_strings(part: pd.DataFrame) -> pd.DataFrame:
     columns = [[] for _ in range(8)]
     docs = 0
     for blob in part["blob"]:
-        found = unpack(blob, "u8", "u4", "u4", "u1", "u1", "i8", "i4", "u1")
-        found[1] = found[1] + np.uint32(docs)
+        low, high, *found = unpack(blob, "u4", "u1", "u4", "u4", "u1", "u1", "i8", "i4", "u1")
+        found = [joined(low, high), found[0] + np.uint32(docs), *found[1:]]
         docs += len(found[5])
         for column, x in zip(columns, found):
             column.append(x)
@@ -358,7 +368,7 @@ def _equal_in(
 # --- Exchange 3: documents and their ranges -------------------------------------------------------------------------
 
 def zipped(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=5).compress(data, asbytes=True)
 
 
 def _zip():
@@ -441,4 +451,5 @@ def _search(part: pd.DataFrame) -> pd.DataFrame:
     if len(dealt):
         found.append(_equal_strings(dealt))
     found = [f for f in found if len(f)]
-    return pd.concat(found).astype({"doc_id": "int64", "key": "int32"}) if found else pd.DataFrame({"doc_id": [], "key": [], "ranges": []})
+    nothing = pd.DataFrame({"doc_id": [], "key": [], "ranges": pd.Series(dtype=object)})  # else Arrow takes them for numbers
+    return pd.concat(found or [nothing]).astype({"doc_id": "int64", "key": "int32"})

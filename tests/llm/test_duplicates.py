@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,13 +64,28 @@ def surroundings(rows):
             held.append((g, k, a, p - a, b + substrings.LENGTH - a, raw[a:b + substrings.LENGTH]))
     columns = [np.array([h[i] for h in held], t) for i, t in enumerate(("u8", "u4", "u4", "u1", "u1"))]
     text = np.frombuffer(b"".join(h[5] for h in held), np.uint8)
-    return pd.DataFrame({"blob": [substrings.pack(*columns, ids, np.zeros(len(ids), np.int32), text)]}), len(text)
+    return pd.DataFrame({"blob": [substrings.pack(*substrings.shortened(columns[0]), *columns[1:], ids, np.zeros(len(ids), np.int32), text)]}), len(text)
 
 
 def starts(found):
     return {(d, x) for d, r in zip(found["doc_id"], found["ranges"]) for a, b in zip(r[::2], r[1::2]) for x in range(a, b + 1)}
 
 
+def test_packed_numbers_come_back_and_are_small():
+    rng = np.random.default_rng(5)
+    arrays = [rng.integers(0, 300, 4000).astype("u4"), np.arange(10**12, 10**12 + 2000), np.zeros(0, "i4"), rng.integers(0, 256, 77).astype("u1")]
+    blob = substrings.pack(*arrays)
+    back = substrings.unpack(blob, "u4", "i8", "i4", "u1")
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(arrays, back))
+    assert len(blob) < 1.5 * 4000 + 2000 * 1.2
+
+
+def test_a_bucket_without_equal_strings_gives_no_rows():
+    part, _ = surroundings([(1, words(1, 30)), (2, words(2, 30))])
+    found = substrings._search(part.assign(doc_id=0, key=0, ranges=None))
+    assert len(found) == 0 and pa.Array.from_pandas(found["ranges"], type=pa.list_(pa.int32())).to_pylist() == []
+
+
 def test_a_bucket_is_compared_in_parts_of_bounded_memory(monkeypatch):
     rows = [(i, words(i // 3, 2000)) for i in range(90)]
     part, size = surroundings(rows)
