@@ -38,6 +38,9 @@ LETTER = re.compile(r"[^\W\d_]")
 _BLANK = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _PIECE = 1 << 18
 
+#: Bytes whose n-grams are looked up at a time, and bytes of texts in one part of a batch.
+_AT_ONCE, _SLICE = 1 << 16, 4 << 20
+
 
 @dataclass
 class LanguageModel:
@@ -152,7 +155,7 @@ def _logits(model: LanguageModel, texts: list[str]) -> np.ndarray:
         for p in pieces(text):
             waiting.append((k, p))
             size += len(p)
-            if size >= _PIECE:
+            if size >= _AT_ONCE:
                 flush()
                 size = 0
     flush()
@@ -192,4 +195,4 @@ def identify(df: DataFrame, model: LanguageModel | None, text: str = "text", kee
     def start():
         return lambda texts: list(predict(shared.value, texts))
 
-    return append_columns(df, text, [field("lang_pred", "string"), field("score", "double"), field("rejected", "boolean")], start, keep)
+    return append_columns(df, text, [field("lang_pred", "string"), field("score", "double"), field("rejected", "boolean")], start, keep, target=_SLICE)

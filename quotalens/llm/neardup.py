@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotalens.llm.common import append_columns, by_value, field, materialize, Shared, slices
+from quotalens.llm.common import append_columns, by_value, field, materialize, settled, Shared, slices
 
 by_value(__name__)
 
@@ -252,9 +252,9 @@ def shingle_rarity(df: DataFrame, text: str = "text") -> Rarity:
 
     # A task's counters are as large for few documents as for many, so small partitions are read together.
     together = df.select(text).coalesce(max(1, int(rows * SHARE)))
-    pieces = together.mapInArrow(sketch, "place long, n binary").repartition("place").sortWithinPartitions("place")
+    pieces = together.mapInArrow(settled(sketch), "place long, n binary").repartition("place").sortWithinPartitions("place")
     bits = np.zeros((2 * size // width, width // 8), np.uint8)
-    for r in pieces.mapInArrow(high, "place long, high binary").collect():  # one bit for each counter
+    for r in pieces.mapInArrow(settled(high), "place long, high binary").collect():  # one bit for each counter
         bits[r["place"]] = np.frombuffer(r["high"], np.uint8)
     shared = Shared(df, bits.reshape(2, -1))
 
@@ -271,7 +271,7 @@ def shingle_rarity(df: DataFrame, text: str = "text") -> Rarity:
             part = slice(at, at + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(names[part].view(np.int64)), pa.array(counts[part])], names=["shingle", "n"])
 
-    counted = together.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = together.mapInArrow(settled(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     held = counted.filter(F.col("n") >= least).toPandas()
     return Rarity(rows, held["shingle"].to_numpy(np.int64).view(np.uint64), held["n"].to_numpy(float))
 
@@ -399,7 +399,7 @@ def _rest_links(named: DataFrame, several: DataFrame, first: Column, nodes: Data
             if len(chosen):
                 yield from rows.take(chosen).combine_chunks().to_batches()
 
-    found = materialize(met(dealt).mapInArrow(near, schema), "rest-near")
+    found = materialize(met(dealt).mapInArrow(settled(near), schema), "rest-near")
     shared = Shared(named, rarity)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,7 +434,7 @@ def _rest_links(named: DataFrame, several: DataFrame, first: Column, nodes: Data
                     [pa.array(x, t) for x, t in zip(zip(*links), (pa.string(), pa.string(), pa.float64()))], names=["a", "b", "similarity"])
 
     whole = found.join(texts.select("node", "packed"), "node").select(*found.columns, "packed")
-    return materialize(met(whole).mapInArrow(join, "a string, b string, similarity double"), "links-rest")
+    return materialize(met(whole).mapInArrow(settled(join), "a string, b string, similarity double"), "links-rest")
 
 
 class _Verifier:
@@ -466,7 +466,7 @@ class _Verifier:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(same, pa.float64())], names=["a", "b", "similarity"])
 
         met = pairs.join(left, "a").join(right, "b").select("a", "left", "b", "right")
-        return materialize(met.mapInArrow(run, "a string, b string, similarity double").filter(F.col("similarity") >= SIMILARITY), name)
+        return materialize(met.mapInArrow(settled(run), "a string, b string, similarity double").filter(F.col("similarity") >= SIMILARITY), name)
 
 
 def pack(text: str | None) -> bytes:

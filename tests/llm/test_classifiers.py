@@ -1,5 +1,7 @@
 """Language and quality: held-out accuracy, whole texts, odd rows."""
 
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -130,3 +132,17 @@ def test_gradient_equals_differences():
             down = loss()
             flat[s] = kept
             assert (up - down) / (2 * step) == pytest.approx(g.ravel()[s], rel=0.02, abs=1e-5)
+
+
+def test_language_of_many_texts_needs_little_memory_at_a_time(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(1000)) for _ in range(1500)]
+    table = np.random.default_rng(8).normal(size=((1 << language.BITS) + 1, 5)).astype(np.float32)
+    model = language.LanguageModel(["a", "b", "c", "d"], table, np.zeros(4), 1.0, 0.5)
+    tracemalloc.start()
+    got = language.predict(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    monkeypatch.setattr(language, "_AT_ONCE", 1 << 18)
+    assert language.predict(model, texts) == got
