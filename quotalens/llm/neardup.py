@@ -21,6 +21,7 @@ none). Rows that repeat an id get one row each. Extra columns are left out; an e
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,7 @@ ESTIMATE = 0.53
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
+_NAME, _LOWER = np.uint32(2246822519), int(sys.byteorder == "big")
 _WORD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b == 0x5F or b >= 0x80 else 0x20 for b in range(256))
 _STEP = np.array([pow(_BASE, 2 * k + 3, 1 << 64) for k in range(max(SHINGLE, BANDS * ROWS, 8))], np.uint64)
 
@@ -73,28 +75,57 @@ class _Powers:
                 setattr(self, name, np.cumprod(x, dtype=np.uint64))
 
 
-def word_hashes(text: str | None, powers: _Powers) -> np.ndarray:
-    """A 64-bit hash of every word, from prefix sums of a polynomial over the bytes."""
-    data = np.frombuffer((text or "").lower().encode().translate(_WORD), np.uint8)
-    if not len(data):
-        return np.zeros(0, np.uint64)
+def hashed_words(texts: list[str | None], powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of all texts, from prefix sums of a polynomial over the bytes, and each text's first word (and the end).
+
+    A word's hash does not depend on its place, so texts in a row hash as each alone.
+    """
+    raw = [(t or "").lower().encode() for t in texts]
+    data = np.frombuffer(b" ".join(raw).translate(_WORD), np.uint8)
     inside = np.concatenate([[False], data != 0x20, [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     first, last = edge[::2], edge[1::2]
     powers.reach(len(data) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers.up[:len(data)], dtype=np.uint64)])
-    return mix((total[last] - total[first]) * powers.down[first] + (last - first).astype(np.uint64))
+    words = mix((total[last] - total[first]) * powers.down[first] + (last - first).astype(np.uint64))
+    return words, np.searchsorted(first, np.cumsum([0] + [len(x) + 1 for x in raw]))
+
+
+def word_hashes(text: str | None, powers: _Powers) -> np.ndarray:
+    return hashed_words([text], powers)[0]
+
+
+#: Bytes of text that are hashed in one go; a longer text goes alone.
+_GROUP = 1 << 16
+
+
+def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= _GROUP:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
 
+def _within(starts: np.ndarray) -> np.ndarray:
+    """The place of every item within its document, from 0."""
+    return np.arange(starts[-1]) - np.repeat(starts[:-1], np.diff(starts))
 
-def node_of(words: np.ndarray) -> str:
-    """128 bits of the word sequence."""
-    n = len(words)
-    if not n:
-        return "0" * 32
-    order = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE))
-    one = int(np.bitwise_xor.reduce(mix(words ^ order)) ^ np.uint64(n))
-    two = int(np.add.reduce(mix(words + order * _M1), dtype=np.uint64))
-    return f"{one:016x}{two:016x}"
+
+def nodes_of(words: np.ndarray, starts: np.ndarray) -> list[str]:
+    """128 bits of each document's word sequence."""
+    n = np.diff(starts)
+    some = starts[:-1][n > 0]
+    one, two = np.zeros((2, len(n)), np.uint64)
+    if len(some):
+        order = mix((_within(starts) + 1).astype(np.uint64) * np.uint64(_BASE))
+        one[n > 0] = np.bitwise_xor.reduceat(mix(words ^ order), some) ^ n[n > 0].astype(np.uint64)
+        two[n > 0] = np.add.reduceat(mix(words + order * _M1), some)
+    return [f"{a:016x}{b:016x}" for a, b in zip(one.tolist(), two.tolist())]
 
 
 class Rarity:
@@ -114,16 +145,29 @@ class Rarity:
         return out
 
 
+def grouped_shingles(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's distinct shingles, ascending, their occurrences, and each document's first shingle (and the end)."""
+    n = np.diff(starts)
+    s = words * _STEP[0]
+    for k in range(1, SHINGLE):
+        s[:max(0, len(s) - k)] += words[k:] * _STEP[k]
+    for d in np.flatnonzero((n > 0) & (n < SHINGLE)):  # one shingle of all its words
+        s[starts[d]] = (words[starts[d]:starts[d + 1]] * _STEP[:n[d]]).sum(dtype=np.uint64)
+    held = np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)
+    s = mix(s[_within(starts) < np.repeat(held, n)])
+    bounds = np.concatenate([[0], np.cumsum(held)])
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        s[a:b].sort()
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    new[bounds[:-1][held > 0]] = True
+    at = np.flatnonzero(new)
+    return s[at], np.diff(at, append=len(s)), np.searchsorted(at, bounds)
+
+
 def counted_shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles, ascending, and their occurrences."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    width = min(SHINGLE, n)
-    s = np.zeros(n - width + 1, np.uint64)
-    for k in range(width):
-        s += words[k:k + len(s)] * _STEP[k]
-    return np.unique(mix(s), return_counts=True)
+    return grouped_shingles(words, np.array([0, len(words)]))[:2]
 
 
 def weighted_shingles(words: np.ndarray, rarity: Rarity) -> tuple[np.ndarray, np.ndarray]:
@@ -154,27 +198,40 @@ def samples(s: np.ndarray, w: np.ndarray, starts: np.ndarray, table: tuple[np.nd
     """One 32-bit sample for each place of each band and each document; ``starts`` are the documents' first shingles.
 
     A sample is the shingle with the smallest a = c exp(-r t) and its t = floor(ln w / r + beta). Order and identity share
-    one 64-bit number: the upper half orders by ln a, the lower half tells shingle and t and breaks ties.
+    one 64-bit number: the upper half orders by ln a, the lower half tells shingle and t and breaks ties. Most shingles have
+    one weight, that of a rare one that occurs once: for it, that number but for the shingle's part is drawn up per table entry.
     """
     r, inverse, beta, rest = table
-    ln_w = np.log(w).astype(np.float32)
-    low, high = s.astype(np.uint32), (s >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), BANDS * ROWS), np.uint32)
-    for k in range(BANDS * ROWS):
-        at = (low * np.uint32(_STEP[k] >> np.uint64(32) | np.uint64(1)) + np.uint32(_STEP[k] & np.uint64(0xFFFFFFFF))) >> np.uint32(32 - VARIABLES)
+    low, high = s.astype(np.uint32), (s >> np.uint64(32)).astype(np.uint32) * _NAME
+
+    def drawn(ln_w, at) -> np.ndarray:
         t = np.floor(ln_w * inverse[at] + beta[at])
         ln_a = rest[at] - r[at] * t
         ln_a += np.float32(256)  # above zero, floats order as their bits do
-        name = (high + t.astype(np.int32).view(np.uint32) * np.uint32(2654435761)) * np.uint32(2246822519)
-        key = (ln_a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | name
+        name = t.astype(np.int32).view(np.uint32) * np.uint32(2654435761) * _NAME
+        return (ln_a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | name
+
+    usual = np.partition(w, len(w) // 2)[len(w) // 2]
+    ready = drawn(np.log(np.array([usual])).astype(np.float32), slice(None))
+    odd = np.flatnonzero(w != usual)
+    ln_w = np.log(w[odd]).astype(np.float32)
+    out = np.empty((len(starts), BANDS * ROWS), np.uint32)
+    key = np.empty(len(s), np.uint64)
+    half = key.view(np.uint32)[_LOWER::2]
+    for k in range(BANDS * ROWS):
+        at = (low * np.uint32(_STEP[k] >> np.uint64(32) | np.uint64(1)) + np.uint32(_STEP[k] & np.uint64(0xFFFFFFFF))) >> np.uint32(32 - VARIABLES)
+        ready.take(at, out=key, mode="clip")
+        key[odd] = drawn(ln_w, at[odd])
+        half += high
         out[:, k] = np.minimum.reduceat(key, starts).astype(np.uint32)
     return out
 
 
 def band_keys(chosen: np.ndarray) -> np.ndarray:
-    x = np.zeros(BANDS, np.uint64)
+    """The keys of each row of samples."""
+    x = np.zeros((len(chosen), BANDS), np.uint64)
     for k in range(ROWS):
-        x = mix(x + chosen.reshape(BANDS, ROWS)[:, k].astype(np.uint64) * _STEP[k] + np.uint64(k + 1))
+        x = mix(x + chosen.reshape(-1, BANDS, ROWS)[:, :, k].astype(np.uint64) * _STEP[k] + np.uint64(k + 1))
     return mix(x + np.arange(BANDS, dtype=np.uint64) * np.uint64(_BASE)).astype(np.int64)
 
 
@@ -193,8 +250,8 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     powers, waiting, size = _Powers(), [], 0
     for batch in batches:
         for piece in slices(batch, 8 << 20):
-            for t in piece.column(0).to_pylist():
-                waiting.append(counted_shingles(word_hashes(t, powers))[0])
+            for together in groups(piece.column(0).to_pylist()):
+                waiting.append(grouped_shingles(*hashed_words(together, powers))[0])
                 size += len(waiting[-1])
                 if size >= _CHUNK:
                     yield np.concatenate(waiting)
@@ -496,29 +553,39 @@ def signatures(df: DataFrame, rarity: Rarity, text: str, keep: list[str]) -> Dat
         powers, table = _Powers(), variables()
 
         def work(texts):
-            nodes, done, waiting = [], {"0" * 32: np.zeros(BANDS * ROWS, np.uint32)}, {}
+            nodes, place, waiting, chosen, size = [], {}, [], [np.zeros((1, BANDS * ROWS), np.uint32)], 0
+            place["0" * 32] = 0  # a text without words
 
             def flush():
                 if waiting:
-                    held = list(waiting.values())
-                    starts = np.cumsum([0] + [len(x[0]) for x in held[:-1]])
-                    found = samples(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), starts, table)
-                    done.update(zip(waiting, found))
+                    shingles, times, n = (np.concatenate(x) for x in zip(*waiting))
+                    starts = np.cumsum(n) - n
+                    chosen.append(samples(shingles, shared.value.of(shingles) * times, starts, table))
                     waiting.clear()
 
-            size = 0
-            for t in texts:
-                words = word_hashes(t, powers)
-                nodes.append(node := node_of(words))
-                if node not in done and node not in waiting:
-                    waiting[node] = weighted_shingles(words, shared.value)
-                    size += len(waiting[node][0])
-                    if size >= _TOGETHER:
-                        flush()
-                        size = 0
+            for together in groups(texts):
+                words, starts = hashed_words(together, powers)
+                found = nodes_of(words, starts)
+                nodes += found
+                new = np.zeros(len(found), bool)
+                for at, node in enumerate(found):
+                    if node not in place:
+                        place[node] = len(place)
+                        new[at] = True
+                if not new.any():
+                    continue
+                n = np.diff(starts)
+                words, starts = words[np.repeat(new, n)], np.concatenate([[0], np.cumsum(n[new])])
+                shingles, times, starts = grouped_shingles(words, starts)
+                waiting.append((shingles, times, np.diff(starts)))
+                size += len(shingles)
+                if size >= _TOGETHER:
+                    flush()
+                    size = 0
             flush()
-            chosen = [done[n] for n in nodes]
-            return [nodes, [band_keys(x) for x in chosen], [x.view(np.int32) for x in chosen]]
+            rows = np.concatenate(chosen)
+            keys, at = band_keys(rows), [place[node] for node in nodes]
+            return [nodes, list(keys[at]), list(rows[at].view(np.int32))]
 
         return work
 

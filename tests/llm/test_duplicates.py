@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import tracemalloc
 from collections import Counter
 
@@ -256,6 +257,66 @@ def test_samples_agree_as_often_as_documents_are_similar():
     assert abs(np.mean(same) - want) < 0.04
 
 
+def plain_samples(s, w, starts, table):
+    """The definition: every shingle's own t and ln a, the smallest of each document."""
+    r, inverse, beta, rest = table
+    ln_w, low, high = np.log(w).astype(np.float32), s.astype(np.uint32), (s >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(starts), 56), np.uint32)
+    for k in range(56):
+        step = neardup._STEP[k]
+        at = (low * np.uint32(step >> np.uint64(32) | np.uint64(1)) + np.uint32(step & np.uint64(0xFFFFFFFF))) >> np.uint32(16)
+        t = np.floor(ln_w * inverse[at] + beta[at])
+        ln_a = rest[at] - r[at] * t + np.float32(256)
+        name = (high + t.astype(np.int32).view(np.uint32) * np.uint32(2654435761)) * np.uint32(2246822519)
+        out[:, k] = np.minimum.reduceat((ln_a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | name, starts).astype(np.uint32)
+    return out
+
+
+@pytest.mark.parametrize("rare", [0, 0.3, 0.95, 1])
+def test_samples_are_those_of_the_definition(rare):
+    rng = np.random.default_rng(8)
+    s = rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)
+    w = np.where(rng.random(len(s)) < rare, 6.9, rng.choice(rng.uniform(0.05, 40, 300), len(s)))
+    starts, table = np.array([0, 1, 2, 700, 4999]), neardup.variables()
+    assert np.array_equal(neardup.samples(s, w, starts, table), plain_samples(s, w, starts, table))
+
+
+def test_shingles_of_one_weight_are_sampled_in_half_the_time():
+    rng = np.random.default_rng(9)
+    s, starts, table = rng.integers(0, 1 << 63, 1 << 16).astype(np.uint64), np.arange(0, 1 << 16, 500), neardup.variables()
+    w = np.where(rng.random(len(s)) < 0.95, 6.9, rng.uniform(1, 40, len(s)))
+
+    def seconds(sample):
+        took = []
+        for _ in range(5):
+            start = time.process_time()
+            sample(s, w, starts, table)
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert seconds(neardup.samples) < 0.6 * seconds(plain_samples)
+
+
+def test_texts_hashed_together_hash_as_alone(monkeypatch):
+    monkeypatch.setattr(neardup, "_GROUP", 200)
+    powers = neardup._Powers()
+    texts = [None, "", "a", " . ", "one two three four", "one two three four five", "one two three four five six", "ΟΔΟΣ", "ΟΔΟΣ x", "x " * 40,
+             *[words(k, 3 * k) for k in range(30)], "", "a b"]
+    together = list(neardup.groups(texts))
+    assert [t for part in together for t in part] == texts and len(together) > 5
+    for part in together:
+        hashes, starts = neardup.hashed_words(part, powers)
+        shingles_, times, bounds = neardup.grouped_shingles(hashes, starts)
+        for k, t in enumerate(part):
+            alone = neardup.word_hashes(t, powers)
+            assert np.array_equal(hashes[starts[k]:starts[k + 1]], alone)
+            want = Counter(neardup.mix(sum((alone[i + j:i + j + 1] * neardup._STEP[j] for j in range(min(5, len(alone)))), np.zeros(1, np.uint64)))[0]
+                           for i in range(max(1, len(alone) - 4) if len(alone) else 0))
+            assert shingles_[bounds[k]:bounds[k + 1]].tolist() == sorted(want)
+            assert times[bounds[k]:bounds[k + 1]].tolist() == [want[x] for x in sorted(want)]
+        assert neardup.nodes_of(hashes, starts) == [neardup.nodes_of(*neardup.hashed_words([t], powers))[0] for t in part]
+
+
 def test_first_of_each_class_stays(spark):
     text = words(9, 50)
     rows = [(5, text), (3, text + "."), (3, text + "."), (None, text), (None, "nobody knows this one at all"), (8, "another text of six words total"), (9, ""), (7, None)]
