@@ -6,8 +6,10 @@ fault, never the value.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -193,6 +195,64 @@ def parse_strict(lines: DataFrame, year: int, keep: Sequence[str] = ("pos",), li
     return harmonize(cut_lines(lines, keep, line=line), keep, record_fault(year))
 
 
+#: Lines whose field texts a task counts in one go.
+_COUNTED = 1 << 17
+
+
+def field_texts(lines: DataFrame, year: int, line: str = "value") -> DataFrame:
+    """(field_no, text, n): how often each text stands in each field of the lines that the strict layout judges by field.
+
+    Such lines are ASCII and of one length, so a batch is a matrix of bytes, and a field's text, four bytes at most, is a number.
+    """
+    source_names(year)
+    end = max(f.end for f in FIELDS)
+    text = F.col("_text")
+    whole = (F.octet_length(text) == RECORD_LENGTH) & (F.length(text) == RECORD_LENGTH)
+    # A line that is NULL has no fault as a whole, and no field of it is known. Lines are not filtered: the optimizer would repeat their making.
+    head = F.when(text.isNull(), F.lit(b"")).when(whole, F.substring(text.cast("binary"), 1, end))
+    heads = lines.select(_payload(F.col(line)).alias("_text")).select(head.alias("head"))
+    blanks = bytes.maketrans(_RARE_BLANKS.encode(), b" " * len(_RARE_BLANKS))
+    year_start, year_bytes = FIELD["birth_year"].start - 1, np.frombuffer(str(year).encode(), np.uint8)
+    places, most = [(i, f.start - 1, f.width) for i, f in enumerate(FIELDS, start=1)], _COUNTED
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted():
+            for (i, _, width), parts in zip(places, zip(*held)):
+                codes, n = np.unique(np.concatenate(parts), return_counts=True)
+                raw = codes.astype("<u4").tobytes()
+                texts = [raw[at:at + width].decode("ascii") for at in range(0, len(raw), 4)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i] * len(texts), pa.int32()), pa.array(texts, pa.string()), pa.array(n, pa.int64())], names=["field_no", "text", "n"])
+
+        for batch in batches:
+            known = batch.column(0).drop_null().to_pylist()
+            rows = np.frombuffer(b"".join(known).translate(blanks), np.uint8).reshape(-1, end)
+            rows = rows[(rows[:, year_start:year_start + len(year_bytes)] == year_bytes).all(1)]
+            unknown = known.count(b"")
+            if unknown:
+                rows = np.concatenate([rows, np.full((unknown, end), 0x20, np.uint8)])
+            if not len(rows):
+                continue
+            codes = []
+            for _, start, width in places:
+                code = rows[:, start].astype(np.uint32)
+                for k in range(1, width):
+                    code |= rows[:, start + k].astype(np.uint32) << np.uint32(8 * k)
+                codes.append(code)
+            held.append(codes)
+            size += len(rows)
+            if size >= most:
+                yield from counted()
+                held, size = [], 0
+        if held:
+            yield from counted()
+
+    found = heads.mapInArrow(count, "field_no int, text string, n long")
+    return found.groupBy("field_no", F.trim("text").alias("text")).agg(F.sum("n").alias("n"))
+
+
 def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.size("faults") == 0).drop("faults")
 

@@ -422,7 +422,7 @@ def derive_targets(spark, folder):
 
 @query
 def field_profile(spark, folder):
-    return sinks.field_profile(_parsed(spark, folder))
+    return sinks.line_profile(b.rendered_lines(spark, folder), 2022)
 
 
 @query

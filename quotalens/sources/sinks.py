@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quotalens.functions.cleaning import clean, field_texts, is_missing
 from quotalens.functions.fields import DERIVED, FIELDS
 from quotalens.sources.tables import fingerprint_measures
 
@@ -125,3 +126,17 @@ def field_profile(parsed: DataFrame) -> DataFrame:
         for i, f in enumerate(FIELDS, start=1)
     ])
     return wide.select(F.inline(rows))
+
+
+def line_profile(lines: DataFrame, year: int, line: str = "value") -> DataFrame:
+    """:func:`field_profile` of strictly parsed lines, judging each distinct text of a field once instead of every value."""
+    texts = field_texts(lines, year, line)
+    known = F.coalesce(*[F.when(F.col("field_no") == i, clean(f, F.col("text")).isNotNull()) for i, f in enumerate(FIELDS, start=1)])
+    missing = F.coalesce(*[F.when(F.col("field_no") == i, is_missing(f, F.col("text"))) for i, f in enumerate(FIELDS, start=1)])
+    judged = texts.select("field_no", "n", known.alias("known"), missing.alias("missing")).groupBy("field_no").agg(*[
+        F.sum(F.when(when, F.col("n")).otherwise(0)).alias(name) for name, when in (
+            ("known_n", F.col("known")), ("rejected_n", ~F.col("known") & ~F.col("missing")), ("missing_n", ~F.col("known") & F.col("missing")))
+    ])
+    layout = field_table(lines.sparkSession).select("field_no", "field", "kind", "role")
+    return layout.join(judged, "field_no", "left").select(
+        "field_no", "field", "kind", "role", *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("known_n", "rejected_n", "missing_n")])

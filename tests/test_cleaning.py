@@ -7,6 +7,7 @@ from quotalens.functions import cleaning
 from quotalens.functions.fields import FIELD, FIELDS, OUTPUT_COLUMNS, RECORD_LENGTH, forbidden_features
 from quotalens.operators.features import check_features
 from quotalens.plans.audit import evaluation_table, extract
+from quotalens.sources import sinks
 from quotalens.sources.fixed_width import read_lines
 from quotalens.sources.tables import fingerprint
 
@@ -117,6 +118,31 @@ def test_normalize_frame_windows_and_guards(spark):
             cleaning.normalize_frame(spark.createDataFrame([("1", race, "3", "36", "2400", "1")], schema)).collect()
 
 
+@pytest.mark.parametrize("counted", [1, 1 << 17])
+def test_line_profile_is_that_of_the_parsed_lines(spark, monkeypatch, counted):
+    monkeypatch.setattr(cleaning, "_COUNTED", counted)
+    lines = [
+        *golden(), *golden("2023"), None, "", line()[:-1], line() + " ", "é" + line()[1:], line() + "\r", line() + "\r\r", line() + "\n", "\t" + line()[1:],
+        line(mother_age="3\t"), line(mother_age="\x1f9"), line(mother_age="3\0"), line(mother_age="\0"), line(mother_bmi=" 1e1"), line(mother_bmi=".nan"),
+        line(mother_bmi="99.9"), line(mother_bmi="12.9"), line(mother_bmi="+20."), line(birth_weight_g="9e9"), line(birth_weight_g=" 300"), line(prior_live_births="1."),
+        line(prior_live_births="-1"), line(diab_pre="1"), line(diab_pre="y"), line(diab_pre="U"), line(mother_race="1"), line(mother_race="32"), line(birth_year="2022", an_seiz="\r"),
+    ]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "pos long, value string").repartition(3)
+    want = sinks.field_profile(cleaning.parse_strict(df, 2022))
+    got = sinks.line_profile(df, 2022)
+    assert got.columns == want.columns and [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+    assert sorted(got.collect()) == sorted(want.collect())
+    none = df.where("pos < 0")
+    assert sorted(sinks.line_profile(none, 2022).collect()) == sorted(sinks.field_profile(cleaning.parse_strict(none, 2022)).collect())
+
+
+def test_line_profile_judges_each_distinct_text_once(spark):
+    """What is judged grows with the texts that occur, not with the lines."""
+    texts = cleaning.field_texts(spark.createDataFrame([(x,) for x in 50 * golden()], "value string"), 2022)
+    rows = texts.collect()
+    assert len(rows) < 34 * 6 and sum(r.n for r in rows) == 34 * 300
+
+
 def test_layout():
     assert len(FIELDS) == 34 and len(OUTPUT_COLUMNS) == 40
     assert max(f.end for f in FIELDS) <= RECORD_LENGTH
