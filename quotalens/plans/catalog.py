@@ -598,15 +598,16 @@ def position_check(spark, folder):
 
 @query
 def bootstrap_counts(spark, folder):
-    return draws.draw_counts(_resampled(spark, folder))
+    return _of_resamples(spark, folder, draws.draw_counts)
 
 
-def _resampled(spark, folder, replicates: int = REPLICATES) -> Worklist:
-    return draws.draw_worklist(b.orders_population(spark, folder), scenarios(), replicates, SEED)
+def _of_resamples(spark, folder, ask: Callable[[Worklist], DataFrame], replicates: int = REPLICATES) -> DataFrame:
+    return draws.in_waves(b.orders_population(spark, folder), scenarios(), replicates, SEED, ask)
 
 
 def _cell_replicates(spark, folder, replicates: int = REPLICATES):
-    return bootstrap.cell_replicates(bootstrap.cell_tp(_resampled(spark, folder, replicates), decomposition(spark, folder)))
+    work = draws.draw_worklist(b.orders_population(spark, folder), scenarios(), replicates, SEED)
+    return bootstrap.cell_replicates(bootstrap.cell_tp(work, decomposition(spark, folder)))
 
 
 @query
@@ -620,7 +621,8 @@ def bootstrap_intervals(spark, folder):
 
 
 def _protocol_replicates(spark, folder, replicates: int = REPLICATES):
-    return bootstrap.protocol_replicates(bootstrap.protocol_counts(_resampled(spark, folder, replicates), _cuts(spark, folder)))
+    cuts = materialize(_cuts(spark, folder), "cuts")
+    return bootstrap.protocol_replicates(_of_resamples(spark, folder, lambda work: bootstrap.protocol_counts(work, cuts), replicates))
 
 
 @query
