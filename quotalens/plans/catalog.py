@@ -606,8 +606,8 @@ def _of_resamples(spark, folder, ask: Callable[[Worklist], DataFrame], replicate
 
 
 def _cell_replicates(spark, folder, replicates: int = REPLICATES):
-    work = draws.draw_worklist(b.orders_population(spark, folder), scenarios(), replicates, SEED)
-    return bootstrap.cell_replicates(bootstrap.cell_tp(work, decomposition(spark, folder)))
+    budgets = materialize(decomposition(spark, folder).select("target", "nominal_fraction", "B_early", "B_all"), "budgets")
+    return bootstrap.cell_replicates(_of_resamples(spark, folder, lambda work: bootstrap.cell_tp(work, budgets), replicates))
 
 
 @query
