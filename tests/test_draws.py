@@ -74,7 +74,7 @@ def packets_in(folder):
     return sum(d.startswith("packets-") for _, folders, _ in os.walk(folder) for d in folders)
 
 
-@pytest.mark.parametrize("name", ["bootstrap_summary", "bootstrap_intervals"])
+@pytest.mark.parametrize("name", ["bootstrap_summary", "bootstrap_intervals", "audit_report"])
 def test_draws_go_with_their_wave(spark, monkeypatch, name):
     """All draws of 500 replicates used to lie on disk until the run's end, and twice, with their shuffle files."""
     held, totals = [], draws.totals_of
